@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The source application has no stream source, watermark, window or state;
+its "real-time" views are batch queries re-run on demand. Refreshing a
+summary is done by :mod:`orderscope.sinks.snapshot`, not by a stream.
+"""
