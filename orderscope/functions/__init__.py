@@ -6,7 +6,9 @@ from orderscope.functions.display import dollars, humanize_currency, humanize_nu
 from orderscope.functions.money import (
     MONEY_TYPE,
     as_double,
-    mean_of,
+    cents,
+    cents_mean,
+    cents_value,
     money,
     money_sum,
     net_price,
@@ -14,7 +16,7 @@ from orderscope.functions.money import (
 )
 
 __all__ = [
-    "MONEY_TYPE", "as_double", "coerce_numeric", "days_between", "dollars",
-    "humanize_currency", "humanize_number", "mean_of", "money", "money_sum",
+    "MONEY_TYPE", "as_double", "cents", "cents_mean", "cents_value", "coerce_numeric",
+    "days_between", "dollars", "humanize_currency", "humanize_number", "money", "money_sum",
     "month_start", "net_price", "parse_number", "ratio", "whole_number",
 ]

@@ -1,20 +1,33 @@
 """Exact money arithmetic as column expressions (the numeric recipe).
 
 Prices in the inputs may be doubles. A double sum depends on the order in
-which rows meet, i.e. on partitioning, so every money measure is cast to
-``decimal(15,2)`` *before* it is summed and only the finished sum is cast
-to double. Means are that exact sum divided by the count of non-null
-inputs, never ``avg(decimal)`` (whose scale differs between engines).
-All of this stays inside whole-stage codegen; no Python runs per row.
+which rows meet, i.e. on partitioning, so money is never summed as double:
+
+* Two-decimal amounts (prices, quantities) are turned into whole **cents**
+  (rounded half-up) and summed as ``long``. Integer addition is exact and
+  order-free, and a ``long`` sum keeps the aggregation buffer fixed-width
+  inside whole-stage codegen — about twice as fast as a ``decimal(25,2)``
+  sum, whose buffer Spark keeps as a ``BigDecimal``. A long holds 9.2e18
+  cents per group; ANSI mode raises rather than wraps past that.
+* Four-decimal amounts (``price × (1 − discount)``) are summed as exact
+  decimals, since their total could exceed a long at full scale.
+
+Only a finished total is converted to double, exactly rounded, and a mean
+is that total over the count of non-null inputs. Everything stays
+JVM-side; no Python runs per row.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the money type every price, discount and quantity is cast to.
+# The exact type for two-decimal amounts (as cast by the
+# reference SQL) and the number of cents in a unit.
 MONEY_TYPE = "decimal(15,2)"
+CENTS_PER_UNIT = 100
 
 
 def _col(c: str | Column) -> Column:
@@ -26,9 +39,26 @@ def money(c: str | Column) -> Column:
     return _col(c).cast(MONEY_TYPE)
 
 
+def cents(c: str | Column) -> Column:
+    """The amount in whole cents (half-up), as ``long``."""
+    return F.round(_col(c) * F.lit(CENTS_PER_UNIT)).cast("long")
+
+
 def money_sum(c: str | Column) -> Column:
-    """Exact (decimal) sum of a money column; NULL over no non-null input."""
-    return F.sum(money(c))
+    """Exact total of a two-decimal amount, in cents (``long``); NULL over
+    no non-null input. Convert with :func:`cents_value`."""
+    return F.sum(cents(c))
+
+
+def cents_value(c: str | Column) -> Column:
+    """A cents total as double units, correctly rounded."""
+    return (_col(c).cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast("double")
+
+
+def cents_mean(total_cents: str | Column, count: str | Column) -> Column:
+    """Mean from a cents total and the count of the values summed; NULL
+    (not an error) when the count is zero or NULL."""
+    return F.try_divide(cents_value(total_cents), _col(count))
 
 
 def net_price(price: str | Column, discount: str | Column) -> Column:
@@ -37,7 +67,7 @@ def net_price(price: str | Column, discount: str | Column) -> Column:
 
 
 def as_double(c: str | Column) -> Column:
-    """Cast a finished exact sum to double for output."""
+    """Cast a finished exact decimal total to double for output."""
     return _col(c).cast("double")
 
 
@@ -45,8 +75,3 @@ def ratio(numerator: str | Column, denominator: str | Column) -> Column:
     """``numerator / denominator`` as double; NULL (not an error) on a zero
     or NULL denominator."""
     return F.try_divide(_col(numerator).cast("double"), _col(denominator))
-
-
-def mean_of(exact_sum: str | Column, count: str | Column) -> Column:
-    """Mean from an exact sum and the count of the values summed."""
-    return ratio(exact_sum, count)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderscope.functions.display import dollars, humanize_currency, humanize_number, whole_number
-from orderscope.functions.money import as_double, mean_of, ratio
+from orderscope.functions.money import cents_mean, cents_value
 from orderscope.operators.hierarchy import hierarchy_totals
 from orderscope.operators.punctuality import with_on_time_rate
 from orderscope.operators.shares import share_of_total
@@ -39,8 +39,8 @@ def regional_summary(t: Tables) -> DataFrame:
         F.sum("revenue").alias("_revenue"),
     )
     return (agg.select("region", "order_count",
-                       as_double("_revenue").alias("total_revenue"),
-                       mean_of("_revenue", "order_count").alias("avg_order_value"))
+                       cents_value("_revenue").alias("total_revenue"),
+                       cents_mean("_revenue", "order_count").alias("avg_order_value"))
             .orderBy(F.col("total_revenue").desc_nulls_last(), F.col("region").asc_nulls_last()))
 
 
@@ -55,7 +55,7 @@ def region_hierarchy(t: Tables) -> DataFrame:
     region, nation, depth, total_revenue. No grand total."""
     totals = hierarchy_totals(S.region_nation_totals(t), "region", "nation",
                               F.sum("revenue").alias("_revenue"))
-    return totals.select("region", "nation", "depth", as_double("_revenue").alias("total_revenue"))
+    return totals.select("region", "nation", "depth", cents_value("_revenue").alias("total_revenue"))
 
 
 def status_share(t: Tables) -> DataFrame:
@@ -68,9 +68,9 @@ def segment_revenue_share(t: Tables) -> DataFrame:
     """Q07 plus revenue_share; a segment with no revenue has NULL share."""
     seg = S.segment_totals(t)
     return (seg.select("segment", "customer_count", "order_count",
-                       as_double("revenue").alias("total_revenue"),
-                       mean_of("revenue", "priced").alias("avg_order_value"),
-                       share_of_total("revenue").alias("revenue_share"))
+                       cents_value("revenue").alias("total_revenue"),
+                       cents_mean("revenue", "priced").alias("avg_order_value"),
+                       share_of_total("revenue", cents_value).alias("revenue_share"))
             .orderBy(F.col("total_revenue").desc_nulls_last(), F.col("segment").asc_nulls_last()))
 
 
@@ -103,8 +103,8 @@ def regional_summary_display(t: Tables) -> DataFrame:
     return (d1.select(
         "region",
         whole_number("_orders").alias("order_count"),
-        dollars(as_double("_revenue")).alias("total_revenue"),
-        dollars(ratio("_revenue", "_orders")).alias("avg_order_value"),
-        as_double("_revenue").alias("_sort"))
+        dollars(cents_value("_revenue")).alias("total_revenue"),
+        dollars(cents_mean("_revenue", "_orders")).alias("avg_order_value"),
+        cents_value("_revenue").alias("_sort"))
         .orderBy(F.col("_sort").desc_nulls_last(), F.col("region").asc_nulls_last())
         .drop("_sort"))

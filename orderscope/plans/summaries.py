@@ -9,7 +9,7 @@ Plan shape, chosen for scale
 join, so where a summary joins the fact table (orders, line items) to a
 dimension only to group by dimension attributes, the fact table is first
 aggregated on the join key (plus any fact-side group key such as the
-month). Every measure used is additive (counts, exact decimal sums), so
+month). Every measure used is additive (counts, exact cent sums), so
 the per-key partials can be merged again after the join without changing
 the result. This
 
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderscope.functions.dates import month_start
-from orderscope.functions.money import as_double, mean_of, money_sum, net_price
+from orderscope.functions.money import as_double, cents_mean, cents_value, money_sum, net_price
 from orderscope.operators.punctuality import shipping_punctuality
 from orderscope.operators.topk import top_k
 from orderscope.sources.tables import MissingColumnsError, Tables
@@ -71,9 +71,9 @@ def kpi_metrics(t: Tables) -> DataFrame:
     )
     return agg.select(
         "total_orders",
-        as_double("_revenue").alias("total_revenue"),
+        cents_value("_revenue").alias("total_revenue"),
         "total_customers",
-        mean_of("_revenue", "_priced").alias("avg_order_value"),
+        cents_mean("_revenue", "_priced").alias("avg_order_value"),
     )
 
 
@@ -89,8 +89,8 @@ def orders_summary(t: Tables) -> DataFrame:
     return agg.select(
         "order_month",
         "total_orders",
-        as_double("_revenue").alias("total_revenue"),
-        mean_of("_revenue", "_priced").alias("avg_order_value"),
+        cents_value("_revenue").alias("total_revenue"),
+        cents_mean("_revenue", "_priced").alias("avg_order_value"),
         "unique_customers",
     ).orderBy(F.col("order_month").asc_nulls_last())
 
@@ -105,7 +105,7 @@ def _status_totals(t: Tables) -> DataFrame:
 def orders_by_status(t: Tables) -> DataFrame:
     """Q03: per status — status, order_count, total_value; count descending."""
     return (_status_totals(t)
-            .select("status", "order_count", as_double("_value").alias("total_value"))
+            .select("status", "order_count", cents_value("_value").alias("total_value"))
             .orderBy(F.col("order_count").desc(), F.col("status").asc_nulls_last()))
 
 
@@ -117,8 +117,8 @@ def orders_by_priority(t: Tables) -> DataFrame:
         F.count("o_totalprice").alias("_priced"),
     )
     return (agg.select("priority", "order_count",
-                       as_double("_value").alias("total_value"),
-                       mean_of("_value", "_priced").alias("avg_value"))
+                       cents_value("_value").alias("total_value"),
+                       cents_mean("_value", "_priced").alias("avg_value"))
             .orderBy(F.col("order_count").desc(), F.col("priority").asc_nulls_last()))
 
 
@@ -127,7 +127,7 @@ def monthly_revenue(t: Tables) -> DataFrame:
     The level only — the sample computes no growth rate."""
     agg = t.orders.groupBy(month_start("o_orderdate").alias("month")).agg(
         money_sum("o_totalprice").alias("_revenue"))
-    return (agg.select("month", as_double("_revenue").alias("revenue"))
+    return (agg.select("month", cents_value("_revenue").alias("revenue"))
             .orderBy(F.col("month").asc_nulls_last()))
 
 
@@ -182,8 +182,8 @@ def top_customers(t: Tables, n: int = DEFAULT_TOP_CUSTOMERS) -> DataFrame:
     )
     out = agg.select(
         "customer_name", "market_segment", "nation", "order_count",
-        as_double("_spent").alias("total_spent"),
-        mean_of("_spent", "_priced").alias("avg_order_value"),
+        cents_value("_spent").alias("total_spent"),
+        cents_mean("_spent", "_priced").alias("avg_order_value"),
     )
     return top_k(out, n, ["total_spent"], ["customer_name", "market_segment", "nation"])
 
@@ -215,7 +215,7 @@ def revenue_by_region(t: Tables) -> DataFrame:
     """Q06: region, nation, order_count, total_revenue; revenue descending."""
     return (region_nation_totals(t)
             .select("region", "nation", "order_count",
-                    as_double("revenue").alias("total_revenue"))
+                    cents_value("revenue").alias("total_revenue"))
             .orderBy(F.col("total_revenue").desc_nulls_last(),
                      F.col("region").asc_nulls_last(), F.col("nation").asc_nulls_last()))
 
@@ -240,8 +240,8 @@ def market_segment_analysis(t: Tables) -> DataFrame:
     avg_order_value; revenue descending, order-less segments last."""
     return (segment_totals(t)
             .select("segment", "customer_count", "order_count",
-                    as_double("revenue").alias("total_revenue"),
-                    mean_of("revenue", "priced").alias("avg_order_value"))
+                    cents_value("revenue").alias("total_revenue"),
+                    cents_mean("revenue", "priced").alias("avg_order_value"))
             .orderBy(F.col("total_revenue").desc_nulls_last(), F.col("segment").asc_nulls_last()))
 
 
@@ -255,7 +255,7 @@ def monthly_trend_by_segment(t: Tables) -> DataFrame:
     joined = per.join(cust, per["o_custkey"] == cust["c_custkey"])
     agg = joined.groupBy("order_month", F.col("c_mktsegment").alias("segment")).agg(
         F.sum("revenue").alias("_revenue"))
-    return (agg.select("order_month", "segment", as_double("_revenue").alias("revenue"))
+    return (agg.select("order_month", "segment", cents_value("_revenue").alias("revenue"))
             .orderBy(F.col("order_month").asc_nulls_last(), F.col("segment").asc_nulls_last()))
 
 
@@ -285,26 +285,28 @@ def top_parts_by_revenue(t: Tables, n: int = DEFAULT_TOP_PARTS) -> DataFrame:
                     F.col("p_brand").alias("brand"))
            .agg(F.sum("net").alias("_net"), F.sum("qty").alias("_qty")))
     out = agg.select("part_name", "part_type", "brand",
-                     as_double("_net").alias("revenue"), as_double("_qty").alias("quantity_sold"))
+                     as_double("_net").alias("revenue"), cents_value("_qty").alias("quantity_sold"))
     return top_k(out, n, ["revenue"], ["part_name", "part_type", "brand"])
 
 
 def supplier_performance(t: Tables, n: int = DEFAULT_TOP_SUPPLIERS) -> DataFrame:
     """Q09: top ``n`` (supplier_name, nation) by undiscounted supply value,
     with orders_supplied (distinct orders) and avg_line_value."""
+    li = t.lineitem.select("l_suppkey", "l_orderkey", "l_extendedprice")
     sup = t.supplier.select("s_suppkey", "s_name", "s_nationkey")
     nation = t.nation.select("n_nationkey", "n_name")
-    names = sup.join(nation, sup["s_nationkey"] == nation["n_nationkey"]).select(
-        "s_suppkey", "s_name", "n_name")
-    li = t.lineitem.select("l_suppkey", "l_orderkey", "l_extendedprice")
-    agg = (li.join(names, li["l_suppkey"] == names["s_suppkey"])
+    # Fact first, one dimension per join: each join's small side is a base
+    # table whose size Spark knows from its files, never a dimension join
+    # whose estimate (a product, without statistics) would exceed the fact's.
+    agg = (li.join(sup, li["l_suppkey"] == sup["s_suppkey"])
+           .join(nation, sup["s_nationkey"] == nation["n_nationkey"])
            .groupBy(F.col("s_name").alias("supplier_name"), F.col("n_name").alias("nation"))
            .agg(F.count_distinct("l_orderkey").alias("orders_supplied"),
                 money_sum("l_extendedprice").alias("_value"),
                 F.count("l_extendedprice").alias("_lines")))
     out = agg.select("supplier_name", "nation", "orders_supplied",
-                     as_double("_value").alias("total_supply_value"),
-                     mean_of("_value", "_lines").alias("avg_line_value"))
+                     cents_value("_value").alias("total_supply_value"),
+                     cents_mean("_value", "_lines").alias("avg_line_value"))
     return top_k(out, n, ["total_supply_value"], ["supplier_name", "nation"])
 
 
@@ -314,7 +316,7 @@ def part_sales_by_type(t: Tables, n: int = SAMPLE_TOP_PART_TYPES) -> DataFrame:
     part = t.part.select("p_partkey", "p_type")
     agg = (per.join(part, per["l_partkey"] == part["p_partkey"])
            .groupBy("p_type").agg(F.sum("sales").alias("_sales")))
-    out = agg.select("p_type", as_double("_sales").alias("total_sales"))
+    out = agg.select("p_type", cents_value("_sales").alias("total_sales"))
     return top_k(out, n, ["total_sales"], ["p_type"])
 
 

@@ -1,14 +1,14 @@
 """Loading the seven star-schema tables (S1, S2) and the source check (Q17).
 
 Tables come either from a directory of parquet files (``<dir>/<name>.parquet``)
-or from a catalog namespace (``spark.table("<ns>.<name>")``). Each is pruned
-to nothing here: column pruning is left to Catalyst, which pushes the
-columns a query really uses down to the scan (``ReadSchema`` in ``explain``).
+or from a catalog namespace (``spark.table("<ns>.<name>")``). Nothing is
+pruned here: Catalyst pushes the columns a query really uses down to the
+scan (``ReadSchema`` in ``explain``).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,24 +34,70 @@ class MissingColumnsError(ValueError):
     """A table lacks columns the summaries need."""
 
 
-@dataclass(frozen=True)
 class Tables:
-    """The seven input tables as lazy DataFrames."""
+    """The seven input tables as lazy DataFrames, each opened on first use.
 
-    region: DataFrame
-    nation: DataFrame
-    customer: DataFrame
-    supplier: DataFrame
-    part: DataFrame
-    orders: DataFrame
-    lineitem: DataFrame
+    A query that reads only ``orders`` opens only ``orders``: opening a
+    parquet table lists its files and reads a footer, which is cheap but
+    not free, and there is no reason to pay it for tables a query never
+    touches. Column checks run when a table is first opened.
+    """
+
+    def __init__(self, spark: SparkSession, open_table: Callable[[str], DataFrame],
+                 check: bool = True):
+        self._spark = spark
+        self._open = open_table
+        self._check = check
+        self._frames: dict[str, DataFrame] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, check: bool = True, **frames: DataFrame) -> "Tables":
+        """Tables from DataFrames in hand (tests, fixtures, upstream jobs).
+        A table not given raises ``KeyError`` when a query asks for it."""
+        return cls(spark, lambda name: frames[name], check)
+
+    def table(self, name: str) -> DataFrame:
+        if name not in REQUIRED_COLUMNS:
+            raise KeyError(name)
+        if name not in self._frames:
+            df = self._open(name)
+            self._frames[name] = _check_columns(name, df) if self._check else df
+        return self._frames[name]
 
     @property
     def spark(self) -> SparkSession:
-        return self.orders.sparkSession
+        return self._spark
+
+    @property
+    def region(self) -> DataFrame:
+        return self.table("region")
+
+    @property
+    def nation(self) -> DataFrame:
+        return self.table("nation")
+
+    @property
+    def customer(self) -> DataFrame:
+        return self.table("customer")
+
+    @property
+    def supplier(self) -> DataFrame:
+        return self.table("supplier")
+
+    @property
+    def part(self) -> DataFrame:
+        return self.table("part")
+
+    @property
+    def orders(self) -> DataFrame:
+        return self.table("orders")
+
+    @property
+    def lineitem(self) -> DataFrame:
+        return self.table("lineitem")
 
     def items(self):
-        return ((name, getattr(self, name)) for name in TABLE_NAMES)
+        return ((name, self.table(name)) for name in TABLE_NAMES)
 
 
 def _check_columns(name: str, df: DataFrame) -> DataFrame:
@@ -64,22 +110,23 @@ def _check_columns(name: str, df: DataFrame) -> DataFrame:
 
 def load_tables(spark: SparkSession, source: str, *, catalog: bool = False,
                 check: bool = True, register: bool = False) -> Tables:
-    """Load the seven tables.
+    """The seven tables, opened lazily.
 
     ``source`` is a directory holding ``<name>.parquet`` for each table, or,
     with ``catalog=True``, a namespace such as ``"sales.tpch"`` read through
     ``spark.table``. ``check`` verifies the needed columns from the schema
     alone (parquet footers; no data is read). ``register`` also creates temp
-    views under the bare table names, for ad-hoc SQL.
+    views under the bare table names, for ad-hoc SQL (this opens all seven).
     """
-    frames = {}
-    for name in TABLE_NAMES:
-        if catalog:
-            df = spark.table(f"{source}.{name}")
-        else:
-            df = spark.read.parquet(f"{source.rstrip('/')}/{name}.parquet")
-        frames[name] = _check_columns(name, df) if check else df
-    tables = Tables(**frames)
+    if catalog:
+        def open_table(name: str) -> DataFrame:
+            return spark.table(f"{source}.{name}")
+    else:
+        root = source.rstrip("/")
+
+        def open_table(name: str) -> DataFrame:
+            return spark.read.parquet(f"{root}/{name}.parquet")
+    tables = Tables(spark, open_table, check)
     if register:
         register_views(tables)
     return tables
