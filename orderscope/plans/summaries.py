@@ -190,20 +190,17 @@ def top_customers(t: Tables, n: int = DEFAULT_TOP_CUSTOMERS) -> DataFrame:
 
 def region_nation_totals(t: Tables) -> DataFrame:
     """Exact per-(region, nation) totals: region, nation, order_count,
-    revenue (decimal). Shared by Q06 and the geography tables D1–D3.
+    revenue (cents). Shared by Q06 and the geography tables D1–D3.
 
-    Orders are merged per customer, then per nation key (25-ish rows),
-    and only then joined to nation and region."""
+    Orders are merged per customer before the customer join; nation and
+    region are then joined to one row per customer, and the name groups
+    are aggregated map-side before the last (tiny) shuffle."""
     per = orders_per_customer(t)
     cust = _customers(t, "c_nationkey")
-    per_nation_key = (per.join(cust, per["o_custkey"] == cust["c_custkey"])
-                      .groupBy("c_nationkey")
-                      .agg(F.sum("order_count").alias("order_count"),
-                           F.sum("revenue").alias("revenue")))
     nation = t.nation.select("n_nationkey", "n_name", "n_regionkey")
     region = t.region.select("r_regionkey", "r_name")
-    joined = (per_nation_key
-              .join(nation, per_nation_key["c_nationkey"] == nation["n_nationkey"])
+    joined = (per.join(cust, per["o_custkey"] == cust["c_custkey"])
+              .join(nation, cust["c_nationkey"] == nation["n_nationkey"])
               .join(region, nation["n_regionkey"] == region["r_regionkey"]))
     return joined.groupBy(F.col("r_name").alias("region"), F.col("n_name").alias("nation")).agg(
         F.sum("order_count").alias("order_count"),
