@@ -17,9 +17,13 @@ the result. This
   into one row per map task before the shuffle (map-side combine), so no
   join task receives the hot key's raw rows;
 * makes the join one-to-one on the key and shrinks the rows it moves;
-* leaves the broadcast decision to Spark: the dimension side is broadcast
-  only when its measured size is below ``spark.sql.autoBroadcastJoinThreshold``
-  (AQE re-checks at run time) and sort-merge joined beyond it.
+* leaves the broadcast decision for customer, part and supplier to Spark:
+  such a side is broadcast only when its measured size is below
+  ``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks at run time) and
+  sort-merge joined beyond it. The lookup tables nation and region are
+  broadcast on our own proven row bound (:meth:`Tables.dimension`), so a
+  missing size statistic can never turn them into a sort-merge join that
+  hash-partitions a large frame on 25 keys.
 
 Distinct counts over a joined attribute (Q09's orders per supplier name)
 cannot be merged from per-key partials; they use the direct join and
@@ -168,7 +172,7 @@ def top_customers(t: Tables, n: int = DEFAULT_TOP_CUSTOMERS) -> DataFrame:
     """Q05: top ``n`` (customer_name, market_segment, nation) by total spent."""
     per = orders_per_customer(t)
     cust = _customers(t, "c_name", "c_mktsegment", "c_nationkey")
-    nation = t.nation.select("n_nationkey", "n_name")
+    nation = t.dimension("nation", "n_nationkey", "n_name")
     joined = (per.join(cust, per["o_custkey"] == cust["c_custkey"])
               .join(nation, cust["c_nationkey"] == nation["n_nationkey"]))
     agg = joined.groupBy(
@@ -197,8 +201,8 @@ def region_nation_totals(t: Tables) -> DataFrame:
     are aggregated map-side before the last (tiny) shuffle."""
     per = orders_per_customer(t)
     cust = _customers(t, "c_nationkey")
-    nation = t.nation.select("n_nationkey", "n_name", "n_regionkey")
-    region = t.region.select("r_regionkey", "r_name")
+    nation = t.dimension("nation", "n_nationkey", "n_name", "n_regionkey")
+    region = t.dimension("region", "r_regionkey", "r_name")
     joined = (per.join(cust, per["o_custkey"] == cust["c_custkey"])
               .join(nation, cust["c_nationkey"] == nation["n_nationkey"])
               .join(region, nation["n_regionkey"] == region["r_regionkey"]))
@@ -291,7 +295,7 @@ def supplier_performance(t: Tables, n: int = DEFAULT_TOP_SUPPLIERS) -> DataFrame
     with orders_supplied (distinct orders) and avg_line_value."""
     li = t.lineitem.select("l_suppkey", "l_orderkey", "l_extendedprice")
     sup = t.supplier.select("s_suppkey", "s_name", "s_nationkey")
-    nation = t.nation.select("n_nationkey", "n_name")
+    nation = t.dimension("nation", "n_nationkey", "n_name")
     # Fact first, one dimension per join: each join's small side is a base
     # table whose size Spark knows from its files, never a dimension join
     # whose estimate (a product, without statistics) would exceed the fact's.

@@ -29,6 +29,10 @@ REQUIRED_COLUMNS: dict[str, tuple[str, ...]] = {
 
 TABLE_NAMES: tuple[str, ...] = tuple(REQUIRED_COLUMNS)
 
+# Fixed value: the most rows a dimension may have to be broadcast on our
+# own check (nation and region have 25 and 5).
+SMALL_DIMENSION_ROWS = 10_000
+
 
 class MissingColumnsError(ValueError):
     """A table lacks columns the summaries need."""
@@ -49,6 +53,7 @@ class Tables:
         self._open = open_table
         self._check = check
         self._frames: dict[str, DataFrame] = {}
+        self._small: dict[str, bool] = {}
 
     @classmethod
     def of(cls, spark: SparkSession, check: bool = True, **frames: DataFrame) -> "Tables":
@@ -68,6 +73,20 @@ class Tables:
     def spark(self) -> SparkSession:
         return self._spark
 
+    def is_small(self, name: str, max_rows: int = SMALL_DIMENSION_ROWS) -> bool:
+        """Whether the table has at most ``max_rows`` rows, proven by a bounded
+        count (``limit(max_rows + 1).count()``) that runs once per bundle."""
+        if name not in self._small:
+            self._small[name] = self.table(name).limit(max_rows + 1).count() <= max_rows
+        return self._small[name]
+
+    def dimension(self, name: str, *columns: str) -> DataFrame:
+        """``columns`` of a lookup table, marked for broadcast when
+        :meth:`is_small` proves its size; otherwise left to Spark's own
+        size-based choice (sort-merge beyond the threshold)."""
+        df = self.table(name).select(*columns)
+        return F.broadcast(df) if self.is_small(name) else df
+
     @property
     def region(self) -> DataFrame:
         return self.table("region")
