@@ -43,7 +43,7 @@ SELECT {_MONTH.format('o_orderdate')} AS order_month,
        COUNT(DISTINCT o_custkey) AS unique_customers
 FROM orders
 GROUP BY 1
-ORDER BY order_month"""
+ORDER BY order_month NULLS FIRST"""
 
 _Q03 = f"""
 SELECT o_orderstatus AS status, COUNT(*) AS order_count,
@@ -132,7 +132,7 @@ SELECT {_MONTH.format('o.o_orderdate')} AS order_month, c.c_mktsegment AS segmen
 FROM orders o
 JOIN customer c ON o.o_custkey = c.c_custkey
 GROUP BY 1, 2
-ORDER BY order_month, segment"""
+ORDER BY order_month NULLS FIRST, segment NULLS FIRST"""
 
 # Stand-in: class = l_returnflag, commit date = order date + 60 days.
 _DAYS = "DATE_DIFF('day', CAST(o.o_orderdate AS DATE) + 60, CAST(l.l_shipdate AS DATE))"

@@ -35,6 +35,10 @@ covers a hot join key there.
 entities with the same name merge (Q05, Q08, Q09, Q12).
 
 *Exact money.* See :mod:`orderscope.functions.money`.
+
+*Sort order.* A plain ascending sort keeps Spark SQL's default, NULLs first
+(a NULL month leads); descending sorts put NULLs last. The tie-break
+columns that this library adds to every top-N sort ascending, NULLs last.
 """
 
 from __future__ import annotations
@@ -96,7 +100,7 @@ def orders_summary(t: Tables) -> DataFrame:
         cents_value("_revenue").alias("total_revenue"),
         cents_mean("_revenue", "_priced").alias("avg_order_value"),
         "unique_customers",
-    ).orderBy(F.col("order_month").asc_nulls_last())
+    ).orderBy(F.col("order_month").asc())
 
 
 def _status_totals(t: Tables) -> DataFrame:
@@ -132,7 +136,7 @@ def monthly_revenue(t: Tables) -> DataFrame:
     agg = t.orders.groupBy(month_start("o_orderdate").alias("month")).agg(
         money_sum("o_totalprice").alias("_revenue"))
     return (agg.select("month", cents_value("_revenue").alias("revenue"))
-            .orderBy(F.col("month").asc_nulls_last()))
+            .orderBy(F.col("month").asc()))
 
 
 def preview(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
@@ -257,7 +261,7 @@ def monthly_trend_by_segment(t: Tables) -> DataFrame:
     agg = joined.groupBy("order_month", F.col("c_mktsegment").alias("segment")).agg(
         F.sum("revenue").alias("_revenue"))
     return (agg.select("order_month", "segment", cents_value("_revenue").alias("revenue"))
-            .orderBy(F.col("order_month").asc_nulls_last(), F.col("segment").asc_nulls_last()))
+            .orderBy(F.col("order_month").asc(), F.col("segment").asc()))
 
 
 def top_customers_by_order_count(t: Tables, n: int = SAMPLE_TOP_CUSTOMERS_BY_COUNT) -> DataFrame:

@@ -220,7 +220,7 @@ def test_m7_month_edges(spark, zone):
         rows = [(r.order_month, r.total_orders) for r in S.orders_summary(t).collect()]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
-    assert rows == [(dt.date(2020, 1, 1), 1), (dt.date(2020, 2, 1), 2), (None, 1)]
+    assert rows == [(None, 1), (dt.date(2020, 1, 1), 1), (dt.date(2020, 2, 1), 2)]
 
 
 # ---------------------------------------------------------------- limits, cards
@@ -235,3 +235,13 @@ def test_kpi_cards_order_and_labels(m1):
     rows = [tuple(r) for r in D.kpi_cards(m1).collect()]
     assert rows == [(1, "Total Orders", "3"), (2, "Total Revenue", "$220.00"),
                     (3, "Unique Customers", "2"), (4, "Avg Order Value", "$73.33")]
+
+
+def test_m7_null_month_sorts_first_like_spark_sql(spark):
+    from orderscope.plans.adhoc import SAMPLE_QUERIES, run_sql
+    dates = [dt.datetime(2020, 1, 31), dt.datetime(2020, 2, 1), None]
+    t = make_tables(spark, orders=[_order(i, 1, 1.0, d) for i, d in enumerate(dates)])
+    via_sql = [tuple(r) for r in run_sql(spark, SAMPLE_QUERIES["Monthly revenue growth"], tables=t).collect()]
+    via_df = [tuple(r) for r in S.monthly_revenue(t).collect()]
+    assert via_sql == via_df
+    assert via_df[0][0] is None
