@@ -84,7 +84,7 @@ def kpi_cards_from(kpis: DataFrame) -> DataFrame:
     formats = {"number": humanize_number, "currency": humanize_currency}
     cards = F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(label).alias("label"),
-                 formats[kind](F.col(col)).alias("text"))
+                 formats[kind](col).alias("text"))
         for i, (label, col, kind) in enumerate(KPI_CARDS, start=1)
     ])
     return kpis.select(F.inline(cards))
@@ -98,13 +98,9 @@ def kpi_cards(t: Tables) -> DataFrame:
 def regional_summary_display(t: Tables) -> DataFrame:
     """D1 as the dashboard's table shows it: ``$1,234.56`` money and
     ``1,235`` counts (F8, F9), still sorted by revenue."""
-    d1 = S.region_nation_totals(t).groupBy("region").agg(
-        F.sum("order_count").alias("_orders"), F.sum("revenue").alias("_revenue"))
-    return (d1.select(
+    return regional_summary(t).select(
         "region",
-        whole_number("_orders").alias("order_count"),
-        dollars(cents_value("_revenue")).alias("total_revenue"),
-        dollars(cents_mean("_revenue", "_orders")).alias("avg_order_value"),
-        cents_value("_revenue").alias("_sort"))
-        .orderBy(F.col("_sort").desc_nulls_last(), F.col("region").asc_nulls_last())
-        .drop("_sort"))
+        whole_number("order_count").alias("order_count"),
+        dollars("total_revenue").alias("total_revenue"),
+        dollars("avg_order_value").alias("avg_order_value"),
+    )
