@@ -10,13 +10,18 @@ from orderscope.functions.money import (
     cents_mean,
     cents_value,
     money,
+    merge_split,
     money_sum,
     net_price,
+    net_units,
     ratio,
+    split_sum,
+    split_value,
 )
 
 __all__ = [
     "MONEY_TYPE", "as_double", "cents", "cents_mean", "cents_value", "coerce_numeric",
     "days_between", "dollars", "humanize_currency", "humanize_number", "money", "money_sum",
-    "month_start", "net_price", "parse_number", "ratio", "whole_number",
+    "merge_split", "month_start", "net_price", "net_units", "parse_number", "ratio",
+    "split_sum", "split_value", "whole_number",
 ]

@@ -46,7 +46,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderscope.functions.dates import month_start
-from orderscope.functions.money import as_double, cents_mean, cents_value, money_sum, net_price
+from orderscope.functions.money import (
+    cents_mean,
+    cents_value,
+    merge_split,
+    money_sum,
+    net_units,
+    split_sum,
+    split_value,
+)
 from orderscope.operators.punctuality import shipping_punctuality
 from orderscope.operators.topk import top_k
 from orderscope.sources.tables import MissingColumnsError, Tables
@@ -288,16 +296,16 @@ def top_parts_by_revenue(t: Tables, n: int = DEFAULT_TOP_PARTS) -> DataFrame:
     """Q08: top ``n`` (part_name, part_type, brand) by discounted revenue,
     with quantity_sold. Parts sharing all three names are merged."""
     per = t.lineitem.groupBy("l_partkey").agg(
-        F.sum(net_price("l_extendedprice", "l_discount")).alias("net"),
+        *split_sum(net_units("l_extendedprice", "l_discount"), "net"),
         money_sum("l_quantity").alias("qty"),
     )
     part = t.part.select("p_partkey", "p_name", "p_type", "p_brand")
     agg = (per.join(part, per["l_partkey"] == part["p_partkey"])
            .groupBy(F.col("p_name").alias("part_name"), F.col("p_type").alias("part_type"),
                     F.col("p_brand").alias("brand"))
-           .agg(F.sum("net").alias("_net"), F.sum("qty").alias("_qty")))
+           .agg(*merge_split("net"), F.sum("qty").alias("_qty")))
     out = agg.select("part_name", "part_type", "brand",
-                     as_double("_net").alias("revenue"), cents_value("_qty").alias("quantity_sold"))
+                     split_value("net").alias("revenue"), cents_value("_qty").alias("quantity_sold"))
     return top_k(out, n, ["revenue"], ["part_name", "part_type", "brand"])
 
 

@@ -245,3 +245,22 @@ def test_m7_null_month_sorts_first_like_spark_sql(spark):
     via_df = [tuple(r) for r in S.monthly_revenue(t).collect()]
     assert via_sql == via_df
     assert via_df[0][0] is None
+
+
+# ---------------------------------------------------------------- exact split sums
+
+def test_split_sum_is_exact(spark):
+    import random
+    from decimal import Decimal
+    from orderscope.functions.money import merge_split, split_sum, split_value
+    rng = random.Random(3)
+    edge = [0, 1, -1, (1 << 23) - 1, 1 << 23, -(1 << 23), (1 << 40) + 7, -(1 << 40) - 5]
+    rows = [(g, v) for g in range(4) for v in edge + [rng.randint(-10**12, 10**12) for _ in range(500)]]
+    df = spark.createDataFrame(rows, "g int, v long")
+    per_g = df.groupBy("g").agg(*split_sum(F.col("v"), "s"))
+    total = per_g.agg(*merge_split("s")).select(split_value("s", Decimal(1)).alias("t")).first().t
+    got = {r.g: r.t for r in per_g.select("g", split_value("s", Decimal("0.0001")).alias("t")).collect()}
+    for g in range(4):
+        exact = sum(v for gg, v in rows if gg == g)
+        assert got[g] == float(Decimal(exact) * Decimal("0.0001"))
+    assert total == float(sum(v for _, v in rows))
