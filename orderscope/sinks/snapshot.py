@@ -20,6 +20,7 @@ long as it is younger than ``max_age_seconds``.
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 
@@ -32,6 +33,8 @@ from orderscope.session import checkpoint_dir
 # Fixed value: how long a summary is reused before it is rebuilt.
 DEFAULT_MAX_AGE_SECONDS = 3600
 
+_BUILD_DIR = re.compile(r"/build_id=(\d+)/")
+
 
 class SnapshotStore:
     """Parquet snapshots of summaries, keyed by name and arguments."""
@@ -58,11 +61,17 @@ class SnapshotStore:
             return None
 
     def latest_build(self, name: str, params: dict | None = None) -> int | None:
-        """Epoch ms of the newest committed build, or None."""
+        """Epoch ms of the newest committed build, or None.
+
+        Read from the partition folder names of the committed files
+        (``inputFiles`` lists them on the driver); no job scans the stored
+        builds, so the lookup does not slow down as builds accumulate."""
         df = self._read(self.path(name, params))
         if df is None:
             return None
-        return df.agg(F.max("build_id")).first()[0]
+        ids = [int(m.group(1)) for f in df.inputFiles()
+               if (m := _BUILD_DIR.search(f)) is not None]
+        return max(ids, default=None)
 
     def read(self, name: str, params: dict | None = None, build_id: int | None = None) -> DataFrame:
         """A stored build (the newest by default), in its stored row order,
