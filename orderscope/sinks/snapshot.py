@@ -100,5 +100,10 @@ class SnapshotStore:
             newest = self.latest_build(name, params)
             if newest is not None and time.time() * 1000 - newest <= self.max_age_seconds * 1000:
                 return self.read(name, params, newest)
-        build_id = self.write(name, build(), params)
+        fresh = build()
+        build_id = self.write(name, fresh, params)
+        if self.latest_build(name, params) != build_id:
+            # An empty result writes no partition folder; there is nothing
+            # to read back, so the (empty) result is returned as built.
+            return fresh
         return self.read(name, params, build_id)

@@ -102,3 +102,9 @@ def test_load_from_catalog_namespace(spark):
     # A catalog namespace works like a folder: every table under one prefix.
     t = load_tables(spark, "global_temp", catalog=True)
     assert S.kpi_metrics(t).first().total_orders == 15000
+
+
+def test_snapshot_of_empty_result(spark, sf001):
+    store = SnapshotStore(spark, tempfile.mkdtemp(prefix="orderscope-snap-"))
+    empty = store.get_or_build("none", lambda: S.revenue_by_region(sf001).filter("order_count < 0"))
+    assert empty.count() == 0
