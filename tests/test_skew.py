@@ -71,7 +71,8 @@ def test_exact_under_hot_keys(skewed, skewed_duck, name):
 
 
 @pytest.mark.parametrize("name, key", [("revenue_by_region", "o_custkey"),
-                                       ("top_customers", "o_custkey"),
+                                       ("top_customers_by_order_count", "o_custkey"),
+                                       ("market_segment_analysis", "o_custkey"),
                                        ("top_parts_by_revenue", "l_partkey"),
                                        ("part_sales_by_type", "l_partkey")])
 def test_hot_key_collapsed_before_the_join(skewed, name, key):
