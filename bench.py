@@ -71,6 +71,7 @@ def main() -> None:
         "config": {
             "spark": spark.version,
             "cores": cpus,
+            "driver_memory": spark.conf.get("spark.driver.memory"),
             "shuffle_partitions": int(spark.conf.get("spark.sql.shuffle.partitions")),
             "runs": runs,
             "warm": True,

@@ -5,7 +5,10 @@ with a header row — it is never gathered into one task or onto the driver,
 since an ad-hoc result has no size bound. Options make the text match a
 pandas ``to_csv(index=False)`` export: empty strings and NULL both as an
 empty field, quotes escaped by doubling, dates ``yyyy-MM-dd`` and
-timestamps ``yyyy-MM-dd HH:mm:ss``.
+timestamps ``yyyy-MM-dd HH:mm:ss``. Two known differences remain: doubles
+of 1e7 and above are written in Java's notation (``2.2E9`` where pandas
+writes ``2200000000.0``; both parse to the same value), and booleans are
+``true``/``false``.
 
 The row count comes from an ``Observation`` on the write itself, so the
 result is computed once, not once to count and again to write.
