@@ -1,15 +1,16 @@
 """Several summaries from one shared, persisted aggregate.
 
-The dashboard draws some summaries side by side from the same join: the
-geography view shows revenue by region and nation, its regional roll-up,
-the top nations and the region → nation hierarchy; the segment view shows
-the segment table and its revenue shares. Computed one by one, each would
-scan and aggregate the fact table again.
+The dashboard draws some summaries side by side from the same data: the
+overview shows the KPIs, the monthly trend and the status and priority
+breakdowns; the geography view shows revenue by region and nation, its
+regional roll-up, the top nations and the region → nation hierarchy; the
+segment view shows the segment table and its revenue shares. Computed one
+by one, each would scan and aggregate the fact table again.
 
 These context managers aggregate once, ``persist`` the small result (one row
-per region and nation, or per segment — its size is bounded by the
-dimension, not by the orders) and derive every view from it; on exit the
-cache is released. A lost executor only loses cached blocks, which Spark
+per status, priority and month, per region and nation, or per segment — its
+size is bounded by the dimensions, not by the orders) and derive every view
+from it; on exit the cache is released. A lost executor only loses cached blocks, which Spark
 recomputes from the lineage.
 """
 
@@ -22,12 +23,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderscope.functions.money import cents_mean, cents_value
+from orderscope.functions.dates import month_start
+from orderscope.functions.money import cents_mean, cents_value, money_sum
 from orderscope.operators.hierarchy import hierarchy_totals
 from orderscope.operators.shares import share_of_total
 from orderscope.operators.topk import top_k
 from orderscope.plans import summaries as S
-from orderscope.plans.derived import TOP_NATIONS
+from orderscope.plans.derived import TOP_NATIONS, kpi_cards_from
 from orderscope.sources.tables import Tables
 
 
@@ -78,3 +80,67 @@ def segments(t: Tables) -> Iterator[dict[str, DataFrame]]:
         yield {"market_segment_analysis": q07, "segment_revenue_share": d5}
     finally:
         base.unpersist()
+
+
+@contextmanager
+def overview(t: Tables) -> Iterator[dict[str, DataFrame]]:
+    """Q01–Q04, Q13, D4 and D7 from two scans of the orders instead of five.
+
+    Scan one builds a cube of additive measures by (status, priority,
+    month) — combined map-side, at most statuses × priorities × months
+    rows — and persists it; the breakdowns and all sums come from it.
+    Scan two counts distinct customers per month and overall in one
+    ``rollup``; that needs the customer key, so it cannot come from the
+    cube. Each view equals its stand-alone function."""
+    month = month_start("o_orderdate").alias("order_month")
+    cube = (t.orders.groupBy(F.col("o_orderstatus").alias("status"),
+                             F.col("o_orderpriority").alias("priority"), month)
+            .agg(F.count(F.lit(1)).alias("orders"), money_sum("o_totalprice").alias("cents"),
+                 F.count("o_totalprice").alias("priced"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    customers = (t.orders.rollup(month)
+                 .agg(F.count_distinct("o_custkey").alias("customers"),
+                      F.grouping_id().alias("level"))
+                 .persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        def by(key: str) -> DataFrame:
+            return cube.groupBy(key).agg(F.sum("orders").alias("order_count"),
+                                         F.sum("cents").alias("_value"),
+                                         F.sum("priced").alias("_priced"))
+
+        q03 = (by("status").select("status", "order_count", cents_value("_value").alias("total_value"))
+               .orderBy(F.col("order_count").desc(), F.col("status").asc_nulls_last()))
+        q04 = (by("priority").select("priority", "order_count",
+                                     cents_value("_value").alias("total_value"),
+                                     cents_mean("_value", "_priced").alias("avg_value"))
+               .orderBy(F.col("order_count").desc(), F.col("priority").asc_nulls_last()))
+        months = by("order_month")
+        per_month = customers.filter(F.col("level") == 0).select(
+            F.col("order_month").alias("_month"), "customers")
+        q02 = (months.join(per_month, months["order_month"].eqNullSafe(per_month["_month"]))
+               .select("order_month", F.col("order_count").alias("total_orders"),
+                       cents_value("_value").alias("total_revenue"),
+                       cents_mean("_value", "_priced").alias("avg_order_value"),
+                       F.col("customers").alias("unique_customers"))
+               .orderBy(F.col("order_month").asc()))
+        q13 = (months.select(F.col("order_month").alias("month"), cents_value("_value").alias("revenue"))
+               .orderBy(F.col("month").asc()))
+        # Two one-row results become one row by a union and an aggregate
+        # (no cross join). Empty orders give 0 orders and 0 customers.
+        totals = cube.agg(F.sum("orders").alias("orders"), F.sum("cents").alias("cents"),
+                          F.sum("priced").alias("priced"))
+        everyone = customers.filter(F.col("level") == 1).select("customers")
+        one = totals.unionByName(everyone, allowMissingColumns=True).agg(
+            F.max("orders").alias("orders"), F.max("cents").alias("cents"),
+            F.max("priced").alias("priced"), F.max("customers").alias("customers"))
+        q01 = one.select(F.coalesce("orders", F.lit(0).cast("long")).alias("total_orders"),
+                         cents_value("cents").alias("total_revenue"),
+                         F.coalesce("customers", F.lit(0).cast("long")).alias("total_customers"),
+                         cents_mean("cents", "priced").alias("avg_order_value"))
+        yield {"kpi_metrics": q01, "orders_summary": q02, "orders_by_status": q03,
+               "orders_by_priority": q04, "monthly_revenue": q13,
+               "status_share": q03.withColumn("order_share", share_of_total("order_count")),
+               "kpi_cards": kpi_cards_from(q01)}
+    finally:
+        cube.unpersist()
+        customers.unpersist()

@@ -113,3 +113,24 @@ def test_shared_segment_views_equal_standalone(sf001):
         got = {name: [tuple(r) for r in df.collect()] for name, df in views.items()}
     for name, rows in got.items():
         assert rows == [tuple(r) for r in QUERIES[name](sf001).collect()], name
+
+
+def test_shared_overview_views_equal_standalone(sf001):
+    from orderscope.plans.tabs import overview
+    with overview(sf001) as views:
+        got = {name: [tuple(r) for r in df.collect()] for name, df in views.items()}
+    for name, rows in got.items():
+        assert rows == [tuple(r) for r in QUERIES[name](sf001).collect()], name
+
+
+def test_shared_overview_with_null_months_and_empty_orders(spark):
+    import datetime as dt
+    from conftest import make_tables
+    from orderscope.plans.tabs import overview
+    orders = [(1, 1, "F", "1-U", dt.datetime(2020, 1, 3), 10.0), (2, 2, "O", "2-H", None, 5.5),
+              (3, 1, None, "1-U", None, None), (4, None, "F", None, dt.datetime(2020, 2, 1), 1.25)]
+    for t in (make_tables(spark, orders=orders), make_tables(spark)):
+        with overview(t) as views:
+            got = {name: [tuple(r) for r in df.collect()] for name, df in views.items()}
+        for name, rows in got.items():
+            assert rows == [tuple(r) for r in QUERIES[name](t).collect()], name
