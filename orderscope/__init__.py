@@ -11,8 +11,9 @@ Layout
 ``sources``    table loading, view registration, column checks, ``source_check``
 ``functions``  column expressions: money, months, display formats, coercion
 ``operators``  reusable DataFrame transforms: top-k, shares, roll-ups,
-               aggregate-below-join, punctuality counts
-``plans``      the named summaries, derived tables and ad-hoc SQL
+               punctuality counts
+``plans``      the named summaries, derived tables, shared-aggregate views
+               and ad-hoc SQL
 ``sinks``      CSV export, summary snapshots, write metrics
 ``streaming``  intentionally empty (the source application has no streams)
 """

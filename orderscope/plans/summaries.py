@@ -24,8 +24,12 @@ the result. This
   missing size statistic can never turn them into a sort-merge join that
   hash-partitions a large frame on 25 keys.
 
-Distinct counts over a joined attribute (Q09's orders per supplier name)
-cannot be merged from per-key partials; they use the direct join and
+Where the pre-aggregate would not pay, the join comes first and the
+aggregate right after it combines map-side: Q05, whose groups are single
+customers, and Q10, whose (customer, month) pre-aggregate could not share
+its partitioning with the customer join (see their docstrings; both were
+measured). Distinct counts over a joined attribute (Q09's orders per
+supplier name) cannot be merged from per-key partials; they use the direct join and
 Spark's distinct-aggregate plan, which aggregates on
 ``(group, l_orderkey)`` map-side before shuffling. AQE's skew-join split
 covers a hot join key there.
