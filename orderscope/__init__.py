@@ -2,7 +2,7 @@
 
 Every public function takes a :class:`~orderscope.sources.tables.Tables`
 bundle (or a DataFrame) and returns a *lazy* DataFrame; nothing is
-collected until the caller acts. Money is summed as exact decimals and
+collected until the caller acts. Money is summed exactly (integer cents) and
 every top-N carries a full tie-break, so results do not depend on how the
 data is partitioned.
 
