@@ -13,7 +13,7 @@ driver holding one flag per column) and then returns a lazy ``select``.
 Accepted text: optional spaces, optional sign, digits with an optional
 decimal point and exponent, or ``inf``/``infinity``. ``nan`` does not count
 as a number, and neither does a type suffix such as ``1d`` or ``2f``,
-which Spark's own cast would accept.
+which Spark's own cast would accept, nor a literal beyond the double range.
 """
 
 from __future__ import annotations
@@ -22,14 +22,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Fixed value: the number syntax accepted (case-insensitive).
+# The number syntax accepted, and the spelled-out infinities
+# within it (both case-insensitive).
 NUMBER_PATTERN = r"(?i)^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity)\s*$"
+INFINITY_PATTERN = r"(?i)^\s*[+-]?(inf|infinity)\s*$"
 
 
 def parse_number(c: str | Column) -> Column:
-    """The text as double, or NULL when it is not a number by the rule above."""
+    """The text as double, or NULL when it is not a number by the rule above.
+    Only the words ``inf``/``infinity`` give an infinite value; a literal too
+    large for a double (``1e400``) is not a number."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.when(col.rlike(NUMBER_PATTERN), col.try_cast("double"))
+    value = col.try_cast("double")
+    finite_or_named = col.rlike(INFINITY_PATTERN) | (F.abs(value) != F.lit(float("inf")))
+    return F.when(col.rlike(NUMBER_PATTERN) & finite_or_named, value)
 
 
 def coerce_numeric(df: DataFrame) -> DataFrame:

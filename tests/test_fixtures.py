@@ -115,6 +115,7 @@ def test_m3_missing_columns_raise(spark):
     (["0x10", "1_000"], None),
     (["1,000", "nan"], None),
     (["1d", ""], None),
+    (["1e400", "-1e400", "2", "-INFINITY"], [None, None, 2.0, float("-inf")]),
 ])
 def test_m4_coerce_numeric(spark, values, expected):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
