@@ -34,7 +34,23 @@ def _quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _humanize_sql(name: str, prefix: str, small_pattern: str) -> str:
+def _fraction(decimals: int) -> str:
+    return "." + "0" * decimals if decimals else ""
+
+
+def _plain(x: str, prefix: str, integer_pattern: str, decimals: int) -> str:
+    """``x`` in the pattern, exact like Python also for |x| ≥ 2^53.
+
+    Doubles that large are whole numbers, and Python prints their exact
+    value, where ``format_number`` prints the shortest decimal digits and
+    pads with zeros. Below 2^63 the value is formatted as a ``BIGINT``."""
+    big = f"abs({x}) >= 9007199254740992D AND abs({x}) < 9223372036854775808D"
+    return (f"CASE WHEN {big} THEN concat('{prefix}', format_number(CAST({x} AS BIGINT), "
+            f"'{integer_pattern}'), '{_fraction(decimals)}') "
+            f"ELSE concat('{prefix}', format_number({x}, '{integer_pattern}{_fraction(decimals)}')) END")
+
+
+def _humanize_sql(name: str, prefix: str, integer_pattern: str, decimals: int) -> str:
     x = f"CAST({_quote(name)} AS DOUBLE)"
     branches = [
         f"WHEN {x} IS NULL THEN NULL",
@@ -47,28 +63,26 @@ def _humanize_sql(name: str, prefix: str, small_pattern: str) -> str:
         f"concat('{prefix}', format_number({x} / {threshold}, '{pattern}'), '{suffix}')"
         for threshold, suffix, pattern in UNITS
     ]
-    return (f"CASE {' '.join(branches)} "
-            f"ELSE concat('{prefix}', format_number({x}, '{small_pattern}')) END")
+    return f"CASE {' '.join(branches)} ELSE {_plain(x, prefix, integer_pattern, decimals)} END"
 
 
 def humanize_currency(name: str) -> Column:
     """``$1.23B``, ``$4.56M``, ``$7.8K`` or ``$12.34``."""
-    return F.expr(_humanize_sql(name, "$", "0.00"))
+    return F.expr(_humanize_sql(name, "$", "0", 2))
 
 
 def humanize_number(name: str) -> Column:
     """``1.23B``, ``4.56M``, ``7.8K`` or ``1,234``-style whole number."""
-    return F.expr(_humanize_sql(name, "", "#,##0"))
+    return F.expr(_humanize_sql(name, "", "#,##0", 0))
 
 
 def _grouped_sql(name: str, prefix: str, decimals: int) -> str:
     x = f"CAST({_quote(name)} AS DOUBLE)"
-    pattern = "#,##0" + ("." + "0" * decimals if decimals else "")
     return (f"CASE WHEN {x} IS NULL THEN NULL"
             f" WHEN isnan({x}) THEN '{prefix}nan'"
             f" WHEN {x} = double('inf') THEN '{prefix}inf'"
             f" WHEN {x} = double('-inf') THEN '{prefix}-inf'"
-            f" ELSE concat('{prefix}', format_number({x}, '{pattern}')) END")
+            f" ELSE {_plain(x, prefix, '#,##0', decimals)} END")
 
 
 def dollars(name: str) -> Column:

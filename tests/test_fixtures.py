@@ -182,6 +182,8 @@ def test_m5_formats_agree_with_python_rounding(spark):
     values = [0.005, 0.015, 0.025, 1.005, 2.675, 8.345, 999.995, 1049.95, 1050.0, 999950.0,
               -0.001, -1234.5, 12345.675, 2.5, 3.5, 0.5, 1.5]
     values += [round(rng.uniform(-2e3, 5e9), rng.randint(0, 4)) for _ in range(300)]
+    values += [1e15, 1e17, 1.234567890123e18, 2.0 ** 56 + 16, 2.25e16, -(2.0 ** 60) - 256,
+               2.0 ** 53, 9007199254740993.0, 2.0 ** 62, -(2.0 ** 62)]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
     out = df.select("i", humanize_currency("v").alias("c"), humanize_number("v").alias("n"),
                     dollars("v").alias("d"), whole_number("v").alias("w"))
