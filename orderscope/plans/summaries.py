@@ -8,9 +8,9 @@ Plan shape, chosen for scale
 *Aggregate below the join.* Catalyst does not push an aggregate through a
 join, so where a summary joins the fact table (orders, line items) to a
 dimension only to group by dimension attributes, the fact table is first
-aggregated on the join key. Every measure used is additive (counts, exact cent sums), so
-the per-key partials can be merged again after the join without changing
-the result. This
+aggregated on the join key. Every measure used is additive (counts, exact
+cent sums, limbs), so the per-key partials can be merged again after the
+join without changing the result. This
 
 * collapses a hot key — one customer or part holding a third of all rows —
   into one row per map task before the shuffle (map-side combine), so no
@@ -29,8 +29,8 @@ aggregate right after it combines map-side: Q05, whose groups are single
 customers, and Q10, whose (customer, month) pre-aggregate could not share
 its partitioning with the customer join (see their docstrings; both were
 measured). Distinct counts over a joined attribute (Q09's orders per
-supplier name) cannot be merged from per-key partials; they use the direct join and
-Spark's distinct-aggregate plan, which aggregates on
+supplier name) cannot be merged from per-key partials; they use the direct
+join and Spark's distinct-aggregate plan, which aggregates on
 ``(group, l_orderkey)`` map-side before shuffling. AQE's skew-join split
 covers a hot join key there.
 
