@@ -108,3 +108,22 @@ def test_snapshot_of_empty_result(spark, sf001):
     store = SnapshotStore(spark, tempfile.mkdtemp(prefix="orderscope-snap-"))
     empty = store.get_or_build("none", lambda: S.revenue_by_region(sf001).filter("order_count < 0"))
     assert empty.count() == 0
+
+
+def test_refresh_summaries_builds_then_reuses(spark):
+    from orderscope.refresh import NOT_CACHED, refresh_summaries
+    from orderscope.plans.registry import QUERIES
+    t = load_tables(spark, "/root/testdata/sf0.001")
+    store = SnapshotStore(spark, tempfile.mkdtemp(prefix="orderscope-refresh-"))
+    names = ["kpi_metrics", "revenue_by_region", "top_customers"]
+    first = refresh_summaries(t, store, names=names)
+    builds = {n: store.latest_build(n) for n in names}
+    again = refresh_summaries(t, store, names=names)
+    assert {n: store.latest_build(n) for n in names} == builds  # reused, not rebuilt
+    for n in names:
+        expected = [tuple(r) for r in QUERIES[n](t).collect()]
+        assert [tuple(r)[:-1] for r in again[n].collect()] == expected
+        assert [tuple(r)[:-1] for r in first[n].collect()] == expected
+    refresh_summaries(t, store, force=True, names=["kpi_metrics"])
+    assert store.latest_build("kpi_metrics") > builds["kpi_metrics"]
+    assert "source_check" in NOT_CACHED
