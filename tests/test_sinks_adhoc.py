@@ -127,3 +127,13 @@ def test_refresh_summaries_builds_then_reuses(spark):
     refresh_summaries(t, store, force=True, names=["kpi_metrics"])
     assert store.latest_build("kpi_metrics") > builds["kpi_metrics"]
     assert "source_check" in NOT_CACHED
+
+
+def test_refresh_command_line(spark, capsys):
+    import json
+    from orderscope.refresh import main
+    root = tempfile.mkdtemp(prefix="orderscope-refresh-cli-")
+    main(["--source", "/root/testdata/sf0.001", "--root", root, "--only", "orders_by_status,monthly_revenue"])
+    report = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert report["summaries"] == ["monthly_revenue", "orders_by_status"]
+    assert sorted(os.listdir(root)) == ["monthly_revenue", "orders_by_status"]
