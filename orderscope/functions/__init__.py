@@ -4,24 +4,18 @@ from orderscope.functions.coerce import coerce_numeric, parse_number
 from orderscope.functions.dates import days_between, month_start
 from orderscope.functions.display import dollars, humanize_currency, humanize_number, whole_number
 from orderscope.functions.money import (
-    MONEY_TYPE,
-    as_double,
     cents,
     cents_mean,
     cents_value,
-    money,
     merge_split,
     money_sum,
-    net_price,
     net_units,
-    ratio,
     split_sum,
     split_value,
 )
 
 __all__ = [
-    "MONEY_TYPE", "as_double", "cents", "cents_mean", "cents_value", "coerce_numeric",
-    "days_between", "dollars", "humanize_currency", "humanize_number", "money", "money_sum",
-    "merge_split", "month_start", "net_price", "net_units", "parse_number", "ratio",
-    "split_sum", "split_value", "whole_number",
+    "cents", "cents_mean", "cents_value", "coerce_numeric", "days_between", "dollars",
+    "humanize_currency", "humanize_number", "merge_split", "money_sum", "month_start",
+    "net_units", "parse_number", "split_sum", "split_value", "whole_number",
 ]

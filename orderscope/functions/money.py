@@ -29,10 +29,8 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The exact type for two-decimal amounts (as cast by the
-# reference SQL), the number of cents in a unit, the value of one unit of a
+# The number of cents in a unit, the value of one unit of a
 # discounted price (cent × percent), and the width of a split sum's low limb.
-MONEY_TYPE = "decimal(15,2)"
 CENTS_PER_UNIT = 100
 NET_UNIT = Decimal("0.0001")
 LOW_LIMB_BITS = 23
@@ -42,11 +40,6 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def money(c: str | Column) -> Column:
-    """The value as an exact two-decimal amount."""
-    return _col(c).cast(MONEY_TYPE)
-
-
 def cents(c: str | Column) -> Column:
     """The amount in whole cents (half-up), as ``long``."""
     return F.round(_col(c) * F.lit(CENTS_PER_UNIT)).cast("long")
@@ -69,11 +62,6 @@ def cents_mean(total_cents: str | Column, count: str | Column) -> Column:
     return F.try_divide(cents_value(total_cents), _col(count))
 
 
-def net_price(price: str | Column, discount: str | Column) -> Column:
-    """``price * (1 - discount)`` in exact decimals (scale 4)."""
-    return money(price) * (F.lit(1) - money(discount))
-
-
 def net_units(price: str | Column, discount: str | Column) -> Column:
     """``price * (1 - discount)`` as a whole number of :data:`NET_UNIT`
     (price in cents × remaining percent), as ``long``; exact."""
@@ -99,14 +87,3 @@ def split_value(name: str, unit: Decimal = NET_UNIT) -> Column:
     total = (F.col(f"{name}_hi").cast("decimal(38,0)") * F.lit(1 << LOW_LIMB_BITS)
              + F.col(f"{name}_lo").cast("decimal(38,0)"))
     return (total * F.lit(unit)).cast("double")
-
-
-def as_double(c: str | Column) -> Column:
-    """Cast a finished exact decimal total to double for output."""
-    return _col(c).cast("double")
-
-
-def ratio(numerator: str | Column, denominator: str | Column) -> Column:
-    """``numerator / denominator`` as double; NULL (not an error) on a zero
-    or NULL denominator."""
-    return F.try_divide(_col(numerator).cast("double"), _col(denominator))

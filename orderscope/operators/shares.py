@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
@@ -27,8 +27,3 @@ def share_of_total(value: str | Column,
     v = F.col(value) if isinstance(value, str) else value
     total = F.sum(v).over(Window.partitionBy())
     return F.try_divide(to_double(v), to_double(total))
-
-
-def with_share(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Add ``name`` = each row's share of the column total."""
-    return df.withColumn(name, share_of_total(value))
