@@ -61,3 +61,14 @@ def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> WriteRe
 
     rows, seconds = write_observed(df, write)
     return WriteReport(path, rows, seconds)
+
+
+def measure(df: DataFrame) -> WriteReport:
+    """Run ``df`` to the ``noop`` sink: the row count and elapsed time the
+    explorer shows after an ad-hoc query, computed in one pass without
+    collecting the result."""
+    def write(d: DataFrame) -> None:
+        d.write.format("noop").mode("overwrite").save()
+
+    rows, seconds = write_observed(df, write)
+    return WriteReport("noop", rows, seconds)

@@ -137,3 +137,10 @@ def test_refresh_command_line(spark, capsys):
     report = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert report["summaries"] == ["monthly_revenue", "orders_by_status"]
     assert sorted(os.listdir(root)) == ["monthly_revenue", "orders_by_status"]
+
+
+def test_measure_adhoc_query(spark, sf001):
+    from orderscope.sinks import measure
+    df = run_sql(spark, SAMPLE_QUERIES["Monthly revenue growth"], tables=sf001)
+    report = measure(df)
+    assert report.rows == df.count() and report.seconds > 0
