@@ -75,8 +75,8 @@ def segment_revenue_share(t: Tables) -> DataFrame:
 
 
 def on_time_rate(t: Tables) -> DataFrame:
-    """Q11 (stand-in on data without ship modes) plus on_time_rate in %."""
-    return with_on_time_rate(S.order_fulfillment_standin(t))
+    """Q11 (the stand-in on data without ship modes) plus on_time_rate in %."""
+    return with_on_time_rate(S.order_fulfillment(t))
 
 
 def kpi_cards_from(kpis: DataFrame) -> DataFrame:

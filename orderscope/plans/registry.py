@@ -40,7 +40,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "top_parts_by_revenue": S.top_parts_by_revenue,
     "supplier_performance": S.supplier_performance,
     "monthly_trend_by_segment": S.monthly_trend_by_segment,
-    "order_fulfillment_metrics": S.order_fulfillment_standin,
+    "order_fulfillment_metrics": S.order_fulfillment,
     "top_customers_by_order_count": S.top_customers_by_order_count,
     "monthly_revenue": S.monthly_revenue,
     "part_sales_by_type": S.part_sales_by_type,

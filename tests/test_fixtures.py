@@ -267,3 +267,16 @@ def test_split_sum_is_exact(spark):
         exact = sum(v for gg, v in rows if gg == g)
         assert got[g] == float(Decimal(exact) * Decimal("0.0001"))
     assert total == float(sum(v for _, v in rows))
+
+
+def test_registered_fulfillment_uses_real_columns_when_present(spark):
+    from orderscope.plans.registry import QUERIES
+    from orderscope.sources.tables import Tables
+    base = make_tables(spark, lineitem=[(1, 1, 1, 1.0, 1.0, 0.0, DAY), (2, 1, 1, 1.0, 1.0, 0.0, DAY)])
+    li = base.lineitem.withColumn("l_shipmode", F.lit("AIR")).withColumn(
+        "l_commitdate", F.to_date(F.lit("2020-01-14")))
+    t = Tables.of(spark, lineitem=li)
+    row = QUERIES["order_fulfillment_metrics"](t).first()
+    assert (row.ship_mode, row.shipment_count, row.late_count) == ("AIR", 2, 2)
+    rate = QUERIES["on_time_rate"](t).first()
+    assert rate.on_time_rate == 0.0
