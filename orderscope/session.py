@@ -34,6 +34,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Keep the driver's job/stage/query history short: a long-lived local
+        # session (tests, bench) otherwise accumulates it in driver memory.
+        .config("spark.ui.retainedJobs", "200")
+        .config("spark.ui.retainedStages", "200")
+        .config("spark.sql.ui.retainedExecutions", "50")
         .config("spark.driver.memory", driver_memory)
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
