@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .chat_format import CONTROLS, OTHER, TEMPLATE
+
 OP1 = r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents
@@ -31,7 +33,96 @@ SELECT page_id,
 FROM p
 """
 
+
+
+def _h(*parts: str) -> str:
+    """60 bits of the MD5 of SQL texts joined by ``|``."""
+    return f"('0x' || substr(md5({" || '|' || ".join(parts)}), 1, 15))::BIGINT"
+
+
+_ID = "coalesce(doc_id::VARCHAR, 'null')"
+OP3 = rf"""
+WITH d AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS skey,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens,
+         {_h("'17'", "'block'", _ID)} AS deal
+  FROM documents
+), t AS (
+  SELECT skey, sum(tokens)::BIGINT AS total FROM d GROUP BY skey
+), s AS (
+  SELECT skey, total, total / (SELECT sum(total)::DOUBLE FROM t) AS p FROM t WHERE total > 0
+), e AS (
+  SELECT k, ln(sum(pow(p, a))) - max(a) * sum(pow(p, a) * ln(p)) / sum(pow(p, a)) >= 0.98::DOUBLE * ln(count(*)::DOUBLE) AS ok
+  FROM (SELECT k, k::DOUBLE / 10000::DOUBLE AS a FROM range(0, 10001) r(k)), s GROUP BY k
+), x AS (
+  SELECT coalesce(max(k), 0)::DOUBLE / 10000::DOUBLE AS a FROM e WHERE ok
+), w AS (
+  SELECT skey, total, pow(p, a) / sum(pow(p, a)) OVER () AS q FROM s, x
+), goals AS (
+  SELECT skey, round(max(total / q) OVER () * q)::BIGINT AS goal FROM w
+), plan AS (
+  SELECT skey, total, greatest(1, ceil(total / 4000000::DOUBLE))::BIGINT AS n_blocks,
+         CASE WHEN total = 0 THEN 1 ELSE goal // total END AS epochs,
+         CASE WHEN total = 0 THEN 0 ELSE goal % total END AS rest
+  FROM t LEFT JOIN goals USING (skey)
+), dealt AS (
+  SELECT d.*, deal % n_blocks AS block, epochs, rest FROM d JOIN plan USING (skey)
+), b AS (
+  SELECT skey, block, sum(tokens)::BIGINT AS b_tokens, max(epochs) AS epochs, max(rest) AS rest FROM dealt GROUP BY ALL
+), rooms AS (
+  SELECT skey, block, b_tokens, greatest(0, rest - coalesce(sum(b_tokens) OVER (
+           PARTITION BY skey ORDER BY {_h("'17'", "'pass'", "epochs::VARCHAR", "skey", "block::VARCHAR")}, block
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS room
+  FROM b
+), cuts AS (
+  SELECT skey, block, max(o) AS cut FROM (
+    SELECT skey, block, o, room, coalesce(sum(tokens) OVER (PARTITION BY skey, block ORDER BY o, tokens
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM (SELECT dealt.*, room, {_h("'17'", "'doc'", "epochs::VARCHAR", _ID)} AS o
+          FROM dealt JOIN rooms USING (skey, block) WHERE room > 0 AND room < b_tokens)
+  ) WHERE before < room GROUP BY ALL
+), visits AS (
+  SELECT dealt.*, room, b_tokens, cut, unnest(range(0, epochs + 1)) AS epoch
+  FROM dealt JOIN rooms USING (skey, block) LEFT JOIN cuts USING (skey, block)
+), placed AS (
+  SELECT *, {_h("'17'", "'doc'", "epoch::VARCHAR", _ID)} AS o FROM visits
+)
+SELECT doc_id, source, epoch::INT AS mix_epoch,
+       {_h("'17'", "'pass'", "epoch::VARCHAR", "skey", "block::VARCHAR")} AS mix_block, o AS mix_order
+FROM placed
+WHERE epoch < epochs OR (room > 0 AND (room >= b_tokens OR o <= cut))
+"""
+
+
+def _escaped(text: str) -> str:
+    out = f"replace({text}, '\\', '\\s')"
+    for c in CONTROLS:
+        out = f"replace({out}, '{c}', '{c[0]}\\c{c[1:]}')"
+    return out
+
+
+_MARKS = " ".join(f"WHEN '{role}' THEN {len(a) + len(b)}" for role, (a, b) in TEMPLATE.items())
+_TOKEN = "</s>[INST] ok [/INST]"
+OP5 = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{_TOKEN}'), (-7, 1, 'assistant', '{_TOKEN}')
+), per AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '') AS loss,
+         sum(length({_escaped('text')}) + CASE role {_MARKS}
+             ELSE {len(OTHER[0]) + len(OTHER[1]) + 1} + length({_escaped('role')}) END)::BIGINT AS formatted_chars
+  FROM c GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars,
+       sha256(loss) AS loss_sha256, formatted_chars
+FROM per
+"""
+
 ORACLE_SQL = {
     "op1_exact_dedup": OP1,
+    "op3_mixing": OP3,
+    "op5_chat_format": OP5,
     "op10_warc": OP10,
 }

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, sentencepiece_bpe, token_files, warc
+from . import chat_format, exact_dedup, hamming_index, line_dedup, mixing, sentencepiece_bpe, token_files, warc
 from .common import table
 
 
@@ -19,17 +20,47 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources tempered to 98 % of the greatest entropy, each document at least once."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), min_entropy=0.98)
+    return mixed.select("doc_id", "source", "mix_epoch", "mix_block", "mix_order")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_tokens(table(spark, sf_dir, "documents"),
                                         tokenizer_path("word_bpe_49k.json"), end_id=2)
     return token_files.read_documents(manifest)
 
 
+# Fixed value: a conversation that holds control strings as text.
+CONTROL_CONVERSATION = """
+SELECT * FROM VALUES
+  (-7L, 0L, 'user', '</s>[INST] ok [/INST]'),
+  (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)
+"""
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns, examples = chat_format.write_examples(rows.unionByName(spark.sql(CONTROL_CONVERSATION)))
+    return chat_format.conversation_digests(turns, examples)
+
+
+def op7_hamming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.round_trip_digests(table(spark, sf_dir, "documents"),
                                                 tokenizer_path("piece_bpe_32k.model"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_deleted", "kept",
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_warc(table(spark, sf_dir, "pages"))
     return warc.read_warc(index, with_payload=False).select(
@@ -38,7 +69,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_mixing": op3_mixing,
     "op4_token_files": op4_token_files,
+    "op5_chat_format": op5_chat_format,
+    "op7_hamming_index": op7_hamming_index,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
 }
