@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orderscope.session import ensure_checkpoint_dir
 
@@ -46,6 +47,14 @@ def spill(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, bytes_needed, most: int = 16 << 20) -> DataFrame:
+    """``df`` marked for broadcast if its rows need at most ``most`` bytes by the
+    aggregate ``bytes_needed``, which is measured here; otherwise as it is, for
+    Spark to join by a shuffle. Results are the same."""
+    needed = df.agg(bytes_needed.alias("b")).first()["b"] or 0
+    return F.broadcast(df) if needed <= most else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

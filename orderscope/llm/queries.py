@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, hamming_index, line_dedup, mixing, sentencepiece_bpe, token_files, warc
+from . import (chat_format, exact_dedup, hamming_index, jaccard_join, line_dedup, mixing, sentencepiece_bpe,
+               token_files, toxicity, warc)
 from .common import table
 
 
@@ -20,6 +21,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources tempered to 98 % of the greatest entropy, each document at least once."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), min_entropy=0.98)
@@ -46,6 +51,13 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digests(turns, examples)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_model(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.round("expected_severity", 6).alias("expected_severity"), "grade", "toxic")
+
+
 def op7_hamming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -57,7 +69,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_lines", "n_deleted", "kept",
+    return done.select("doc_id", "n_deleted", "kept",
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
@@ -69,9 +81,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_mixing": op3_mixing,
     "op4_token_files": op4_token_files,
     "op5_chat_format": op5_chat_format,
+    "op6_toxicity": op6_toxicity,
     "op7_hamming_index": op7_hamming_index,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_line_dedup": op9_line_dedup,

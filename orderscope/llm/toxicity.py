@@ -124,6 +124,13 @@ def _gradients(margin, grade, thresholds):
     return d_margin / len(grade), d_threshold / len(grade)
 
 
+def _loss(margin: np.ndarray, grade: np.ndarray, thresholds: np.ndarray) -> float:
+    n = len(grade)
+    tail = np.concatenate([np.ones((n, 1)), _sigmoid(margin[:, None] - thresholds[None, :]), np.zeros((n, 1))], axis=1)
+    rows = np.arange(n)
+    return -np.log(np.maximum(tail[rows, grade] - tail[rows, grade + 1], 1e-12)).mean()
+
+
 def _start(grade: np.ndarray) -> np.ndarray:
     share = np.array([(grade >= j).mean() for j in range(1, int(grade.max()) + 1)])
     return np.log((1 - share) / share)
@@ -157,7 +164,7 @@ def _select(doc, feature, value, n_docs, n_features, grade, l1=3e-3, rounds=150,
     return np.sort(best[weights[best] > 0])
 
 
-def _fit(x: np.ndarray, grade: np.ndarray, ridge: float = 1e-3, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
+def _fit(x: np.ndarray, grade: np.ndarray, ridge: float = 1e-4, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by Fisher scoring on a dense design."""
     n, f = x.shape
     weights, thresholds = np.zeros(f), _start(grade)
@@ -181,9 +188,16 @@ def _fit(x: np.ndarray, grade: np.ndarray, ridge: float = 1e-3, rounds: int = 25
         info[f:, :f] = info[:f, f:].T
         info[f:, f:] = np.einsum("nkj,nki,nk->ji", by_t, by_t, 1 / p) / n + 1e-9 * np.eye(k)
         move = np.linalg.solve(info, gradient)
-        move *= min(1.0, 5.0 / max(1e-12, np.abs(move).max()))
-        weights, thresholds = weights - move[:f], np.maximum.accumulate(thresholds - move[f:])
-        if np.abs(move).max() < 1e-6:
+        now, step = _loss(margin, grade, thresholds) + 0.5 * ridge * weights @ weights, 1.0
+        while step > 1e-4:  # the full step may go too far; halve it until the loss falls
+            new, new_t = weights - step * move[:f], np.maximum.accumulate(thresholds - step * move[f:])
+            if _loss(x @ new, grade, new_t) + 0.5 * ridge * new @ new < now:
+                break
+            step /= 2
+        else:
+            break
+        weights, thresholds = new, new_t
+        if np.abs(step * move).max() < 1e-6:
             break
     return weights, thresholds
 
