@@ -11,23 +11,12 @@ import pandas as pd
 import pytest
 
 from orderscope.plans import summaries as S
-from orderscope.plans.adhoc import SAMPLE_QUERIES, run_sql
+from orderscope.plans.adhoc import run_sql
 from orderscope.sinks import SnapshotStore, export_csv
 from orderscope.sources.tables import MissingColumnsError, load_tables
 from conftest import SF001
 
 
-@pytest.mark.parametrize("sample, plan", [
-    ("Top 5 customers with most orders", S.top_customers_by_order_count),
-    ("Monthly revenue growth", S.monthly_revenue),
-    ("Part sales by type", S.part_sales_by_type),
-])
-def test_sample_sql_equals_dataframe_plan(spark, sf001, sample, plan):
-    sql_rows = [tuple(r) for r in run_sql(spark, SAMPLE_QUERIES[sample], tables=sf001).collect()]
-    df_rows = [tuple(r) for r in plan(sf001).collect()]
-    assert sql_rows == df_rows
-
-
 def test_adhoc_named_parameters(spark, sf001):
     df = run_sql(spark, "SELECT COUNT(*) AS n FROM orders WHERE o_orderstatus = :s LIMIT :k",
                  args={"s": "F", "k": 5}, tables=sf001)
@@ -35,17 +24,63 @@ def test_adhoc_named_parameters(spark, sf001):
     assert df.first().n == expected
 
 
-def test_csv_export_matches_pandas_text(spark):
-    rows = [(1, "", None, 'x,"y', dt.date(2020, 1, 2), "plain")]
-    df = spark.createDataFrame(rows, "id int, a string, b string, c string, d date, e string")
-    out = os.path.join(tempfile.mkdtemp(prefix="orderscope-csv-"), "export")
+def test_adhoc_keeps_the_users_views(spark, sf001):
+    spark.range(3).createTempView("orders")
+    try:
+        with pytest.raises(ValueError, match="temp view 'orders'"):
+            run_sql(spark, "SELECT count(*) FROM orders", tables=sf001)
+        assert spark.table("orders").count() == 3
+        assert not spark.catalog.tableExists("region")
+    finally:
+        spark.catalog.dropTempView("orders")
+
+
+def test_two_bundles_do_not_overwrite_each_other(spark, sf001):
+    small = load_tables(spark, "/root/testdata/sf0.001")
+    text = "SELECT count(*) AS n FROM orders"
+    first, second = run_sql(spark, text, tables=sf001), run_sql(spark, text, tables=small)
+    assert (first.first().n, second.first().n) == (15000, 1500)
+    assert not spark.catalog.tableExists("orders")
+
+
+CSV_ROWS = [
+    (1, "", None, 'x,"y', dt.date(2020, 1, 2), "plain", dt.datetime(2020, 1, 2, 3, 4, 5, 678900), 2.2e9, True),
+    (2, "  a b ", "line\nbreak", "\ttab\\ ", None, " ", dt.datetime(1999, 12, 31, 23, 59, 59, 1), 0.0001, False),
+    (3, '"', "''", "#", dt.date(1969, 1, 2), "é🙂", dt.datetime(1960, 1, 1, 1, 1, 1, 999999), -1.5, None),
+    (4, "a", "b", "c", None, "d", None, None, True),
+    (5, "a", "b", "c", None, "d", None, float("nan"), True),
+]
+DOUBLES = [0.0, -0.0, 1.0, 123.456, 1e15, 1e16, 1.5e16, 123456789012345.6, 1e-4, 1.25e-4, 1e-5, 1.5e-10, 2.5e100,
+           1e-300, 9999999.0, 12345678.9, float("inf"), -float("inf"), -2.25e-7, 0.001, 0.1 + 0.2]
+
+
+def _written(df, out):
     report = export_csv(df.coalesce(1), out)
-    assert report.rows == 1 and report.seconds >= 0
     (part,) = glob.glob(os.path.join(out, "part-*.csv"))
-    with open(part) as fh:
-        spark_text = fh.read()
-    pandas_text = pd.DataFrame(rows, columns=df.columns).to_csv(index=False)
-    assert spark_text == pandas_text
+    with open(part, newline="") as fh:
+        return report, fh.read()
+
+
+def test_csv_export_matches_pandas_text(spark):
+    df = spark.createDataFrame(CSV_ROWS, "id int, a string, b string, c string, d date, e string, "
+                               "t timestamp_ntz, x double, y boolean")
+    report, text = _written(df, os.path.join(tempfile.mkdtemp(prefix="orderscope-csv-"), "export"))
+    assert report.rows == len(CSV_ROWS) and report.seconds >= 0
+    frame = pd.DataFrame(CSV_ROWS, columns=df.columns)
+    frame["t"] = pd.to_datetime(frame["t"])
+    assert text == frame.to_csv(index=False)
+
+
+def test_csv_doubles_match_pandas_text(spark):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(DOUBLES)], "i int, v double").orderBy("i")
+    _, text = _written(df, os.path.join(tempfile.mkdtemp(prefix="orderscope-csv-"), "doubles"))
+    assert text == pd.DataFrame({"i": range(len(DOUBLES)), "v": DOUBLES}).to_csv(index=False)
+
+
+def test_csv_is_written_in_parts(spark):
+    out = os.path.join(tempfile.mkdtemp(prefix="orderscope-csv-"), "parts")
+    assert export_csv(spark.range(100).repartition(4), out).rows == 100
+    assert len(glob.glob(os.path.join(out, "part-*.csv"))) == 4
 
 
 def test_csv_export_counts_rows_of_a_summary(sf001):
@@ -62,27 +97,78 @@ def test_snapshot_reuses_then_refreshes(spark, sf001):
         calls.append(1)
         return S.revenue_by_region(sf001)
 
-    first = store.get_or_build("revenue_by_region", build)
+    first = store.get_or_build("revenue_by_region", build, "a")
     expected = [tuple(r) for r in S.revenue_by_region(sf001).collect()]
     assert [tuple(r)[:-1] for r in first.collect()] == expected  # row order kept
-    store.get_or_build("revenue_by_region", build)
+    store.get_or_build("revenue_by_region", build, "a")
     assert len(calls) == 1
-    store.get_or_build("revenue_by_region", build, refresh=True)
+    store.get_or_build("revenue_by_region", build, "a", refresh=True)
     assert len(calls) == 2
     store.max_age_seconds = 0
     import time
     time.sleep(0.01)
-    store.get_or_build("revenue_by_region", build)
+    store.get_or_build("revenue_by_region", build, "a")
     assert len(calls) == 3
 
 
 def test_snapshot_keys_by_arguments(spark, sf001):
     store = SnapshotStore(spark, tempfile.mkdtemp(prefix="orderscope-snap-"))
-    five = store.get_or_build("top_customers", lambda: S.top_customers(sf001, 5), {"limit": 5})
-    ten = store.get_or_build("top_customers", lambda: S.top_customers(sf001, 10), {"limit": 10})
+    five = store.get_or_build("top_customers", lambda: S.top_customers(sf001, 5), "a", {"limit": 5})
+    ten = store.get_or_build("top_customers", lambda: S.top_customers(sf001, 10), "a", {"limit": 10})
     assert (five.count(), ten.count()) == (5, 10)
 
 
+def test_snapshot_paths_never_meet_or_leave_the_root(spark):
+    store = SnapshotStore(spark, "/tmp/root")
+    keys = [("q", "s", {"a": 1, "b": 2}), ("q", "s", {"a": "1__b-2"}), ("q", "s", {"a": "1", "b": 2}),
+            ("q", "s", {"a": "../../x"}), ("q", "t", {"a": 1, "b": 2}), ("q/s", "", {}), ("q_s", "", {}),
+            ("q", "s", {"a": dt.date(2020, 1, 1)}), ("q", "s", {"a": "2020-01-01"}), ("../q", "s", None)]
+    paths = [store.path(*k) for k in keys]
+    assert len(set(paths)) == len(paths)
+    assert all(p.startswith("/tmp/root/") and "/" not in p[len("/tmp/root/"):] and ".." not in p for p in paths)
+    assert store.path("q", "s", {"a": 1, "b": 2}) == store.path("q", "s", {"b": 2, "a": 1})
+
+
+def test_snapshots_of_two_sources_differ(spark, sf001):
+    from orderscope.refresh import refresh_summaries
+    store = SnapshotStore(spark, tempfile.mkdtemp(prefix="orderscope-snap-"))
+    small = load_tables(spark, "/root/testdata/sf0.001")
+    counts = [refresh_summaries(t, store, names=["kpi_metrics"])["kpi_metrics"].first().total_orders
+              for t in (small, sf001, small)]
+    assert counts == [1500, 15000, 1500]
+    from orderscope.sources.tables import Tables
+    with pytest.raises(ValueError, match="source"):
+        refresh_summaries(Tables.of(spark, orders=small.orders), store, names=["kpi_metrics"])
+
+
+def test_unfinished_builds_are_not_read(spark, sf001):
+    store = SnapshotStore(spark, tempfile.mkdtemp(prefix="orderscope-snap-"))
+    build = store.write("q", S.revenue_by_region(sf001), "a")
+    later = f"{store.path('q', 'a')}/build-{build.epoch_ms + 5}-{'0' * 32}"
+    S.revenue_by_region(sf001).limit(2).write.parquet(later)   # no marker: its writer died
+    assert store.latest_build("q", "a") == build
+    assert store.read("q", "a").count() == 25
+
+
+def test_old_builds_go_and_the_list_stays_short(spark):
+    store = SnapshotStore(spark, tempfile.mkdtemp(prefix="orderscope-snap-"), keep=2)
+    for i in range(5):
+        last = store.write("q", spark.range(i), "a")
+    folder = store.path("q", "a")
+    assert len(os.listdir(folder)) == 2
+    assert store.latest_build("q", "a") == last and store.read("q", "a").count() == 4
+
+
+def test_refresh_with_arguments(spark):
+    from orderscope.refresh import refresh_summaries
+    t = load_tables(spark, "/root/testdata/sf0.001")
+    store = SnapshotStore(spark, tempfile.mkdtemp(prefix="orderscope-snap-"))
+    names = ["top_customers"]
+    assert refresh_summaries(t, store, names=names)["top_customers"].count() == 10
+    assert refresh_summaries(t, store, names=names, arguments={"top_customers": {"n": 3}})["top_customers"].count() == 3
+    assert store.latest_build("top_customers", t.source, {"n": 3}) is not None
+
+
 def test_snapshot_default_root_is_checkpoint_dir(spark):
     store = SnapshotStore(spark)
     assert store.root.endswith("/orderscope-snapshots")
@@ -106,7 +192,7 @@ def test_load_from_catalog_namespace(spark):
 
 def test_snapshot_of_empty_result(spark, sf001):
     store = SnapshotStore(spark, tempfile.mkdtemp(prefix="orderscope-snap-"))
-    empty = store.get_or_build("none", lambda: S.revenue_by_region(sf001).filter("order_count < 0"))
+    empty = store.get_or_build("none", lambda: S.revenue_by_region(sf001).filter("order_count < 0"), "a")
     assert empty.count() == 0
 
 
@@ -117,15 +203,15 @@ def test_refresh_summaries_builds_then_reuses(spark):
     store = SnapshotStore(spark, tempfile.mkdtemp(prefix="orderscope-refresh-"))
     names = ["kpi_metrics", "revenue_by_region", "top_customers"]
     first = refresh_summaries(t, store, names=names)
-    builds = {n: store.latest_build(n) for n in names}
+    builds = {n: store.latest_build(n, t.source) for n in names}
     again = refresh_summaries(t, store, names=names)
-    assert {n: store.latest_build(n) for n in names} == builds  # reused, not rebuilt
+    assert {n: store.latest_build(n, t.source) for n in names} == builds  # reused, not rebuilt
     for n in names:
         expected = [tuple(r) for r in QUERIES[n](t).collect()]
         assert [tuple(r)[:-1] for r in again[n].collect()] == expected
         assert [tuple(r)[:-1] for r in first[n].collect()] == expected
     refresh_summaries(t, store, force=True, names=["kpi_metrics"])
-    assert store.latest_build("kpi_metrics") > builds["kpi_metrics"]
+    assert store.latest_build("kpi_metrics", t.source).epoch_ms > builds["kpi_metrics"].epoch_ms
     assert "source_check" in NOT_CACHED
 
 
@@ -133,14 +219,15 @@ def test_refresh_command_line(spark, capsys):
     import json
     from orderscope.refresh import main
     root = tempfile.mkdtemp(prefix="orderscope-refresh-cli-")
-    main(["--source", "/root/testdata/sf0.001", "--root", root, "--only", "orders_by_status,monthly_revenue"])
+    main(["--source", "/root/testdata/sf0.001", "--root", root, "--only", "orders_by_status,top_customers",
+          "--top", "top_customers=4"])
     report = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
-    assert report["summaries"] == ["monthly_revenue", "orders_by_status"]
-    assert sorted(os.listdir(root)) == ["monthly_revenue", "orders_by_status"]
+    assert report["summaries"] == ["orders_by_status", "top_customers"]
+    assert sorted(d.rsplit("-", 1)[0] for d in os.listdir(root)) == ["orders_by_status", "top_customers"]
 
 
 def test_measure_adhoc_query(spark, sf001):
     from orderscope.sinks import measure
-    df = run_sql(spark, SAMPLE_QUERIES["Monthly revenue growth"], tables=sf001)
+    df = run_sql(spark, "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1", tables=sf001)
     report = measure(df)
     assert report.rows == df.count() and report.seconds > 0
