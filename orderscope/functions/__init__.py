@@ -1,21 +1,39 @@
 """Column expressions: money, calendar, display formats, numeric coercion."""
 
-from orderscope.functions.coerce import coerce_numeric, parse_number
+from orderscope.functions.coerce import coerce_numeric, coerced, parse_number
 from orderscope.functions.dates import days_between, month_start
 from orderscope.functions.display import dollars, humanize_currency, humanize_number, whole_number
 from orderscope.functions.money import (
-    cents,
-    cents_mean,
-    cents_value,
+    Amount,
+    amount,
     merge_split,
-    money_sum,
-    net_units,
+    net_amount,
+    split_mean,
     split_sum,
+    split_total,
     split_value,
+    units_mean,
+    units_value,
 )
 
 __all__ = [
-    "cents", "cents_mean", "cents_value", "coerce_numeric", "days_between", "dollars",
-    "humanize_currency", "humanize_number", "merge_split", "money_sum", "month_start",
-    "net_units", "parse_number", "split_sum", "split_value", "whole_number",
+    "Amount",
+    "amount",
+    "coerce_numeric",
+    "coerced",
+    "days_between",
+    "dollars",
+    "humanize_currency",
+    "humanize_number",
+    "merge_split",
+    "month_start",
+    "net_amount",
+    "parse_number",
+    "split_mean",
+    "split_sum",
+    "split_total",
+    "split_value",
+    "units_mean",
+    "units_value",
+    "whole_number",
 ]

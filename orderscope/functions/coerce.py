@@ -5,10 +5,12 @@ number; its unparsable values then become NULL. A column where nothing
 parses (or that is empty) is left as it is. Non-string columns are never
 touched.
 
-Deciding the output schema needs one look at the data, so this function is
-*eager*: it runs a single aggregation over all string columns at once (one
-pass, partial aggregates combined map-side, one small row back to the
-driver holding one flag per column) and then returns a lazy ``select``.
+Deciding the output schema needs one look at the data. A caller who knows
+which columns hold numbers names them, and nothing runs. Otherwise the
+function is *eager*: one aggregation over all string columns at once (partial
+aggregates combined map-side, one small row back to the driver holding one
+flag per column); :func:`coerced` persists the input over that pass and the
+result, so that it is computed once.
 
 Accepted text: optional spaces, optional sign, digits with an optional
 decimal point and exponent, or ``inf``/``infinity``. ``nan`` does not count
@@ -18,6 +20,10 @@ which Spark's own cast would accept, nor a literal beyond the double range.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -38,16 +44,32 @@ def parse_number(c: str | Column) -> Column:
     return F.when(col.rlike(NUMBER_PATTERN) & finite_or_named, value)
 
 
-def coerce_numeric(df: DataFrame) -> DataFrame:
-    """Convert every string column that holds at least one number to double."""
+def coerce_numeric(df: DataFrame, numeric: Iterable[str] | None = None) -> DataFrame:
+    """Convert every string column that holds at least one number to double,
+    or, with ``numeric``, the string columns named there (lazy). Without it
+    the input runs once here and once more in the result; :func:`coerced`
+    avoids the second run."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
-    if not names:
+    if numeric is not None:
+        convert = set(numeric) & set(names)
+    elif names:
+        flags = df.agg(*[F.max(parse_number(F.col(n)).isNotNull()).alias(f"_{i}")
+                         for i, n in enumerate(names)]).first()
+        convert = {n for i, n in enumerate(names) if flags[f"_{i}"]}
+    else:
         return df
-    flags = df.agg(*[
-        F.max(parse_number(F.col(n)).isNotNull()).alias(f"_{i}") for i, n in enumerate(names)
-    ]).first()
-    convert = {n for i, n in enumerate(names) if flags[f"_{i}"]}
     return df.select(*[
         parse_number(F.col(f.name)).alias(f.name) if f.name in convert else F.col(f.name)
         for f in df.schema.fields
     ])
+
+
+@contextmanager
+def coerced(df: DataFrame) -> Iterator[DataFrame]:
+    """:func:`coerce_numeric` with the input persisted over both its passes and
+    released on exit."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield coerce_numeric(kept)
+    finally:
+        kept.unpersist()

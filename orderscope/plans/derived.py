@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderscope.functions.display import dollars, humanize_currency, humanize_number, whole_number
-from orderscope.functions.money import cents_mean, cents_value
+from orderscope.functions.money import units_mean, units_value
 from orderscope.operators.hierarchy import hierarchy_totals
 from orderscope.operators.punctuality import with_on_time_rate
 from orderscope.operators.shares import share_of_total
@@ -31,52 +31,71 @@ KPI_CARDS = (
 )
 
 
+def _scale(t: Tables) -> int:
+    return t.amount("orders", "o_totalprice").scale
+
+
+def regional_view(totals: DataFrame, scale: int) -> DataFrame:
+    """D1's columns from the (region, nation) totals."""
+    agg = totals.groupBy("region").agg(F.sum("order_count").alias("order_count"), F.sum("revenue").alias("_revenue"))
+    return S.by_revenue(agg.select("region", "order_count", units_value("_revenue", scale).alias("total_revenue"),
+                                   units_mean("_revenue", scale, "order_count").alias("avg_order_value")), "region")
+
+
 def regional_summary(t: Tables) -> DataFrame:
     """Per region — region, order_count, total_revenue, avg_order_value
     (revenue over orders, a weighted mean); revenue descending."""
-    agg = S.region_nation_totals(t).groupBy("region").agg(
-        F.sum("order_count").alias("order_count"),
-        F.sum("revenue").alias("_revenue"),
-    )
-    return (agg.select("region", "order_count",
-                       cents_value("_revenue").alias("total_revenue"),
-                       cents_mean("_revenue", "order_count").alias("avg_order_value"))
-            .orderBy(F.col("total_revenue").desc_nulls_last(), F.col("region").asc_nulls_last()))
+    return regional_view(S.region_nation_totals(t), _scale(t))
+
+
+def top_nations_view(regions: DataFrame, n: int) -> DataFrame:
+    """D2 from Q06's rows."""
+    return top_k(regions, n, ["total_revenue"], ["region", "nation"])
 
 
 def top_nations(t: Tables, n: int = TOP_NATIONS) -> DataFrame:
     """The ``n`` (region, nation) rows of Q06 with the largest revenue."""
-    q06 = S.revenue_by_region(t)
-    return top_k(q06, n, ["total_revenue"], ["region", "nation"])
+    return top_nations_view(S.revenue_by_region(t), n)
+
+
+def hierarchy_view(totals: DataFrame, scale: int) -> DataFrame:
+    """D3's rows from the (region, nation) totals."""
+    levels = hierarchy_totals(totals, "region", "nation", F.sum("revenue").alias("_revenue"))
+    return levels.select("region", "nation", "depth", units_value("_revenue", scale).alias("total_revenue"))
 
 
 def region_hierarchy(t: Tables) -> DataFrame:
     """D3: region subtotals (depth 1, nation NULL) and nation leaves (depth 2):
     region, nation, depth, total_revenue. No grand total."""
-    totals = hierarchy_totals(S.region_nation_totals(t), "region", "nation",
-                              F.sum("revenue").alias("_revenue"))
-    return totals.select("region", "nation", "depth", cents_value("_revenue").alias("total_revenue"))
+    return hierarchy_view(S.region_nation_totals(t), _scale(t))
+
+
+def status_share_view(totals: DataFrame, scale: int) -> DataFrame:
+    """D4's columns from Q03's totals."""
+    return S.status_view(totals, scale, share_of_total("orders").alias("order_share"))
 
 
 def status_share(t: Tables) -> DataFrame:
-    """Status, order_count, total_value, order_share (of all orders)."""
-    return (S.orders_by_status(t)
-            .withColumn("order_share", share_of_total("order_count")))
+    """Status, order_count, total_value, order_share (of all orders); count
+    descending."""
+    return status_share_view(S.order_totals(t, status=F.col("o_orderstatus")), _scale(t))
+
+
+def segment_share_view(totals: DataFrame, scale: int) -> DataFrame:
+    """D5's columns from Q07's totals."""
+    share = share_of_total("revenue", lambda c: units_value(c, scale))
+    return S.segment_view(totals, scale, share.alias("revenue_share"))
 
 
 def segment_revenue_share(t: Tables) -> DataFrame:
     """Q07 plus revenue_share; a segment with no revenue has NULL share."""
-    seg = S.segment_totals(t)
-    return (seg.select("segment", "customer_count", "order_count",
-                       cents_value("revenue").alias("total_revenue"),
-                       cents_mean("revenue", "priced").alias("avg_order_value"),
-                       share_of_total("revenue", cents_value).alias("revenue_share"))
-            .orderBy(F.col("total_revenue").desc_nulls_last(), F.col("segment").asc_nulls_last()))
+    return segment_share_view(S.segment_totals(t), _scale(t))
 
 
 def on_time_rate(t: Tables) -> DataFrame:
-    """Q11 (the stand-in on data without ship modes) plus on_time_rate in %."""
-    return with_on_time_rate(S.order_fulfillment(t))
+    """Q11 on the stand-in input plus on_time_rate in %. Data with ship
+    modes: ``with_on_time_rate(order_fulfillment_metrics(t))``."""
+    return with_on_time_rate(S.order_fulfillment_standin(t))
 
 
 def kpi_cards_from(kpis: DataFrame) -> DataFrame:

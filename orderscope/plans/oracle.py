@@ -2,19 +2,17 @@
 
 These are written the *direct* way — join first, aggregate after, as the
 dashboard's SQL does — so they also check the aggregate-below-join
-rewrites in :mod:`orderscope.plans.summaries`. Money follows the same
-recipe (sum as ``DECIMAL(15,2)``, cast the sum to ``DOUBLE``) and every
-top-N has the same tie-break, so results must agree value for value.
-Tables are the bare view names.
+rewrites in :mod:`orderscope.plans.summaries`. Money is summed in a cast
+wider than the data (``DECIMAL(18,6)``, independent of the library's own
+scale) and every top-N has the same tie-break, so results must agree value
+for value. Tables are the bare view names.
 """
 
 from __future__ import annotations
 
-from orderscope.plans.adhoc import SAMPLE_QUERIES
-
 
 def _msum(x: str) -> str:
-    return f"SUM(CAST({x} AS DECIMAL(15,2)))"
+    return f"SUM(CAST({x} AS DECIMAL(18,6)))"
 
 
 def _money(x: str) -> str:
@@ -26,7 +24,7 @@ def _mean(x: str) -> str:
 
 
 _MONTH = "CAST(DATE_TRUNC('month', {0}) AS DATE)"
-_NET = "CAST(l.l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l.l_discount AS DECIMAL(15,2)))"
+_NET = "CAST(l.l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l.l_discount AS DECIMAL(18,6)))"
 
 _Q01 = f"""
 SELECT COUNT(*) AS total_orders,
@@ -135,21 +133,38 @@ GROUP BY 1, 2
 ORDER BY order_month NULLS FIRST, segment NULLS FIRST"""
 
 # Stand-in: class = l_returnflag, commit date = order date + 60 days.
-_DAYS = "DATE_DIFF('day', CAST(o.o_orderdate AS DATE) + 60, CAST(l.l_shipdate AS DATE))"
+_COMMIT = "CAST(o.o_orderdate AS DATE) + 60"
+_DAYS = f"DATE_DIFF('day', {_COMMIT}, CAST(l.l_shipdate AS DATE))"
 _Q11 = f"""
 SELECT l.l_returnflag AS ship_mode,
        COUNT(*) AS shipment_count,
        AVG({_DAYS}) AS avg_days_to_ship,
-       CAST(SUM(CASE WHEN {_DAYS} <= 0 THEN 1 ELSE 0 END) AS BIGINT) AS on_time_count,
-       CAST(SUM(CASE WHEN {_DAYS} > 0 THEN 1 ELSE 0 END) AS BIGINT) AS late_count
+       CAST(SUM(CASE WHEN l.l_shipdate <= {_COMMIT} THEN 1 ELSE 0 END) AS BIGINT) AS on_time_count,
+       CAST(SUM(CASE WHEN l.l_shipdate > {_COMMIT} THEN 1 ELSE 0 END) AS BIGINT) AS late_count
 FROM lineitem l
 JOIN orders o ON l.l_orderkey = o.o_orderkey
 GROUP BY l.l_returnflag
 ORDER BY shipment_count DESC, ship_mode"""
 
-_Q12 = SAMPLE_QUERIES["Top 5 customers with most orders"]
-_Q13 = SAMPLE_QUERIES["Monthly revenue growth"]
-_Q14 = SAMPLE_QUERIES["Part sales by type"]
+_Q12 = """
+SELECT c_name, COUNT(*) AS order_count
+FROM customer, orders
+WHERE c_custkey = o_custkey
+GROUP BY c_name
+ORDER BY 2 DESC, 1 ASC NULLS LAST
+LIMIT 5"""
+
+_Q13 = f"""
+SELECT {_MONTH.format('o_orderdate')} AS month, {_money('o_totalprice')} AS revenue
+FROM orders GROUP BY 1 ORDER BY 1 NULLS FIRST"""
+
+_Q14 = f"""
+SELECT p_type, {_money('l_extendedprice')} AS total_sales
+FROM part, lineitem
+WHERE p_partkey = l_partkey
+GROUP BY p_type
+ORDER BY 2 DESC, 1 ASC NULLS LAST
+LIMIT 10"""
 
 _Q15 = """
 SELECT * FROM orders
@@ -157,6 +172,13 @@ ORDER BY o_orderkey ASC NULLS LAST, o_custkey ASC NULLS LAST, o_orderstatus ASC
          o_totalprice ASC NULLS LAST, o_orderdate ASC NULLS LAST, o_orderpriority ASC NULLS LAST
 LIMIT 10"""
 
+_Q16 = """
+WITH big AS (
+    SELECT * FROM orders
+    WHERE o_orderstatus = 'F' AND o_totalprice >= 100000 AND o_orderdate >= DATE '1995-01-01')
+SELECT o_orderpriority AS priority, COUNT(o_orderkey) AS large_orders, MAX(o_totalprice) AS largest
+FROM big GROUP BY ALL"""
+
 _Q17 = "\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, COUNT(*) AS row_count FROM {t}"
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"))
@@ -188,7 +210,8 @@ FROM rn GROUP BY region"""
 _D4 = f"""
 SELECT status, order_count, total_value,
        order_count / SUM(order_count) OVER () AS order_share
-FROM ({_Q03}) s"""
+FROM ({_Q03}) s
+ORDER BY order_count DESC, status"""
 
 _D5 = f"""
 SELECT segment, customer_count, order_count,
@@ -253,7 +276,7 @@ ORACLE_SQL: dict[str, str] = {
     "monthly_revenue": _Q13,
     "part_sales_by_type": _Q14,
     "preview": _Q15,
-    "adhoc_sql": _Q14,
+    "adhoc_sql": _Q16,
     "source_check": _Q17,
     "regional_summary": _D1,
     "top_nations": _D2,

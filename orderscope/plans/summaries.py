@@ -9,7 +9,7 @@ Plan shape, chosen for scale
 join, so where a summary joins the fact table (orders, line items) to a
 dimension only to group by dimension attributes, the fact table is first
 aggregated on the join key. Every measure used is additive (counts, exact
-cent sums, limbs), so the per-key partials can be merged again after the
+sums in limbs), so the per-key partials can be merged again after the
 join without changing the result. This
 
 * collapses a hot key — one customer or part holding a third of all rows —
@@ -31,8 +31,8 @@ its partitioning with the customer join (see their docstrings; both were
 measured). Distinct counts over a joined attribute (Q09's orders per
 supplier name) cannot be merged from per-key partials; they use the direct
 join and Spark's distinct-aggregate plan, which aggregates on
-``(group, l_orderkey)`` map-side before shuffling. AQE's skew-join split
-covers a hot join key there.
+``(group id, l_orderkey)`` map-side before shuffling. AQE's skew-join split
+(on by default, and set by ``local_session``) covers a hot join key there.
 
 *Names, not keys.* Groups are on names as in the source queries, so two
 entities with the same name merge (Q05, Q08, Q09, Q12).
@@ -46,18 +46,19 @@ columns that this library adds to every top-N sort ascending, NULLs last.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderscope.functions.dates import month_start
 from orderscope.functions.money import (
-    cents_mean,
-    cents_value,
     merge_split,
-    money_sum,
-    net_units,
+    net_amount,
+    split_mean,
     split_sum,
+    split_total,
     split_value,
+    units_mean,
+    units_value,
 )
 from orderscope.operators.punctuality import shipping_punctuality
 from orderscope.operators.topk import top_k
@@ -78,87 +79,131 @@ STANDIN_COMMIT_DAYS = 60
 # Orders alone (Q01–Q04, Q13)
 # --------------------------------------------------------------------------
 
+def kpi_view(totals: DataFrame, scale: int) -> DataFrame:
+    """Q01's columns from orders, value (units), priced and customers."""
+    return totals.select(
+        F.coalesce("orders", F.lit(0).cast("long")).alias("total_orders"),
+        units_value("value", scale).alias("total_revenue"),
+        F.coalesce("customers", F.lit(0).cast("long")).alias("total_customers"),
+        units_mean("value", scale, "priced").alias("avg_order_value"),
+    )
+
+
 def kpi_metrics(t: Tables) -> DataFrame:
     """Q01: one row — total_orders, total_revenue, total_customers, avg_order_value.
 
     Counts every order, including those whose customer is unknown."""
+    price = t.amount("orders", "o_totalprice")
     agg = t.orders.agg(
-        F.count(F.lit(1)).alias("total_orders"),
-        money_sum("o_totalprice").alias("_revenue"),
-        F.count_distinct("o_custkey").alias("total_customers"),
-        F.count("o_totalprice").alias("_priced"),
-    )
-    return agg.select(
-        "total_orders",
-        cents_value("_revenue").alias("total_revenue"),
-        "total_customers",
-        cents_mean("_revenue", "_priced").alias("avg_order_value"),
+        F.count(F.lit(1)).alias("orders"),
+        *split_sum(price.units, "value"),
+        F.count_distinct("o_custkey").alias("customers"),
+        F.count(price.present).alias("priced"),
     )
+    return kpi_view(agg.withColumn("value", split_total("value")), price.scale)
+
+
+def order_totals(t: Tables, **keys) -> DataFrame:
+    """Per group of the orders: orders, value (exact, in units), priced."""
+    price = t.amount("orders", "o_totalprice")
+    agg = t.orders.groupBy(*(c.alias(name) for name, c in keys.items())).agg(
+        F.count(F.lit(1)).alias("orders"), *split_sum(price.units, "value"),
+        F.count(price.present).alias("priced"))
+    return agg.withColumn("value", split_total("value")).drop("value_hi", "value_lo")
+
+
+def summary_view(months: DataFrame, scale: int) -> DataFrame:
+    """Q02's columns from order_month, orders, value, priced, customers."""
+    return months.select(
+        "order_month",
+        F.col("orders").alias("total_orders"),
+        units_value("value", scale).alias("total_revenue"),
+        units_mean("value", scale, "priced").alias("avg_order_value"),
+        F.col("customers").alias("unique_customers"),
+    ).orderBy(F.col("order_month").asc())
 
 
 def orders_summary(t: Tables) -> DataFrame:
     """Q02: per calendar month — order_month, total_orders, total_revenue,
     avg_order_value, unique_customers; months ascending."""
+    price = t.amount("orders", "o_totalprice")
     agg = t.orders.groupBy(month_start("o_orderdate").alias("order_month")).agg(
-        F.count(F.lit(1)).alias("total_orders"),
-        money_sum("o_totalprice").alias("_revenue"),
-        F.count("o_totalprice").alias("_priced"),
-        F.count_distinct("o_custkey").alias("unique_customers"),
+        F.count(F.lit(1)).alias("orders"),
+        *split_sum(price.units, "value"),
+        F.count(price.present).alias("priced"),
+        F.count_distinct("o_custkey").alias("customers"),
     )
-    return agg.select(
-        "order_month",
-        "total_orders",
-        cents_value("_revenue").alias("total_revenue"),
-        cents_mean("_revenue", "_priced").alias("avg_order_value"),
-        "unique_customers",
-    ).orderBy(F.col("order_month").asc())
+    return summary_view(agg.withColumn("value", split_total("value")), price.scale)
 
 
-def _status_totals(t: Tables) -> DataFrame:
-    return t.orders.groupBy(F.col("o_orderstatus").alias("status")).agg(
-        F.count(F.lit(1)).alias("order_count"),
-        money_sum("o_totalprice").alias("_value"),
-    )
+def status_view(totals: DataFrame, scale: int, *extra: Column) -> DataFrame:
+    """Q03's columns (and ``extra`` ones) from status, orders, value. The sort
+    comes last, above any window in ``extra``."""
+    return totals.select(
+        "status", F.col("orders").alias("order_count"),
+        units_value("value", scale).alias("total_value"), *extra,
+    ).orderBy(F.col("order_count").desc(), F.col("status").asc_nulls_last())
 
 
 def orders_by_status(t: Tables) -> DataFrame:
     """Q03: per status — status, order_count, total_value; count descending."""
-    return (_status_totals(t)
-            .select("status", "order_count", cents_value("_value").alias("total_value"))
-            .orderBy(F.col("order_count").desc(), F.col("status").asc_nulls_last()))
+    return status_view(order_totals(t, status=F.col("o_orderstatus")), t.amount("orders", "o_totalprice").scale)
+
+
+def priority_view(totals: DataFrame, scale: int) -> DataFrame:
+    """Q04's columns from priority, orders, value, priced."""
+    return totals.select(
+        "priority", F.col("orders").alias("order_count"),
+        units_value("value", scale).alias("total_value"),
+        units_mean("value", scale, "priced").alias("avg_value"),
+    ).orderBy(F.col("order_count").desc(), F.col("priority").asc_nulls_last())
 
 
 def orders_by_priority(t: Tables) -> DataFrame:
     """Q04: per priority — priority, order_count, total_value, avg_value."""
-    agg = t.orders.groupBy(F.col("o_orderpriority").alias("priority")).agg(
-        F.count(F.lit(1)).alias("order_count"),
-        money_sum("o_totalprice").alias("_value"),
-        F.count("o_totalprice").alias("_priced"),
-    )
-    return (agg.select("priority", "order_count",
-                       cents_value("_value").alias("total_value"),
-                       cents_mean("_value", "_priced").alias("avg_value"))
-            .orderBy(F.col("order_count").desc(), F.col("priority").asc_nulls_last()))
+    return priority_view(order_totals(t, priority=F.col("o_orderpriority")),
+                         t.amount("orders", "o_totalprice").scale)
+
+
+def month_view(months: DataFrame, scale: int) -> DataFrame:
+    """Q13's columns from order_month, value."""
+    return (months.select(F.col("order_month").alias("month"), units_value("value", scale).alias("revenue"))
+            .orderBy(F.col("month").asc()))
 
 
 def monthly_revenue(t: Tables) -> DataFrame:
     """Q13 (sample "monthly revenue"): month, revenue; months ascending.
     The level only — the sample computes no growth rate."""
-    agg = t.orders.groupBy(month_start("o_orderdate").alias("month")).agg(
-        money_sum("o_totalprice").alias("_revenue"))
-    return (agg.select("month", cents_value("_revenue").alias("revenue"))
-            .orderBy(F.col("month").asc()))
+    return month_view(order_totals(t, order_month=month_start("o_orderdate")),
+                      t.amount("orders", "o_totalprice").scale)
 
 
-def preview(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
+def preview(df: DataFrame, n: int = PREVIEW_ROWS, key: str | None = None) -> DataFrame:
     """Q15: the first ``n`` rows of a table, all columns, in a fixed order
-    (every column ascending), so the same rows come back on every run."""
-    return top_k(df, n, [], df.columns)
+    (the key, if given, and then every column ascending), so the same rows
+    come back on every run.
+
+    With a ``key`` the n smallest keys are found first, from that column
+    alone (eager: one top-k job, one row back); only rows up to the n-th are
+    then read in full, and the parquet scan skips row groups beyond it. The
+    rows are the same without it, but every column of every row is read."""
+    order = df.columns if key is None else [key, *(c for c in df.columns if c != key)]
+    if key is not None:
+        smallest = top_k(df.select(key).filter(F.col(key).isNotNull()), n, [], [key])
+        last = smallest.agg(F.max(key).alias("k"), F.count(key).alias("n")).first()
+        if last["n"] == n:  # else rows without a key belong to the answer too
+            df = df.filter(F.col(key) <= F.lit(last["k"]))
+    return top_k(df, n, [], order)
+
+
+def browse(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
+    """Any ``n`` rows, without a sort: reads no more files than it needs."""
+    return df.limit(n)
 
 
 def orders_preview(t: Tables, n: int = PREVIEW_ROWS) -> DataFrame:
     """Q15 on the orders table."""
-    return preview(t.orders, n)
+    return preview(t.orders, n, key="o_orderkey")
 
 
 # --------------------------------------------------------------------------
@@ -171,12 +216,13 @@ def orders_per_customer(t: Tables) -> DataFrame:
     hash-partitioned on the customer key, which the customer join reuses.
 
     ``order_rows`` counts rows (COUNT(*)), ``order_count`` counts order keys
-    (COUNT(o_orderkey)), ``priced`` counts prices, ``revenue`` is exact."""
+    (COUNT(o_orderkey)), ``priced`` counts prices, ``revenue`` is two limbs."""
+    price = t.amount("orders", "o_totalprice")
     return t.orders.groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("order_rows"),
         F.count("o_orderkey").alias("order_count"),
-        F.count("o_totalprice").alias("priced"),
-        money_sum("o_totalprice").alias("revenue"),
+        F.count(price.present).alias("priced"),
+        *split_sum(price.units, "revenue"),
     )
 
 
@@ -195,6 +241,7 @@ def top_customers(t: Tables, n: int = DEFAULT_TOP_CUSTOMERS) -> DataFrame:
     orders = t.orders.select("o_custkey", "o_orderkey", "o_totalprice")
     cust = _customers(t, "c_name", "c_mktsegment", "c_nationkey")
     nation = t.dimension("nation", "n_nationkey", "n_name")
+    price = t.amount("orders", "o_totalprice")
     joined = (orders.join(cust, orders["o_custkey"] == cust["c_custkey"])
               .join(nation, cust["c_nationkey"] == nation["n_nationkey"]))
     agg = joined.groupBy(
@@ -203,20 +250,20 @@ def top_customers(t: Tables, n: int = DEFAULT_TOP_CUSTOMERS) -> DataFrame:
         F.col("n_name").alias("nation"),
     ).agg(
         F.count("o_orderkey").alias("order_count"),
-        money_sum("o_totalprice").alias("_spent"),
-        F.count("o_totalprice").alias("_priced"),
+        *split_sum(price.units, "spent"),
+        F.count(price.present).alias("_priced"),
     )
     out = agg.select(
         "customer_name", "market_segment", "nation", "order_count",
-        cents_value("_spent").alias("total_spent"),
-        cents_mean("_spent", "_priced").alias("avg_order_value"),
+        split_value("spent", price.scale).alias("total_spent"),
+        split_mean("spent", price.scale, "_priced").alias("avg_order_value"),
     )
     return top_k(out, n, ["total_spent"], ["customer_name", "market_segment", "nation"])
 
 
 def region_nation_totals(t: Tables) -> DataFrame:
     """Exact per-(region, nation) totals: region, nation, order_count,
-    revenue (cents). Shared by Q06 and the geography tables D1–D3.
+    revenue (decimal, in units). Shared by Q06 and the geography tables D1–D3.
 
     Orders are merged per customer before the customer join; nation and
     region are then joined to one row per customer, and the name groups
@@ -229,18 +276,24 @@ def region_nation_totals(t: Tables) -> DataFrame:
               .join(nation, cust["c_nationkey"] == nation["n_nationkey"])
               .join(region, nation["n_regionkey"] == region["r_regionkey"]))
     return joined.groupBy(F.col("r_name").alias("region"), F.col("n_name").alias("nation")).agg(
-        F.sum("order_count").alias("order_count"),
-        F.sum("revenue").alias("revenue"),
-    )
+        F.sum("order_count").alias("order_count"), *merge_split("revenue"),
+    ).select("region", "nation", "order_count", split_total("revenue").alias("revenue"))
+
+
+def by_revenue(df: DataFrame, *ties: str) -> DataFrame:
+    """Revenue descending, then the names."""
+    return df.orderBy(F.col("total_revenue").desc_nulls_last(), *(F.col(c).asc_nulls_last() for c in ties))
+
+
+def region_view(totals: DataFrame, scale: int) -> DataFrame:
+    """Q06's columns from :func:`region_nation_totals`."""
+    return by_revenue(totals.select("region", "nation", "order_count",
+                                    units_value("revenue", scale).alias("total_revenue")), "region", "nation")
 
 
 def revenue_by_region(t: Tables) -> DataFrame:
     """Q06: region, nation, order_count, total_revenue; revenue descending."""
-    return (region_nation_totals(t)
-            .select("region", "nation", "order_count",
-                    cents_value("revenue").alias("total_revenue"))
-            .orderBy(F.col("total_revenue").desc_nulls_last(),
-                     F.col("region").asc_nulls_last(), F.col("nation").asc_nulls_last()))
+    return region_view(region_nation_totals(t), t.amount("orders", "o_totalprice").scale)
 
 
 def segment_totals(t: Tables) -> DataFrame:
@@ -253,19 +306,23 @@ def segment_totals(t: Tables) -> DataFrame:
     return joined.groupBy(F.col("c_mktsegment").alias("segment")).agg(
         F.count_distinct("c_custkey").alias("customer_count"),
         F.coalesce(F.sum("order_count"), F.lit(0).cast("long")).alias("order_count"),
-        F.sum("revenue").alias("revenue"),
+        *merge_split("revenue"),
         F.sum("priced").alias("priced"),
-    )
+    ).withColumn("revenue", split_total("revenue")).drop("revenue_hi", "revenue_lo")
+
+
+def segment_view(totals: DataFrame, scale: int, *extra: Column) -> DataFrame:
+    """Q07's columns (and ``extra`` ones) from :func:`segment_totals`."""
+    return by_revenue(totals.select(
+        "segment", "customer_count", "order_count",
+        units_value("revenue", scale).alias("total_revenue"),
+        units_mean("revenue", scale, "priced").alias("avg_order_value"), *extra), "segment")
 
 
 def market_segment_analysis(t: Tables) -> DataFrame:
     """Q07: segment, customer_count, order_count, total_revenue,
     avg_order_value; revenue descending, order-less segments last."""
-    return (segment_totals(t)
-            .select("segment", "customer_count", "order_count",
-                    cents_value("revenue").alias("total_revenue"),
-                    cents_mean("revenue", "priced").alias("avg_order_value"))
-            .orderBy(F.col("total_revenue").desc_nulls_last(), F.col("segment").asc_nulls_last()))
+    return segment_view(segment_totals(t), t.amount("orders", "o_totalprice").scale)
 
 
 def monthly_trend_by_segment(t: Tables) -> DataFrame:
@@ -283,9 +340,10 @@ def monthly_trend_by_segment(t: Tables) -> DataFrame:
                              "o_totalprice")
     cust = _customers(t, "c_mktsegment")
     joined = orders.join(cust, orders["o_custkey"] == cust["c_custkey"])
+    price = t.amount("orders", "o_totalprice")
     agg = joined.groupBy("order_month", F.col("c_mktsegment").alias("segment")).agg(
-        money_sum("o_totalprice").alias("_revenue"))
-    return (agg.select("order_month", "segment", cents_value("_revenue").alias("revenue"))
+        *split_sum(price.units, "revenue"))
+    return (agg.select("order_month", "segment", split_value("revenue", price.scale).alias("revenue"))
             .orderBy(F.col("order_month").asc(), F.col("segment").asc()))
 
 
@@ -305,48 +363,56 @@ def top_customers_by_order_count(t: Tables, n: int = SAMPLE_TOP_CUSTOMERS_BY_COU
 def top_parts_by_revenue(t: Tables, n: int = DEFAULT_TOP_PARTS) -> DataFrame:
     """Q08: top ``n`` (part_name, part_type, brand) by discounted revenue,
     with quantity_sold. Parts sharing all three names are merged."""
+    net = net_amount(t.amount("lineitem", "l_extendedprice"), t.amount("lineitem", "l_discount"))
+    quantity = t.amount("lineitem", "l_quantity")
     per = t.lineitem.groupBy("l_partkey").agg(
-        *split_sum(net_units("l_extendedprice", "l_discount"), "net"),
-        money_sum("l_quantity").alias("qty"),
-    )
+        *split_sum(net.units, "net"), *split_sum(quantity.units, "qty"))
     part = t.part.select("p_partkey", "p_name", "p_type", "p_brand")
     agg = (per.join(part, per["l_partkey"] == part["p_partkey"])
            .groupBy(F.col("p_name").alias("part_name"), F.col("p_type").alias("part_type"),
                     F.col("p_brand").alias("brand"))
-           .agg(*merge_split("net"), F.sum("qty").alias("_qty")))
-    out = agg.select("part_name", "part_type", "brand",
-                     split_value("net").alias("revenue"), cents_value("_qty").alias("quantity_sold"))
+           .agg(*merge_split("net"), *merge_split("qty")))
+    out = agg.select("part_name", "part_type", "brand", split_value("net", net.scale).alias("revenue"),
+                     split_value("qty", quantity.scale).alias("quantity_sold"))
     return top_k(out, n, ["revenue"], ["part_name", "part_type", "brand"])
 
 
 def supplier_performance(t: Tables, n: int = DEFAULT_TOP_SUPPLIERS) -> DataFrame:
     """Q09: top ``n`` (supplier_name, nation) by undiscounted supply value,
-    with orders_supplied (distinct orders) and avg_line_value."""
-    li = t.lineitem.select("l_suppkey", "l_orderkey", "l_extendedprice")
-    sup = t.supplier.select("s_suppkey", "s_name", "s_nationkey")
+    with orders_supplied (distinct orders) and avg_line_value.
+
+    Suppliers of one name and nation are one group. The group gets a long id
+    from the supplier table alone, and only that id and the order key go
+    through the distinct count; names return to the finished groups."""
+    price = t.amount("lineitem", "l_extendedprice")
     nation = t.dimension("nation", "n_nationkey", "n_name")
-    # Fact first, one dimension per join: each join's small side is a base
-    # table whose size Spark knows from its files, never a dimension join
-    # whose estimate (a product, without statistics) would exceed the fact's.
+    named = (t.supplier.select("s_suppkey", "s_name", "s_nationkey")
+             .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+             .withColumn("_group", F.min("s_suppkey").over(Window.partitionBy("s_name", "n_name"))))
+    li = t.lineitem.select("l_suppkey", "l_orderkey", "l_extendedprice")
+    sup = named.select("s_suppkey", "_group")
     agg = (li.join(sup, li["l_suppkey"] == sup["s_suppkey"])
-           .join(nation, sup["s_nationkey"] == nation["n_nationkey"])
-           .groupBy(F.col("s_name").alias("supplier_name"), F.col("n_name").alias("nation"))
+           .groupBy("_group")
            .agg(F.count_distinct("l_orderkey").alias("orders_supplied"),
-                money_sum("l_extendedprice").alias("_value"),
-                F.count("l_extendedprice").alias("_lines")))
-    out = agg.select("supplier_name", "nation", "orders_supplied",
-                     cents_value("_value").alias("total_supply_value"),
-                     cents_mean("_value", "_lines").alias("avg_line_value"))
+                *split_sum(price.units, "value"),
+                F.count(price.present).alias("_lines")))
+    names = named.filter(F.col("s_suppkey") == F.col("_group")).groupBy(F.col("_group").alias("_id")).agg(
+        F.first("s_name").alias("supplier_name"), F.first("n_name").alias("nation"))
+    out = agg.join(names, agg["_group"] == names["_id"]).select(
+        "supplier_name", "nation", "orders_supplied",
+        split_value("value", price.scale).alias("total_supply_value"),
+        split_mean("value", price.scale, "_lines").alias("avg_line_value"))
     return top_k(out, n, ["total_supply_value"], ["supplier_name", "nation"])
 
 
 def part_sales_by_type(t: Tables, n: int = SAMPLE_TOP_PART_TYPES) -> DataFrame:
     """Q14 (sample): p_type, total_sales (undiscounted) for the top ``n`` types."""
-    per = t.lineitem.groupBy("l_partkey").agg(money_sum("l_extendedprice").alias("sales"))
+    price = t.amount("lineitem", "l_extendedprice")
+    per = t.lineitem.groupBy("l_partkey").agg(*split_sum(price.units, "sales"))
     part = t.part.select("p_partkey", "p_type")
     agg = (per.join(part, per["l_partkey"] == part["p_partkey"])
-           .groupBy("p_type").agg(F.sum("sales").alias("_sales")))
-    out = agg.select("p_type", cents_value("_sales").alias("total_sales"))
+           .groupBy("p_type").agg(*merge_split("sales")))
+    out = agg.select("p_type", split_value("sales", price.scale).alias("total_sales"))
     return top_k(out, n, ["total_sales"], ["p_type"])
 
 
@@ -382,13 +448,5 @@ def order_fulfillment_standin(t: Tables) -> DataFrame:
         fulfillment_standin_input(t), "l_returnflag", "l_shipdate", "commit_date"))
 
 
-def order_fulfillment(t: Tables) -> DataFrame:
-    """Q11 as registered: on the real ``l_shipmode`` / ``l_commitdate`` when
-    the line items have them, else on the stated stand-in."""
-    if {"l_shipmode", "l_commitdate"} <= set(t.lineitem.columns):
-        return order_fulfillment_metrics(t)
-    return order_fulfillment_standin(t)
-
-
 def _by_shipments(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("shipment_count").desc(), F.col("ship_mode").asc_nulls_last())

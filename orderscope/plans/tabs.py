@@ -24,42 +24,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderscope.functions.dates import month_start
-from orderscope.functions.money import cents_mean, cents_value, money_sum
-from orderscope.operators.hierarchy import hierarchy_totals
-from orderscope.operators.shares import share_of_total
-from orderscope.operators.topk import top_k
+from orderscope.plans import derived as D
 from orderscope.plans import summaries as S
-from orderscope.plans.derived import TOP_NATIONS, kpi_cards_from
 from orderscope.sources.tables import Tables
 
 
-def _by_revenue(df: DataFrame, *ties: str) -> DataFrame:
-    return df.orderBy(F.col("total_revenue").desc_nulls_last(),
-                      *[F.col(c).asc_nulls_last() for c in ties])
-
-
 @contextmanager
-def geography(t: Tables, top_nations: int = TOP_NATIONS) -> Iterator[dict[str, DataFrame]]:
+def geography(t: Tables, top_nations: int = D.TOP_NATIONS) -> Iterator[dict[str, DataFrame]]:
     """Q06, D1, D2 and D3 from one aggregation of the orders.
 
     Yields ``revenue_by_region``, ``regional_summary``, ``top_nations`` and
     ``region_hierarchy``, each equal to its stand-alone function."""
+    scale = t.amount("orders", "o_totalprice").scale
     base = S.region_nation_totals(t).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        q06 = _by_revenue(base.select("region", "nation", "order_count",
-                                      cents_value("revenue").alias("total_revenue")),
-                          "region", "nation")
-        d1 = _by_revenue(
-            base.groupBy("region")
-            .agg(F.sum("order_count").alias("order_count"), F.sum("revenue").alias("_revenue"))
-            .select("region", "order_count", cents_value("_revenue").alias("total_revenue"),
-                    cents_mean("_revenue", "order_count").alias("avg_order_value")),
-            "region")
-        d2 = top_k(q06, top_nations, ["total_revenue"], ["region", "nation"])
-        d3 = (hierarchy_totals(base, "region", "nation", F.sum("revenue").alias("_revenue"))
-              .select("region", "nation", "depth", cents_value("_revenue").alias("total_revenue")))
-        yield {"revenue_by_region": q06, "regional_summary": d1,
-               "top_nations": d2, "region_hierarchy": d3}
+        regions = S.region_view(base, scale)
+        yield {"revenue_by_region": regions, "regional_summary": D.regional_view(base, scale),
+               "top_nations": D.top_nations_view(regions, top_nations),
+               "region_hierarchy": D.hierarchy_view(base, scale)}
     finally:
         base.unpersist()
 
@@ -67,17 +49,11 @@ def geography(t: Tables, top_nations: int = TOP_NATIONS) -> Iterator[dict[str, D
 @contextmanager
 def segments(t: Tables) -> Iterator[dict[str, DataFrame]]:
     """Q07 and D5 from one aggregation of customers and their orders."""
+    scale = t.amount("orders", "o_totalprice").scale
     base = S.segment_totals(t).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        cols = [
-            "segment", "customer_count", "order_count",
-            cents_value("revenue").alias("total_revenue"),
-            cents_mean("revenue", "priced").alias("avg_order_value"),
-        ]
-        q07 = _by_revenue(base.select(*cols), "segment")
-        d5 = _by_revenue(base.select(*cols, share_of_total("revenue", cents_value)
-                                     .alias("revenue_share")), "segment")
-        yield {"market_segment_analysis": q07, "segment_revenue_share": d5}
+        yield {"market_segment_analysis": S.segment_view(base, scale),
+               "segment_revenue_share": D.segment_share_view(base, scale)}
     finally:
         base.unpersist()
 
@@ -92,55 +68,31 @@ def overview(t: Tables) -> Iterator[dict[str, DataFrame]]:
     Scan two counts distinct customers per month and overall in one
     ``rollup``; that needs the customer key, so it cannot come from the
     cube. Each view equals its stand-alone function."""
-    month = month_start("o_orderdate").alias("order_month")
-    cube = (t.orders.groupBy(F.col("o_orderstatus").alias("status"),
-                             F.col("o_orderpriority").alias("priority"), month)
-            .agg(F.count(F.lit(1)).alias("orders"), money_sum("o_totalprice").alias("cents"),
-                 F.count("o_totalprice").alias("priced"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
-    customers = (t.orders.rollup(month)
-                 .agg(F.count_distinct("o_custkey").alias("customers"),
-                      F.grouping_id().alias("level"))
+    scale = t.amount("orders", "o_totalprice").scale
+    month = month_start("o_orderdate")
+    cube = S.order_totals(t, status=F.col("o_orderstatus"), priority=F.col("o_orderpriority"),
+                          order_month=month).persist(StorageLevel.MEMORY_AND_DISK)
+    customers = (t.orders.rollup(month.alias("order_month"))
+                 .agg(F.count_distinct("o_custkey").alias("customers"), F.grouping_id().alias("level"))
                  .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        def by(key: str) -> DataFrame:
-            return cube.groupBy(key).agg(F.sum("orders").alias("order_count"),
-                                         F.sum("cents").alias("_value"),
-                                         F.sum("priced").alias("_priced"))
-
-        q03 = (by("status").select("status", "order_count", cents_value("_value").alias("total_value"))
-               .orderBy(F.col("order_count").desc(), F.col("status").asc_nulls_last()))
-        q04 = (by("priority").select("priority", "order_count",
-                                     cents_value("_value").alias("total_value"),
-                                     cents_mean("_value", "_priced").alias("avg_value"))
-               .orderBy(F.col("order_count").desc(), F.col("priority").asc_nulls_last()))
-        months = by("order_month")
-        per_month = customers.filter(F.col("level") == 0).select(
-            F.col("order_month").alias("_month"), "customers")
-        q02 = (months.join(per_month, months["order_month"].eqNullSafe(per_month["_month"]))
-               .select("order_month", F.col("order_count").alias("total_orders"),
-                       cents_value("_value").alias("total_revenue"),
-                       cents_mean("_value", "_priced").alias("avg_order_value"),
-                       F.col("customers").alias("unique_customers"))
-               .orderBy(F.col("order_month").asc()))
-        q13 = (months.select(F.col("order_month").alias("month"), cents_value("_value").alias("revenue"))
-               .orderBy(F.col("month").asc()))
-        # Two one-row results become one row by a union and an aggregate
-        # (no cross join). Empty orders give 0 orders and 0 customers.
-        totals = cube.agg(F.sum("orders").alias("orders"), F.sum("cents").alias("cents"),
-                          F.sum("priced").alias("priced"))
-        everyone = customers.filter(F.col("level") == 1).select("customers")
-        one = totals.unionByName(everyone, allowMissingColumns=True).agg(
-            F.max("orders").alias("orders"), F.max("cents").alias("cents"),
-            F.max("priced").alias("priced"), F.max("customers").alias("customers"))
-        q01 = one.select(F.coalesce("orders", F.lit(0).cast("long")).alias("total_orders"),
-                         cents_value("cents").alias("total_revenue"),
-                         F.coalesce("customers", F.lit(0).cast("long")).alias("total_customers"),
-                         cents_mean("cents", "priced").alias("avg_order_value"))
-        yield {"kpi_metrics": q01, "orders_summary": q02, "orders_by_status": q03,
-               "orders_by_priority": q04, "monthly_revenue": q13,
-               "status_share": q03.withColumn("order_share", share_of_total("order_count")),
-               "kpi_cards": kpi_cards_from(q01)}
+        def by(*keys: str) -> DataFrame:
+            return cube.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("orders", "value", "priced")))
+
+        months, statuses = by("order_month"), by("status")
+        per_month = customers.filter("level = 0").select(F.col("order_month").alias("_month"), "customers")
+        with_customers = months.join(per_month, months["order_month"].eqNullSafe(per_month["_month"]))
+        # Two one-row results become one row by a union and an aggregate (no
+        # cross join).
+        one = by().unionByName(customers.filter("level = 1").select("customers"), allowMissingColumns=True).agg(
+            *(F.max(c).alias(c) for c in ("orders", "value", "priced", "customers")))
+        kpis = S.kpi_view(one, scale)
+        yield {"kpi_metrics": kpis, "orders_summary": S.summary_view(with_customers, scale),
+               "orders_by_status": S.status_view(statuses, scale),
+               "orders_by_priority": S.priority_view(by("priority"), scale),
+               "monthly_revenue": S.month_view(months, scale),
+               "status_share": D.status_share_view(statuses, scale),
+               "kpi_cards": D.kpi_cards_from(kpis)}
     finally:
         cube.unpersist()
         customers.unpersist()

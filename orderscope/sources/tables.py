@@ -8,12 +8,16 @@ scan (``ReadSchema`` in ``explain``).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderscope.functions.money import DEFAULT_SCALE, Amount, amount
+
 # The tables and the columns the summaries read from each.
 REQUIRED_COLUMNS: dict[str, tuple[str, ...]] = {
     "region": ("r_regionkey", "r_name"),
@@ -48,18 +52,24 @@ class Tables:
     """
 
     def __init__(self, spark: SparkSession, open_table: Callable[[str], DataFrame],
-                 check: bool = True):
+                 check: bool = True, source: str | None = None, money_scale: int = DEFAULT_SCALE):
         self._spark = spark
         self._open = open_table
         self._check = check
+        #: Where the rows come from; snapshots are kept apart by it.
+        self.source = source
+        #: Decimal places of amounts that arrive as doubles.
+        self.money_scale = money_scale
         self._frames: dict[str, DataFrame] = {}
         self._small: dict[str, bool] = {}
 
     @classmethod
-    def of(cls, spark: SparkSession, check: bool = True, **frames: DataFrame) -> "Tables":
+    def of(cls, spark: SparkSession, check: bool = True, source: str | None = None,
+           money_scale: int = DEFAULT_SCALE, **frames: DataFrame) -> "Tables":
         """Tables from DataFrames in hand (tests, fixtures, upstream jobs).
-        A table not given raises ``KeyError`` when a query asks for it."""
-        return cls(spark, lambda name: frames[name], check)
+        A table not given raises ``KeyError`` when a query asks for it. Only
+        tables with a ``source`` id can be kept in a snapshot store."""
+        return cls(spark, lambda name: frames[name], check, source, money_scale)
 
     def table(self, name: str) -> DataFrame:
         if name not in REQUIRED_COLUMNS:
@@ -69,13 +79,18 @@ class Tables:
             self._frames[name] = _check_columns(name, df) if self._check else df
         return self._frames[name]
 
+    def amount(self, name: str, column: str) -> Amount:
+        """A money or quantity column of a table in exact units."""
+        return amount(self.table(name), column, self.money_scale)
+
     @property
     def spark(self) -> SparkSession:
         return self._spark
 
     def is_small(self, name: str, max_rows: int = SMALL_DIMENSION_ROWS) -> bool:
         """Whether the table has at most ``max_rows`` rows, proven by a bounded
-        count (``limit(max_rows + 1).count()``) that runs once per bundle."""
+        count (``limit(max_rows + 1).count()``). Eager: one small job, once per
+        bundle and table, when a plan that joins the table is first built."""
         if name not in self._small:
             self._small[name] = self.table(name).limit(max_rows + 1).count() <= max_rows
         return self._small[name]
@@ -128,13 +143,15 @@ def _check_columns(name: str, df: DataFrame) -> DataFrame:
 
 
 def load_tables(spark: SparkSession, source: str, *, catalog: bool = False,
-                check: bool = True, register: bool = False) -> Tables:
+                check: bool = True, register: bool = False,
+                money_scale: int = DEFAULT_SCALE) -> Tables:
     """The seven tables, opened lazily.
 
     ``source`` is a directory holding ``<name>.parquet`` for each table, or,
     with ``catalog=True``, a namespace such as ``"sales.tpch"`` read through
     ``spark.table``. ``check`` verifies the needed columns from the schema
-    alone (parquet footers; no data is read). ``register`` also creates temp
+    alone (parquet footers; no data is read). ``money_scale`` is the number of
+    decimal places of amounts stored as doubles. ``register`` also creates temp
     views under the bare table names, for ad-hoc SQL (this opens all seven).
     """
     if catalog:
@@ -145,7 +162,8 @@ def load_tables(spark: SparkSession, source: str, *, catalog: bool = False,
 
         def open_table(name: str) -> DataFrame:
             return spark.read.parquet(f"{root}/{name}.parquet")
-    tables = Tables(spark, open_table, check)
+    where = f"catalog:{source}" if catalog else f"path:{source.rstrip('/')}"
+    tables = Tables(spark, open_table, check, where, money_scale)
     if register:
         register_views(tables)
     return tables
@@ -155,10 +173,30 @@ def register_views(tables: Tables) -> None:
     """Register each table as a temp view under its bare name.
 
     Three-part names such as ``cat.db.orders`` need a catalog; bare view
-    names work in any session and in the DuckDB oracle alike.
+    names work in any session and in the DuckDB oracle alike. A temp view of
+    one of these names that is there already is not replaced: it is an error,
+    and none of the tables is registered.
     """
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
+    done: list[str] = []
+    try:
+        for name, df in tables.items():
+            df.createTempView(name)
+            done.append(name)
+    except AnalysisException as error:
+        for name in done:
+            tables.spark.catalog.dropTempView(name)
+        raise ValueError(f"the session already has a temp view {TABLE_NAMES[len(done)]!r}") from error
+
+
+@contextmanager
+def table_views(tables: Tables) -> Iterator[None]:
+    """The tables as temp views for a while."""
+    register_views(tables)
+    try:
+        yield
+    finally:
+        for name in TABLE_NAMES:
+            tables.spark.catalog.dropTempView(name)
 
 
 def source_check(tables: Tables) -> DataFrame:

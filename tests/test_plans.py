@@ -8,6 +8,7 @@ import re
 
 import pytest
 
+from orderscope.plans import derived as D
 from orderscope.plans import summaries as S
 from orderscope.plans.registry import QUERIES
 
@@ -55,7 +56,30 @@ def test_orders_aggregated_below_the_customer_join(sf001):
     assert "Keys [1]: [o_custkey" in first_agg
 
 
-def test_money_sums_are_long_cents(sf001):
+def test_money_sums_are_long_limbs(sf001):
     text = plan_text(S.orders_by_status(sf001))
-    assert "partial_sum(cast(round((o_totalprice" in text
-    assert "decimal(25" not in text
+    assert "partial_sum(shiftright(" in text
+    assert "partial_sum(cast(" not in text
+
+
+def test_status_share_ends_in_its_sort(sf001):
+    body = plan_text(D.status_share(sf001), "simple")
+    operators = re.findall(r"(Sort|Window) \[", body)
+    assert operators and operators[0] == "Sort"
+
+
+def test_supplier_names_stay_out_of_the_distinct(sf001):
+    text = plan_text(S.supplier_performance(sf001))
+    keyed = [b for b in text.split("\n\n") if "HashAggregate" in b.split("\n")[0] and "l_orderkey" in b]
+    assert keyed and not any("s_name" in b.split("Functions")[0] for b in keyed)
+
+
+def test_preview_reads_wide_rows_up_to_the_last_key_only(sf001):
+    text = plan_text(S.orders_preview(sf001))
+    assert re.search(r"PushedFilters: \[[^]]*LessThanOrEqual\(o_orderkey", text)
+
+
+def test_coerced_query_has_one_star_join(sf001):
+    text = plan_text(QUERIES["revenue_by_region_coerced"](sf001))
+    orders = [s for s in re.findall(r"ReadSchema: (struct<[^>]*>)", text) if "o_custkey" in s]
+    assert len(orders) == 1
