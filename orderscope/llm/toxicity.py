@@ -15,9 +15,8 @@ driver holds is bounded too. An L1 penalty picks the words that matter and
 a second fit on those alone takes the shrinkage back.
 
 The given labels say toxic or not, without a degree. Grades are derived
-from them: 0 for clean documents; toxic ones get 1 or 2 by whether the
-density of cues (features far likelier in toxic documents) is below the
-toxic documents' median or not.
+from them: 0 for clean documents; toxic ones get 1, or 2 if they hold more
+cues (features far likelier in toxic documents) than the median toxic one.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import spill
 from .words import chunks
 
-MAX_LABELLED = 20_000     # labelled documents that the fit may use
+MAX_LABELLED = 10_000     # labelled documents that the fit may use
 MAX_FEATURES = 1_000      # features that the fit may use
 MIN_SUPPORT = 5           # different labelled texts a feature must occur in
 STEMS = range(3, 9)       # lengths of word beginnings
@@ -164,7 +163,7 @@ def _select(doc, feature, value, n_docs, n_features, grade, l1=3e-3, rounds=150,
     return np.sort(best[weights[best] > 0])
 
 
-def _fit(x: np.ndarray, grade: np.ndarray, ridge: float = 1e-4, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+def _fit(x: np.ndarray, grade: np.ndarray, ridge: float = 1e-5, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by Fisher scoring on a dense design."""
     n, f = x.shape
     weights, thresholds = np.zeros(f), _start(grade)
@@ -221,7 +220,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELL
     texts = spill(texts, "labelled")
     words = texts.select("doc", "text").mapInArrow(_doc_words, "doc long, word string, n long").filter("word != ''")
     words = spill(words, "labelled-tokens")
-    lengths = words.groupBy("doc").agg(F.sum("n").alias("length"))
+    with_words = words.select("doc").distinct()
     forms = [F.concat(F.lit("="), "word"), *(F.when(F.char_length("word") > k, F.concat(
         F.lit("^"), F.substring("word", 1, k))) for k in STEMS)]
     counts = spill(words.select("doc", "n", F.explode(F.array(*forms)).alias("word")).dropna()
@@ -249,18 +248,18 @@ def fit_model(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELL
     words = sorted(r["word"] for r in chosen)
     cues = {r["word"] for r in chosen if r["cue"]}
     index = {w: i for i, w in enumerate(words)}
-    table = spark.createDataFrame([(w, w in cues) for w in words], "word string, cue boolean")
-    # Sparse rows of the sample: at most max_labelled documents by MAX_FEATURES words.
-    cells = counts.join(F.broadcast(table), "word").select("doc", "word", "n", "cue").toPandas()
-    rows = lengths.join(F.broadcast(sample), "doc").orderBy("doc").toPandas()
-    place = {d: i for i, d in enumerate(rows["doc"].tolist())}
-    doc = np.fromiter((place[d] for d in cells["doc"]), np.int64, len(cells))
-    feature = np.fromiter((index[w] for w in cells["word"]), np.int64, len(cells))
+    table = spark.createDataFrame([(w, i, w in cues) for w, i in index.items()], "word string, feature int, cue boolean")
+    # Sparse rows of the sample as numbers: at most max_labelled documents by
+    # MAX_FEATURES features.
+    cells = counts.join(F.broadcast(table), "word").select("doc", "feature", "n", "cue").toPandas()
+    rows = with_words.join(F.broadcast(sample), "doc").orderBy("doc").toPandas()
+    doc = np.searchsorted(rows["doc"].to_numpy(), cells["doc"].to_numpy())
+    feature = cells["feature"].to_numpy(np.int64)
     n = cells["n"].to_numpy(np.float64)
     toxic = rows["toxic"].to_numpy() > 0
-    density = np.bincount(doc, n * cells["cue"].to_numpy(bool), len(rows)) / rows["length"].to_numpy()
+    cues = np.bincount(doc, n * cells["cue"].to_numpy(bool), len(rows))
     grade = np.zeros(len(rows), np.int64)
-    grade[toxic] = 1 + (density[toxic] >= np.median(density[toxic]))
+    grade[toxic] = 1 + (cues[toxic] > np.median(cues[toxic]))
     if grade.max() == 0 or (grade > 0).all():
         return CumulativeLink([], np.zeros(0), np.full(2, np.inf))
     value = np.log1p(n)
