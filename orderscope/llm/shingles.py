@@ -78,7 +78,7 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     first = np.cumsum(n_words) - n_words
     out, sizes = [], np.zeros(len(texts), np.int64)
     total = np.zeros(len(words), np.uint64)
-    for j in range(WORDS):
+    for j in range(min(WORDS, len(words))):
         total[:len(words) - j] += words[j:] * _FACTORS[j]
     total = mix(total + np.uint64(WORDS) * _LENGTH)
     for i, (a, n) in enumerate(zip(first.tolist(), n_words.tolist(), strict=True)):

@@ -61,14 +61,15 @@ class WordIds:
         return ids, np.diff(total)
 
 
-def chunks(texts: list[str], chars: int = 8 << 20):
+def chunks(texts: list[str | None], chars: int = 8 << 20):
     """Slices of a list of texts of about ``chars`` characters each (a longer
     text is a slice of its own)."""
     at, size = 0, 0
     for i, text in enumerate(texts):
-        if i > at and size + len(text) > chars:
+        n = len(text or "")
+        if i > at and size + n > chars:
             yield at, i
             at, size = i, 0
-        size += len(text)
+        size += n
     if at < len(texts):
         yield at, len(texts)
