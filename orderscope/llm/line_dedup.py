@@ -63,7 +63,7 @@ def repeated_runs(docs: DataFrame, window: int = 3) -> DataFrame:
     if window != 3:
         raise ValueError("the hashes carried with a fingerprint are laid out for windows of 3 lines")
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
-                       F.xxhash64("text").alias("text_hash"),
+                       F.hash("text").alias("text_hash"),
                        F.transform(lines_of(F.col("text")),
                                    lambda s: F.xxhash64(F.btrim(s, F.lit(BLANK)))).alias("h"))
     windows = F.transform(
@@ -75,24 +75,31 @@ def repeated_runs(docs: DataFrame, window: int = 3) -> DataFrame:
     # A text shorter than a window has one window, which is the text.
     chosen = F.when(F.size("h") == 1, F.array(F.lit(0))).otherwise(F.array_distinct(windows))
     at = lambda d: F.get("h", F.col("pos") + d)
+    # A place is the text's hash and the line number in one value, which
+    # orders lines within a document.
     places = (base.select("doc", "text_hash", "h", F.explode(chosen).alias("pos"))
-              .select("doc", "text_hash", "pos", at(0).alias("f"),
+              .select("doc", F.shiftleft(F.col("text_hash").cast("long"), 32).bitwiseOR(
+                          F.col("pos").cast("long")).alias("place"), at(0).alias("f"),
                       _pair(at(-1), at(-2)).alias("c1"), _pair(at(-3), at(1)).alias("c2"),
                       _pair(at(2), at(3)).alias("c3")))
     places = spill(places, "line-fingerprints")
     first = (places.groupBy("f").agg(
-        F.min(F.struct("doc", "text_hash", "pos", "c1", "c2", "c3")).alias("e"),
+        F.min(F.struct("doc", "place", "c1", "c2", "c3")).alias("e"),
         F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     matches = places.join(first, "f").filter(
-        F.struct("doc", "text_hash", "pos") > F.struct("e.doc", "e.text_hash", "e.pos"))
+        F.struct("doc", "place") > F.struct("e.doc", "e.place"))
+    line = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    text_hash = lambda c: F.shiftright(F.col(c), 32).cast("int")
+    matches = matches.withColumns({"pos": line("place"), "e_pos": line("e.place"),
+                                   "text_hash": text_hash("place"), "e_hash": text_hash("e.place")})
 
     high = lambda c: F.shiftrightunsigned(c, 32)
     low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
     left = _agreeing([high("c1"), low("c1"), high("c2")], [high("e.c1"), low("e.c1"), high("e.c2")])
     right = _agreeing([low("c2"), high("c3"), low("c3")], [low("e.c2"), high("e.c3"), low("e.c3")])
     matches = matches.select(
-        "doc", "text_hash", F.col("e.doc").alias("e_doc"), F.col("e.text_hash").alias("e_hash"),
-        (F.col("pos") - F.col("e.pos")).alias("diagonal"),
+        "doc", "text_hash", F.col("e.doc").alias("e_doc"), "e_hash",
+        (F.col("pos") - F.col("e_pos")).alias("diagonal"),
         (F.col("pos") - left).alias("start"), (F.col("pos") + right).alias("end"))
 
     diagonal = Window.partitionBy("doc", "text_hash", "e_doc", "e_hash", "diagonal").orderBy("start", "end")
@@ -110,7 +117,7 @@ def repeated_runs(docs: DataFrame, window: int = 3) -> DataFrame:
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3,
                min_words: int = 20, min_left: float = 0.2) -> DataFrame:
     """``docs`` with later copies of repeated runs cut out of the text, and the
-    columns ``n_lines, n_deleted, kept``.
+    columns ``n_deleted`` (lines) and ``kept``.
 
     Lines are compared without white space at their ends. Documents are
     ordered by id (null last) and by a hash of the text among equal ids;
@@ -118,21 +125,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     has no line that repeats and stays null; so does any text without a
     long enough repeat. ``kept`` is false where something was deleted and
     less than ``min_left`` of the words remain; such rows still come with
-    their remaining text. Columns ``n_lines``, ``n_deleted`` and ``kept`` of
-    the input are replaced. An empty table gives an empty result.
+    their remaining text. Columns ``n_deleted`` and ``kept`` of the input are
+    replaced. An empty table gives an empty result.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_deleted", "kept")]
+    names = [c for c in docs.columns if c not in ("n_deleted", "kept")]
     text = F.col(f"d.`{text_col}`")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("d"))
-    runs = repeated_runs(rows.select(F.col(f"d.`{id_col}`").alias("doc_id"),
-                                     F.coalesce(text, F.lit("")).alias("text")), window)
+    runs = spill(repeated_runs(rows.select(F.col(f"d.`{id_col}`").alias("doc_id"),
+                                           F.coalesce(text, F.lit("")).alias("text")), window), "line-runs")
     joined = rows.withColumn("doc", F.coalesce(F.col(f"d.`{id_col}`").cast("long"), F.lit(NO_ID))) \
-        .withColumn("text_hash", F.xxhash64(F.coalesce(text, F.lit("")))) \
+        .withColumn("text_hash", F.hash(F.coalesce(text, F.lit("")))) \
         .join(runs, ["doc", "text_hash"], "left")
-    untouched = joined.filter("runs IS NULL").select(
-        "d", text.alias("left_text"), F.size(lines_of(text)).alias("n_lines"),
-        F.lit(0).alias("n_deleted"), F.lit(True).alias("kept"))
-    cut = joined.filter("runs IS NOT NULL").withColumn("lines", lines_of(text))
+    # Only texts with runs are cut into lines again.
+    cut = joined.withColumn("lines", F.when(F.col("runs").isNotNull(), lines_of(text)))
     cut = cut.withColumn("words", F.transform("lines", words_of))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, w: s + w)
     long_runs = F.filter(F.transform("runs", lambda r: F.struct(
@@ -148,15 +153,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.when(r["start"] > acc["next"], F.concat(acc["keep"], F.array(F.struct(
                 acc["next"].alias("a"), (r["start"] - acc["next"]).alias("n"))))).otherwise(acc["keep"]).alias("keep")),
         lambda acc: acc["keep"])
-    cut = cut.withColumn("spans", spans)
+    cut = cut.withColumn("spans", F.when(F.size("runs") > 0, spans))
     pick = lambda name: F.flatten(F.transform("spans", lambda s: F.slice(name, s["a"] + 1, s["n"])))
     cut = cut.withColumn("left_lines", pick("lines")).withColumn("left_words", total(pick("words")))
-    n_deleted = F.size("lines") - F.size("left_lines")
-    touched = cut.select(
-        "d", F.when(n_deleted > 0, F.array_join("left_lines", "")).otherwise(text).alias("left_text"),
-        F.size("lines").alias("n_lines"), n_deleted.alias("n_deleted"),
-        ((n_deleted == 0) | ((F.col("left_words") > 0)
-                             & (F.col("left_words") >= min_left * total(F.col("words"))))).alias("kept"))
-    return untouched.unionByName(touched).select(
-        *(F.col("left_text").alias(c) if c == text_col else F.col(f"d.`{c}`").alias(c) for c in names),
-        "n_lines", "n_deleted", "kept")
+    cut = cut.withColumn("touched", F.col("left_lines").isNotNull())
+    return cut.select(
+        *(F.when(F.col("touched"), F.array_join("left_lines", "")).otherwise(text).alias(c) if c == text_col
+          else F.col(f"d.`{c}`").alias(c) for c in names),
+        F.when(F.col("touched"), F.size("lines") - F.size("left_lines")).otherwise(0).alias("n_deleted"),
+        (~F.col("touched") | ((F.col("left_words") > 0)
+                              & (F.col("left_words") >= min_left * total(F.col("words"))))).alias("kept"))
