@@ -86,6 +86,8 @@ def repeated_runs(docs: DataFrame, window: int = 3) -> DataFrame:
     first = (places.groupBy("f").agg(
         F.min(F.struct("doc", "place", "c1", "c2", "c3")).alias("e"),
         F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    # As a table, so that the join is a plain one whose hot lines can be split.
+    first = spill(first, "line-first")
     matches = places.join(first, "f").filter(
         F.struct("doc", "place") > F.struct("e.doc", "e.place"))
     line = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
