@@ -31,16 +31,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = spill(large.filter("u != v").distinct(), "cc-large")
         # Every u is larger than its v here, so all neighbours in the table are smaller.
-        low = spill(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))))
-        new = spill(small.filter("u != v").distinct(), "cc-small")
-        # Done when the step changed nothing: every edge leads to a centre that
-        # is no edge's larger end.
-        moving = new.join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
-        twice = new.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-        edges = new
-        if not moving and not twice:
+        edges = spill(small.filter("u != v").distinct(), "cc-small")
+        # Done when every node is either a centre or has one edge, to a centre.
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        unsettled = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not unsettled.filter("up + down > 1").limit(1).count():
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

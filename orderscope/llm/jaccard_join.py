@@ -8,8 +8,10 @@ gives two kinds of keys:
 * small sets (size up to a boundary) are enumerated: one key for every
   subset of two elements of that prefix with k = 2;
 * large sets are found by scanning inverted lists: one key for every
-  element of the prefix with k = 1. Small sets within 3/4 of the boundary
-  write these keys too, to meet large ones.
+  element of the prefix with k = |s| / 10, and two sets are candidates only
+  if they meet on as many keys as the smaller k. Sets that have just a
+  passage in common seldom do. Small sets within 3/4 of the boundary write
+  these keys too, to meet large ones.
 
 The boundary is where enumerating costs more than scanning, by a cost
 summed over the sizes of all sets and the measured length of lists.
@@ -44,8 +46,11 @@ from .words import chunks
 
 HEAVY = 1 << 18            # heavy elements in the broadcast table (2 MB of hashes)
 VERIFY_COST = 8.0          # cost of a listed set, in keys written
-LIST_PAIRS = 200_000       # pairs of one list that are written at once
+LIST_PAIRS = 1_000_000     # pairs that a task gathers before it counts them
 SLICE_CHARS = 4 << 20
+PICKS = 4                  # pairs of each centre that are checked first in a crowd
+MOST_TURNS = 4             # such turns; what is left is checked in full
+TENTH = 10                 # a large set's prefix goes on for 1/10 of it
 _PAIR_A, _PAIR_B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407)
 
 
@@ -178,7 +183,7 @@ def _keys_of(elements: np.ndarray, is_heavy: np.ndarray, boundary: int) -> np.nd
         a, b = np.triu_indices(len(p), 1)
         keys.append(mix(p[a] * _PAIR_A + p[b] * _PAIR_B))
     if n > needed(boundary) or n > boundary:
-        keys.append(_prefix(elements, is_heavy, 1))
+        keys.append(mix(_prefix(elements, is_heavy, max(1, n // TENTH))))
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
@@ -222,8 +227,9 @@ def _write_keys(heavy, boundary: int, buckets: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of centres that share a key. A task reads the keys of its buckets;
-    a centre occurs at most once per key and writing task."""
+    """Pairs of centres that share keys, and on how many keys of this task. A
+    task reads the keys of its buckets; a centre occurs at most once per key
+    and writing task."""
     keys, centres = [], []
     for batch in batches:
         keys += [np.frombuffer(k.as_buffer(), np.uint64) for k in batch.column("keys")]
@@ -233,45 +239,39 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, centres = np.concatenate(keys), np.concatenate(centres)
     order = np.argsort(keys, kind="stable")
     keys, centres = keys[order], centres[order]
-    shared = np.zeros(len(keys), bool)
     same = keys[1:] == keys[:-1]
-    shared[1:] |= same
-    shared[:-1] |= same
+    shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
     keys, centres = keys[shared], centres[shared]
+    order = np.lexsort((centres, keys))
+    keys, centres = keys[order], centres[order]
+    fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (centres[1:] != centres[:-1]))) if len(keys) else []
+    keys, centres = keys[fresh], centres[fresh]
     if not len(keys):
         return
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    seen: set[tuple[int, int]] = set()
-    out_a, out_x, waiting = [], [], 0
-    for begin, end in zip(starts.tolist(), np.append(starts[1:], len(keys)).tolist(), strict=True):
-        met = np.unique(centres[begin:end])
-        if len(met) == 2:  # most lists
-            pair = (int(met[0]), int(met[1]))
-            if pair not in seen:
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(pair)
-                out_a.append(met[:1])
-                out_x.append(met[1:])
-                waiting += 1
-        else:
-            for i in range(len(met) - 1):
-                out_a.append(np.full(len(met) - 1 - i, met[i]))
-                out_x.append(met[i + 1:])
-                waiting += len(met) - 1 - i
-                if waiting >= LIST_PAIRS:
-                    yield _distinct_pairs(out_a, out_x)
-                    out_a, out_x, waiting = [], [], 0
-        if waiting >= LIST_PAIRS:
-            yield _distinct_pairs(out_a, out_x)
-            out_a, out_x, waiting = [], [], 0
+    lengths = np.diff(np.append(starts, len(keys)))
+    of_two = starts[lengths == 2]
+    out_a, out_x, waiting = [centres[of_two]], [centres[of_two + 1]], len(of_two)
+    for begin, n in zip(starts[lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
+        met = centres[begin:begin + n]
+        for i in range(n - 1):
+            out_a.append(np.full(n - 1 - i, met[i]))
+            out_x.append(met[i + 1:])
+            waiting += n - 1 - i
+            if waiting >= LIST_PAIRS:
+                yield _counted_pairs(out_a, out_x)
+                out_a, out_x, waiting = [], [], 0
     if waiting:
-        yield _distinct_pairs(out_a, out_x)
+        yield _counted_pairs(out_a, out_x)
 
 
-def _distinct_pairs(out_a: list, out_x: list) -> pa.RecordBatch:
-    pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_x)], axis=1), axis=0)
-    return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "x"])
+def _counted_pairs(out_a: list, out_x: list) -> pa.RecordBatch:
+    a, x = np.concatenate(out_a), np.concatenate(out_x)
+    order = np.lexsort((x, a))
+    a, x = a[order], x[order]
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (x[1:] != x[:-1]))))
+    return pa.record_batch([pa.array(a[first]), pa.array(x[first]), pa.array(np.diff(np.append(first, len(a))))],
+                           names=["a", "x", "keys"])
 
 
 def choose_boundary(sizes: list[tuple[int, int]], list_length: float) -> int:
@@ -346,41 +346,76 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     writers = (docs.join(special, "doc", "left").filter("rep IS NULL OR rep = doc")
                .select("doc", "centre", "text"))
     keys = writers.mapInArrow(_write_keys(heavy, boundary, n_parts), KEYS)
-    met = keys.repartition(n_parts, "bucket").mapInArrow(_meet, "a long, x long")
-    met = spill(met.distinct(), "jaccard-met")
+    met = keys.repartition(n_parts, "bucket").mapInArrow(_meet, "a long, x long, keys long")
+    met = spill(met.groupBy("a", "x").agg(F.sum("keys").alias("keys")), "jaccard-met")
 
     # Pairs of centres that are not connected yet.
-    known = components(star_links.select(F.col("a").alias("u"), F.col("x").alias("v")))
-    label = lambda side: known.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c"))
-    apart = (met.join(label("a"), "a", "left").join(label("x"), "x", "left")
-             .filter(F.coalesce("a_c", "a") != F.coalesce("x_c", "x")).select("a", "x"))
     reps_n = classes.filter("doc = rep").groupBy("rep").agg(F.max("n").alias("n"))
     radius = stars.groupBy("centre").agg(F.max("d").alias("r"))
     side = lambda s: (reps_n.join(radius, reps_n.rep == radius.centre, "left")
                       .select(F.col("rep").alias(s), F.col("n").alias(f"{s}_n"), F.coalesce("r", F.lit(0.0)).alias(f"{s}_r")))
-    apart = apart.join(side("a"), "a").join(side("x"), "x")
-    # Two sets alone can only link if their sizes allow it.
+    sized = lambda pairs: pairs.join(side("a"), "a").join(side("x"), "x")
+
+    def unconnected(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        label = lambda s: known.select(F.col("node").alias(s), F.col("component").alias(f"{s}_c"))
+        return (pairs.join(label("a"), "a", "left").join(label("x"), "x", "left")
+                .filter(F.coalesce("a_c", "a") != F.coalesce("x_c", "x")).drop("a_c", "x_c"))
+
+    links = star_links.select("a", "x")
+    known = components(links.select(F.col("a").alias("u"), F.col("x").alias("v")))
+    apart = sized(unconnected(met, known))
+    # Two sets alone can only link if their sizes allow it. Linked members of
+    # two stars share the keys that the smaller of them must share at least;
+    # a member has at least 3/4 of its centre's size.
     apart = apart.filter("a_r > 0 OR x_r > 0 OR (4 * a_n >= 3 * x_n AND 4 * x_n >= 3 * a_n)")
+    least_n = lambda s: F.when(F.col(f"{s}_r") > 0, F.expr(f"(3 * {s}_n + 3) div 4")).otherwise(F.col(f"{s}_n"))
+    must = lambda n: F.when(n <= boundary, 1).otherwise(F.greatest(F.lit(1), F.floor(n / TENTH)))
+    apart = apart.filter(F.col("keys") >= F.least(must(least_n("a")), must(least_n("x")))).select("a", "x")
     apart = spill(apart, "jaccard-apart")
-    between = verify(apart.select("a", "x"), "jaccard-centres")
-    centre_links = between.filter(LINK).select("a", "x")
+
+    # Where many centres are near each other, a few pairs of each are checked
+    # first; pairs that their links connect need no check.
+    between = None
+    for turn in range(MOST_TURNS):
+        ends = apart.select(F.col("a").alias("node"), F.col("x").alias("other")).unionByName(
+            apart.select(F.col("x").alias("node"), F.col("a").alias("other")))
+        picked = ends.groupBy("node").agg(F.count(F.lit(1)).alias("size"), *(
+            F.min(F.struct(F.xxhash64("other", F.lit(turn * PICKS + i)).alias("order"), "other")).alias(f"p{i}")
+            for i in range(PICKS)))
+        picked = spill(picked.select("node", "size", F.array(*(f"p{i}.other" for i in range(PICKS))).alias("others")),
+                       "jaccard-picked")
+        crowd = picked.agg(F.count(F.lit(1)).alias("nodes"), F.sum("size").alias("ends")).first()
+        if not crowd["nodes"] or crowd["ends"] <= 4 * PICKS * crowd["nodes"]:
+            break
+        first = picked.select("node", F.explode("others").alias("other")).select(
+            F.least("node", "other").alias("a"), F.greatest("node", "other").alias("x")).distinct()
+        first = spill(first, "jaccard-first")
+        counted = verify(first, f"jaccard-turn-{turn}")
+        between = counted if between is None else between.unionByName(counted)
+        links = links.unionByName(counted.filter(LINK).select("a", "x"))
+        known = components(links.select(F.col("a").alias("u"), F.col("x").alias("v")))
+        apart = spill(unconnected(apart.join(first, ["a", "x"], "left_anti"), known), "jaccard-apart")
+    counted = verify(apart, "jaccard-centres")
+    between = counted if between is None else between.unionByName(counted)
+    links = links.unionByName(counted.filter(LINK).select("a", "x"))
 
     # Members of stars that are near enough for a link between them.
-    near = (between.filter(f"NOT ({LINK})").join(apart, ["a", "x"])
+    near = (sized(unconnected(between.filter(f"NOT ({LINK})"), known))
             .withColumn("slack", 0.25 + 1e-9 - (1 - F.col("shared") / F.col("joined")))
-            .filter("(a_r > 0 OR x_r > 0) AND slack + a_r + x_r >= 0"))
+            .filter("(a_r > 0 OR x_r > 0) AND slack + a_r + x_r >= 0").select("a", "x", "slack", "x_r"))
+    near = spill(near, "jaccard-near")
     members = stars.select("centre", "doc", "d").unionByName(
-        apart.select(F.explode(F.array("a", "x")).alias("centre")).distinct()
+        near.select(F.explode(F.array("a", "x")).alias("centre")).distinct()
         .select("centre", F.col("centre").alias("doc"), F.lit(0.0).alias("d")))
     member = lambda s: members.select(F.col("centre").alias(s), F.col("doc").alias(f"{s}_m"), F.col("d").alias(f"{s}_d"))
-    sized = lambda s: reps_n.select(F.col("rep").alias(f"{s}_m"), F.col("n").alias(f"{s}_mn"))
-    inner = (near.select("a", "x", "slack").join(member("a"), "a").join(member("x"), "x")
-             .filter("slack + a_d + x_d >= 0 AND (a_m != a OR x_m != x)")
-             .join(sized("a"), "a_m").join(sized("x"), "x_m")
+    with_n = lambda s: reps_n.select(F.col("rep").alias(f"{s}_m"), F.col("n").alias(f"{s}_mn"))
+    inner = (near.join(member("a"), "a").filter("slack + a_d + x_r >= 0")
+             .join(member("x"), "x").filter("slack + a_d + x_d >= 0 AND (a_m != a OR x_m != x)")
+             .join(with_n("a"), "a_m").join(with_n("x"), "x_m")
              .filter("4 * a_mn >= 3 * x_mn AND 4 * x_mn >= 3 * a_mn")
              .select(F.col("a_m").alias("a"), F.col("x_m").alias("x")).distinct())
     inner = verify(spill(inner, "jaccard-inner"), "jaccard-members")
-    links = star_links.select("a", "x").unionByName(centre_links).unionByName(inner.filter(LINK).select("a", "x"))
+    links = links.unionByName(inner.filter(LINK).select("a", "x"))
     return classes, links
 
 
