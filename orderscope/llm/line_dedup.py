@@ -159,9 +159,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pick = lambda name: F.flatten(F.transform("spans", lambda s: F.slice(name, s["a"] + 1, s["n"])))
     cut = cut.withColumn("left_lines", pick("lines")).withColumn("left_words", total(pick("words")))
     cut = cut.withColumn("touched", F.col("left_lines").isNotNull())
-    return cut.select(
-        *(F.when(F.col("touched"), F.array_join("left_lines", "")).otherwise(text).alias(c) if c == text_col
-          else F.col(f"d.`{c}`").alias(c) for c in names),
+    # The generator keeps a filter on what it returns, such as ``kept``, above
+    # itself; pushed below, the filter would repeat all of the cutting.
+    result = F.struct(
+        F.when(F.col("touched"), F.array_join("left_lines", "")).otherwise(text).alias("left_text"),
         F.when(F.col("touched"), F.size("lines") - F.size("left_lines")).otherwise(0).alias("n_deleted"),
         (~F.col("touched") | ((F.col("left_words") > 0)
                               & (F.col("left_words") >= min_left * total(F.col("words"))))).alias("kept"))
+    done = cut.select("d", F.inline(F.array(result)))
+    return done.select(*(F.col("left_text").alias(c) if c == text_col else F.col(f"d.`{c}`").alias(c) for c in names),
+                       "n_deleted", "kept")
