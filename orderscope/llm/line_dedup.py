@@ -1,17 +1,22 @@
-"""Line dedup by winnowing over line hashes (operator 9).
+"""Line dedup by fingerprints of line hashes (operator 9).
 
 A text is cut into lines: at line ends and after sentence ends, so that a
 passage set into another paragraph still shares whole lines with its other
-copies. Of every window of ``window`` consecutive line hashes the smallest
-(rightmost of equals) is a fingerprint. Any run of at least ``window``
-lines that two texts share has a window, and so a fingerprint, in common.
+copies. Lines without a word are no part of the sequence that is compared.
+
+A fingerprint is the hash of a stretch of whole lines that has ``min_words``
+words: from each line on the shortest such stretch, and up to each line the
+shortest. A passage of at least ``min_words`` words, in one line or in many,
+is the union of the stretches that lie in it, and each of them has the same
+hash in every copy. No stretch is left out (a winnowing window of one
+stretch): a passage just long enough may hold no other.
 
 Fingerprints that occur more than once are joined to their first place in
-the corpus, in order of (document, line), never to each other. Each match
-is extended both ways as far as the hashes carried along agree: up to the
-next fingerprint on either side, whose own match continues it. Matches on
-one diagonal that touch are one run. A run of at least ``min_words`` words
-is deleted from the later place; the first copy of a line always stays.
+the corpus, in order of (document, line), never to each other. So exactly
+those lines are deleted that lie in a stretch of ``min_words`` words which
+stands at an earlier place too, in another text or in the same one; the
+first copy of a line always stays. Which earlier place it is makes no
+difference, so one that shares a single stretch hides no longer passage.
 
 Documents left with less than ``min_left`` of their words are dropped.
 
@@ -22,7 +27,7 @@ frequent line does not land in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, spill
@@ -36,87 +41,72 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), CUT, -1)
 
 
-def words_of(line: Column) -> Column:
-    """Words of a line: pieces between single spaces, ends trimmed."""
-    body = F.btrim(line, F.lit(BLANK))
+def _body(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANK))
+
+
+def _words_in(body: Column) -> Column:
     return F.when(F.length(body) == 0, 0).otherwise(
         F.length(body) - F.length(F.replace(body, F.lit(" "), F.lit(""))) + 1)
 
 
-def _pair(a: Column, b: Column) -> Column:
-    """Two line hashes cut to 32 bits each, as one long; 0 beyond an end."""
-    low = lambda c: F.coalesce(c, F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.shiftleft(low(a), 32).bitwiseOR(low(b))
-
-
-def _agreeing(mine: list[Column], theirs: list[Column]) -> Column:
-    """How many leading places of two lists of 32-bit hashes agree."""
-    out = F.lit(0)
-    for a, b in zip(reversed(mine), reversed(theirs), strict=True):
-        out = F.when(a == b, out + 1).otherwise(0)
-    return out
-
-
-def repeated_runs(docs: DataFrame, window: int = 3) -> DataFrame:
-    """Later copies of shared runs: ``doc, text_hash, runs`` where ``runs`` is an
-    array of (start, end) line numbers, both included, by start."""
-    if window != 3:
-        raise ValueError("the hashes carried with a fingerprint are laid out for windows of 3 lines")
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
-                       F.hash("text").alias("text_hash"),
-                       F.transform(lines_of(F.col("text")),
-                                   lambda s: F.xxhash64(F.btrim(s, F.lit(BLANK)))).alias("h"))
-    windows = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("h") - window, F.lit(0))),
-        lambda i: F.aggregate(
-            F.sequence(i + 1, F.least(i + window - 1, F.size("h") - 1)
-                       if window > 1 else i), i,
-            lambda best, j: F.when(F.get("h", j) <= F.get("h", best), j).otherwise(best)))
-    # A text shorter than a window has one window, which is the text.
-    chosen = F.when(F.size("h") == 1, F.array(F.lit(0))).otherwise(F.array_distinct(windows))
-    at = lambda d: F.get("h", F.col("pos") + d)
-    # A place is the text's hash and the line number in one value, which
-    # orders lines within a document.
-    places = (base.select("doc", "text_hash", "h", F.explode(chosen).alias("pos"))
-              .select("doc", F.shiftleft(F.col("text_hash").cast("long"), 32).bitwiseOR(
-                          F.col("pos").cast("long")).alias("place"), at(0).alias("f"),
-                      _pair(at(-1), at(-2)).alias("c1"), _pair(at(-3), at(1)).alias("c2"),
-                      _pair(at(2), at(3)).alias("c3")))
+def words_of(line: Column) -> Column:
+    """Words of a line: pieces between single spaces, ends trimmed."""
+    return _words_in(_body(line))
+
+
+def _two(a: Column, b: Column) -> Column:
+    """Two line numbers as one long, ordered by the first; null if one is null."""
+    return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
+
+
+def _document(doc_id: Column, text: Column) -> list[Column]:
+    """The columns that tell documents apart and order them."""
+    return [F.coalesce(doc_id.cast("long"), F.lit(NO_ID)).alias("doc"),
+            F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash")]
+
+
+def repeated_runs(docs: DataFrame, min_words: int = 20) -> DataFrame:
+    """Later copies of stretches: ``doc, text_hash, runs`` where ``runs`` is an
+    array of (start, end) line numbers, both included, by start. Runs may
+    overlap."""
+    m = max(1, min_words)
+    bodies = F.transform(lines_of(F.col("text")), _body)
+    lines = F.filter(F.transform(bodies, lambda s, i: F.struct(
+        i.alias("line"), F.xxhash64(s).alias("h"), _words_in(s).alias("n"))), lambda x: x["n"] > 0)
+    base = docs.select(*_document(F.col("doc_id"), F.col("text")), lines.alias("lines"))
+    # For every word the place of its line among the lines that have words.
+    base = base.select("doc", "text_hash", F.col("lines.line").alias("line"), F.col("lines.h").alias("h"),
+                       F.flatten(F.transform("lines", lambda x, k: F.array_repeat(k, x["n"]))).alias("of"))
+    base = base.filter(F.size("of") >= m)
+    of = lambda t: F.get("of", t)
+    base = base.withColumn("firsts", F.filter(F.sequence(F.lit(0), F.size("of") - 1),
+                                              lambda t: (t == 0) | (of(t) != of(t - 1))))
+    # A word number below 0 or beyond the last gives null: no such stretch.
+    stretches = F.array_distinct(F.concat(
+        F.transform("firsts", lambda t: _two(of(t), of(t + (m - 1)))),
+        F.transform("firsts", lambda t: _two(of(t - m), of(t - 1))),
+        F.array(_two(of(F.size("of") - m), of(F.size("of") - 1)))))
+    low = F.col("stretch").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    high = F.shiftright("stretch", 32).cast("int")
+    places = (base.select("doc", "text_hash", "line", "h", F.explode(stretches).alias("stretch"))
+              .filter("stretch IS NOT NULL")
+              .select("doc", "text_hash", _two(F.get("line", high), F.get("line", low)).alias("run"),
+                      F.xxhash64(F.slice("h", high + 1, low - high + 1)).alias("f")))
     places = spill(places, "line-fingerprints")
-    first = (places.groupBy("f").agg(
-        F.min(F.struct("doc", "place", "c1", "c2", "c3")).alias("e"),
-        F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    first = (places.groupBy("f").agg(F.min(F.struct("doc", "text_hash", "run")).alias("e"),
+                                     F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     # As a table, so that the join is a plain one whose hot lines can be split.
     first = spill(first, "line-first")
-    matches = places.join(first, "f").filter(
-        F.struct("doc", "place") > F.struct("e.doc", "e.place"))
-    line = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    text_hash = lambda c: F.shiftright(F.col(c), 32).cast("int")
-    matches = matches.withColumns({"pos": line("place"), "e_pos": line("e.place"),
-                                   "text_hash": text_hash("place"), "e_hash": text_hash("e.place")})
-
-    high = lambda c: F.shiftrightunsigned(c, 32)
-    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
-    left = _agreeing([high("c1"), low("c1"), high("c2")], [high("e.c1"), low("e.c1"), high("e.c2")])
-    right = _agreeing([low("c2"), high("c3"), low("c3")], [low("e.c2"), high("e.c3"), low("e.c3")])
-    matches = matches.select(
-        "doc", "text_hash", F.col("e.doc").alias("e_doc"), "e_hash",
-        (F.col("pos") - F.col("e_pos")).alias("diagonal"),
-        (F.col("pos") - left).alias("start"), (F.col("pos") + right).alias("end"))
-
-    diagonal = Window.partitionBy("doc", "text_hash", "e_doc", "e_hash", "diagonal").orderBy("start", "end")
-    before = F.max("end").over(diagonal.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(F.col("start") <= before + 1, 0).otherwise(1)
-    runs = (matches.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(diagonal))
-            .groupBy("doc", "text_hash", "e_doc", "e_hash", "diagonal", "run")
-            .agg(F.greatest(F.min("start"), F.lit(0)).alias("start"), F.max("end").alias("end")))
-    # A run's words are counted with the text at hand, in delete_runs; the
-    # runs of one document are as many as its lines at most.
-    return runs.groupBy("doc", "text_hash").agg(
-        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3,
+    later = places.join(first, "f").filter(F.struct("doc", "text_hash", "run") > F.col("e"))
+    # The runs of one document are as many as twice its lines at most.
+    return later.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("run")).alias("runs")).select(
+        "doc", "text_hash", F.transform("runs", lambda r: F.struct(
+            F.shiftright(r, 32).cast("int").alias("start"),
+            r.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("end"))).alias("runs"))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                min_words: int = 20, min_left: float = 0.2) -> DataFrame:
     """``docs`` with later copies of repeated runs cut out of the text, and the
     columns ``n_deleted`` (lines) and ``kept``.
@@ -125,7 +115,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ordered by id (null last) and by a hash of the text among equal ids;
     rows equal in both are one document and are treated alike. A null text
     has no line that repeats and stays null; so does any text without a
-    long enough repeat. ``kept`` is false where something was deleted and
+    long enough repeat. Lines without words go with a run that they stand
+    in, not at its ends. ``kept`` is false where something was deleted and
     less than ``min_left`` of the words remain; such rows still come with
     their remaining text. Columns ``n_deleted`` and ``kept`` of the input are
     replaced. An empty table gives an empty result.
@@ -133,19 +124,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [c for c in docs.columns if c not in ("n_deleted", "kept")]
     text = F.col(f"d.`{text_col}`")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("d"))
-    runs = spill(repeated_runs(rows.select(F.col(f"d.`{id_col}`").alias("doc_id"),
-                                           F.coalesce(text, F.lit("")).alias("text")), window), "line-runs")
-    joined = rows.withColumn("doc", F.coalesce(F.col(f"d.`{id_col}`").cast("long"), F.lit(NO_ID))) \
-        .withColumn("text_hash", F.hash(F.coalesce(text, F.lit("")))) \
-        .join(runs, ["doc", "text_hash"], "left")
+    runs = spill(repeated_runs(rows.select(F.col(f"d.`{id_col}`").alias("doc_id"), text.alias("text")),
+                               min_words), "line-runs")
+    joined = rows.select("d", *_document(F.col(f"d.`{id_col}`"), text)).join(runs, ["doc", "text_hash"], "left")
     # Only texts with runs are cut into lines again.
     cut = joined.withColumn("lines", F.when(F.col("runs").isNotNull(), lines_of(text)))
     cut = cut.withColumn("words", F.transform("lines", words_of))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, w: s + w)
-    long_runs = F.filter(F.transform("runs", lambda r: F.struct(
-        r["start"].alias("start"), F.least(r["end"], F.size("lines") - 1).alias("end"))),
-        lambda r: total(F.slice("words", r["start"] + 1, r["end"] - r["start"] + 1)) >= min_words)
-    cut = cut.withColumn("runs", long_runs)
     # Line spans between the runs, in order: (first line, number of lines).
     spans = F.aggregate(
         F.concat("runs", F.array(F.struct(F.size("lines").alias("start"), F.size("lines").alias("end")))),

@@ -254,3 +254,51 @@ def test_line_dedup_keeps_one_copy_of_everything(spark):
     for passage in shared:
         times = max(after.count(x) for x in passage[3:-3])
         assert times <= 1
+
+
+def _brute_deleted(data, min_words=20):
+    """Numbers of deleted lines by id: lines in a stretch of ``min_words`` words
+    that stands at an earlier place too. Every stretch is compared."""
+    blank, cut = " \t\n\r\x0b\x0c", re.compile(r"(?<=\n)|(?<=[.!?])(?=[ \t])")
+    seen, out = set(), {}
+    for i, text in sorted(data):
+        full = [(k, x.strip(blank)) for k, x in enumerate(_split(cut, text)) if x.strip(blank)]
+        out[i] = set()
+        for a in range(len(full)):
+            n = 0
+            for b in range(a, len(full)):
+                n += len(full[b][1].split(" "))
+                if n >= min_words:
+                    stretch = tuple(x for _, x in full[a:b + 1])
+                    if stretch in seen:
+                        out[i].update(range(full[a][0], full[b][0] + 1))
+                    seen.add(stretch)
+    return out
+
+
+def _deleted(spark, data):
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    return {r.doc_id: r for r in line_dedup.line_dedup(df).collect()}
+
+
+def test_line_dedup_finds_passages_whose_lines_stand_alone_earlier(spark):
+    """A passage's lines, and blank lines, each stand in earlier texts as well."""
+    line = lambda k: f"Line {k} of the passage has words."
+    passage = [line(k) for k in range(10)]
+    own = lambda d: [f"Text {d} has its own line {j}." for j in range(20)]
+    data = [(k, " ".join([*own(k)[:3], line(k), *own(k)[3:]])) for k in range(10)]
+    data += [(20, "\n\n".join([*own(20), *passage])), (21, " ".join([*own(21), *passage])),
+             (22, "\n".join([*own(22)[:9], "", *passage[:5], "", "", *passage[5:], "", *own(22)[9:]]))]
+    got, want = _deleted(spark, data), _brute_deleted(data)
+    assert {i: r.n_deleted for i, r in got.items()} == {i: len(x) for i, x in want.items()}
+    assert got[20].text == dict(data)[20] and all(got[k].n_deleted == 0 for k in range(10))
+    for i in (21, 22):
+        assert not any(x in got[i].text for x in passage) and all(x in got[i].text for x in own(i))
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(9)
+    stock = [" ".join(f"{c}{j}" for j in range(rng.choice([1, 1, 2, 4, 9, 25]))) + "." for c in "abcdefgh"] + ["", " "]
+    data = [(d, "\n".join(rng.choices(stock, k=rng.randint(0, 25)))) for d in range(80)]
+    got = {i: r.n_deleted for i, r in _deleted(spark, data).items()}
+    assert got == {i: len(x) for i, x in _brute_deleted(data).items()} and 0 < sum(n > 0 for n in got.values()) < 80
