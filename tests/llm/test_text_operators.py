@@ -302,3 +302,16 @@ def test_line_dedup_equals_brute_force(spark):
     data = [(d, "\n".join(rng.choices(stock, k=rng.randint(0, 25)))) for d in range(80)]
     got = {i: r.n_deleted for i, r in _deleted(spark, data).items()}
     assert got == {i: len(x) for i, x in _brute_deleted(data).items()} and 0 < sum(n > 0 for n in got.values()) < 80
+
+
+@pytest.mark.parametrize("n_lines", [1, 2, 3])
+def test_line_dedup_finds_passages_of_few_lines(spark, n_lines):
+    """Passages of sixty words in one to three lines, each in three texts with other neighbours."""
+    size = 60 // n_lines
+    passage = lambda k: [" ".join(f"p{k}w{j}" for j in range(a, a + size)) + "." for a in range(0, 60, size)]
+    own = lambda d, j: f"Text {d} has its own line {j}."
+    data = [(d, " ".join([own(d, 0), own(d, 1), own(d, 2), *passage(d % 10), own(d, 3), own(d, 4)])) for d in range(30)]
+    got = _deleted(spark, data)
+    assert [got[d].n_deleted for d in range(30)] == [0] * 10 + [n_lines] * 20
+    assert all(x in got[d].text for d in range(10) for x in passage(d))
+    assert all(own(d, j) in got[d].text for d in range(30) for j in range(5))
