@@ -315,3 +315,14 @@ def test_line_dedup_finds_passages_of_few_lines(spark, n_lines):
     assert [got[d].n_deleted for d in range(30)] == [0] * 10 + [n_lines] * 20
     assert all(x in got[d].text for d in range(10) for x in passage(d))
     assert all(own(d, j) in got[d].text for d in range(30) for j in range(5))
+
+
+def test_line_dedup_cuts_runs_of_a_short_line(spark):
+    """One short line repeated, alone or two in turn, within a text and across texts."""
+    own = lambda d: [f"Text {d} has its own line {j}." for j in range(40)]
+    data = [(1, "\n".join([*own(1), *["menu"] * 125, "end."])), (2, "\n".join([*own(2), *["menu"] * 60])),
+            (3, "\n".join([*own(3), *["home", "next page"] * 30])), (4, "\n".join([*own(4), *["menu"] * 15]))]
+    got, want = _deleted(spark, data), _brute_deleted(data)
+    assert {i: r.n_deleted for i, r in got.items()} == {i: len(x) for i, x in want.items()}
+    assert [got[i].text.split("\n").count("menu") for i in (1, 2, 4)] == [1, 0, 15]
+    assert got[3].text.split("\n").count("home") == 1 and all(x in got[3].text for x in own(3))
