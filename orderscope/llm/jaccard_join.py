@@ -182,7 +182,7 @@ def _keys_of(elements: np.ndarray, is_heavy: np.ndarray, boundary: int) -> np.nd
         p = np.sort(_prefix(elements, is_heavy, 2))
         a, b = np.triu_indices(len(p), 1)
         keys.append(mix(p[a] * _PAIR_A + p[b] * _PAIR_B))
-    if n > needed(boundary) or n > boundary:
+    if n >= needed(boundary + 1) or n > boundary:
         keys.append(mix(_prefix(elements, is_heavy, max(1, n // TENTH))))
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 

@@ -139,6 +139,21 @@ def test_boundary_follows_cost():
     assert jaccard_join.choose_boundary([], 1.0) == 0
 
 
+@pytest.mark.parametrize("boundary", [0, 3, 7, 8, 15, 39, 50])
+def test_linked_sets_share_a_key_across_the_boundary(boundary):
+    """Without stars: a set inside a larger one, Jaccard 3/4 or just above (sets
+    of one element link with equal ones only, which are one set)."""
+    rng = np.random.default_rng(boundary)
+    for large in range(max(2, boundary - 3), boundary + 30):
+        small = int(jaccard_join.needed(large))
+        for _ in range(5):
+            a = np.unique(rng.integers(0, 1 << 63, large).astype(np.uint64))
+            b = np.sort(rng.choice(a, small, replace=False))
+            heavy = rng.random(large) < 0.3
+            keys = [jaccard_join._keys_of(x, h, boundary) for x, h in ((a, heavy), (b, heavy[np.isin(a, b)]))]
+            assert len(np.intersect1d(*keys)), (boundary, small, large)
+
+
 # ---- 6: toxicity ----
 
 @pytest.fixture(scope="module")
