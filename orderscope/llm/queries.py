@@ -32,8 +32,9 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids are the library's with nothing changed but ``add_special_tokens=False``."""
     manifest = token_files.write_tokens(table(spark, sf_dir, "documents"),
-                                        tokenizer_path("word_bpe_49k.json"), end_id=2)
+                                        tokenizer_path("word_bpe_49k.json"), end_id=2, special_in_text=True)
     return token_files.read_documents(manifest)
 
 

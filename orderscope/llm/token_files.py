@@ -14,6 +14,9 @@ whole corpus is its place in the shard plus the ids of all earlier shards.
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +33,7 @@ from .words import WordIds, chunks
 MANIFEST = "shard int, n_docs long, n_tokens long, tokens_file string, docs_file string"
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 BATCH_ROWS = 512          # sequences of one record batch
+MARK = " "                # begins a word that is a special token; others hold no space
 
 _tokenizers: dict = {}    # by path: loaded once per Python worker
 
@@ -42,7 +46,9 @@ def _word_encoder(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    # Words that are not marked special are text, also if lowering made them look special.
     tokenizer.encode_special_tokens = True
+    special = {i.content: k for k, i in tokenizer.get_added_tokens_decoder().items()}
     ends = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
     for token, i in tokenizer.get_vocab().items():
         ends[i] = token.endswith("</w>")
@@ -82,16 +88,60 @@ def _word_encoder(path: str):
     def encode(words: list[str]):
         """A final ``.`` or ``,`` after letters is a pre-token of its own, so
         such a word has the ids of its stem and of the mark."""
-        cut = [[w[:-1], w[-1]] if w[-1:] in (".", ",") and w[:-1].isalpha() else [w] for w in words]
+        cut = [[w[:-1], w[-1]] if w[-1:] in (".", ",") and _letters(w[:-1]) else [w] for w in words]
         return known.texts(pa.array(cut, pa.list_(pa.string())))
-    return encode, len(ends)
+
+    def with_special(words: list[str]):
+        flat, lengths = encode(["" if w.startswith(MARK) else w for w in words])
+        marked = [i for i, w in enumerate(words) if w.startswith(MARK)]
+        if marked:
+            before = (np.cumsum(lengths) - lengths)[marked]
+            flat = np.insert(flat, before, [special[words[i].removeprefix(MARK)] for i in marked])
+            lengths[marked] = 1
+        return flat, lengths
+    return with_special, len(ends)
+
+
+def _letters(stem: str) -> bool:
+    """Whether a word is letters only, as written and as the library normalizes it."""
+    return stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha())
+
+
+@functools.cache
+def special_pattern(path: str) -> re.Pattern | None:
+    """Finds special tokens in texts. Those that match on other terms than
+    exact text are refused, as their ids would differ from the library's."""
+    from tokenizers import Tokenizer
+
+    added = list(Tokenizer.from_file(path).get_added_tokens_decoder().values())
+    if any(t.normalized or t.single_word or t.lstrip or t.rstrip or not t.special for t in added):
+        raise ValueError("added tokens must be special ones that match exact text")
+    names = sorted((t.content for t in added), key=len, reverse=True)
+    return re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
 
-def split_words(texts: list[str]) -> pa.ListArray:
+def split_words(texts: list[str], special: re.Pattern | None) -> pa.ListArray:
     """Words of each text. Cutting at ASCII white space changes no id (the
     tokenizer drops white space and never joins across it), nor does
-    lowering A-Z first. Empty words have no id."""
-    return pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(pa.array(texts, pa.string())))
+    lowering A-Z first. Empty words have no id. Special tokens, looked for
+    before lowering, are words of their own that begin with :data:`MARK`."""
+    pieces, counts, marked = [], np.ones(len(texts), np.int64), []
+    for i, text in enumerate(texts):
+        found = special.split(text) if special else [text]
+        counts[i] = len(found)
+        if len(found) > 1:
+            marked += range(len(pieces) + 1, len(pieces) + len(found), 2)
+        pieces += found
+    words = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(pa.array(pieces, pa.string())))
+    if not marked:
+        return words
+    names = pa.array([[MARK + pieces[i]] for i in marked], words.type)
+    which = np.arange(len(pieces))
+    which[marked] = len(pieces) + np.arange(len(marked))
+    words = pa.concat_arrays([words, names]).take(pa.array(which))
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    offsets = words.offsets.to_numpy()[ends]
+    return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), words.flatten())
 
 
 def encoder(path: str) -> tuple[WordIds, np.dtype]:
@@ -148,17 +198,18 @@ class _Shard:
                 "tokens_file": self.tokens.commit(), "docs_file": self.docs.commit()}
 
 
-def _writer(folder: str, tokenizer: str, end_id: int, length: int):
+def _writer(folder: str, tokenizer: str, end_id: int, length: int, special_in_text: bool):
     schema = pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()),
                         ("tokens_file", pa.string()), ("docs_file", pa.string())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, dtype = encoder(tokenizer)
+        special = special_pattern(tokenizer) if special_in_text else None
         shard = None
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in chunks(texts):
-                ids, lengths = words.texts(split_words(texts[a:b]))
+                ids, lengths = words.texts(split_words(texts[a:b], special))
                 ids = np.insert(ids, np.cumsum(lengths), end_id).astype(dtype)
                 shard = shard or _Shard(folder, length, dtype)
                 shard.add(batch.column("doc_id").slice(a, b - a), ids, lengths + 1)
@@ -169,12 +220,15 @@ def _writer(folder: str, tokenizer: str, end_id: int, length: int):
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2048,
-                 folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                 folder: str | None = None, id_col: str = "doc_id", text_col: str = "text",
+                 special_in_text: bool = False) -> DataFrame:
     """Write the shards and return their manifest.
 
     Every whole text is encoded (null: empty, which is its end id alone) in
     ascending id order, nulls first, rows of one id ordered by text. Other
-    columns are ignored. An empty table has an empty manifest and no file.
+    columns are ignored. With ``special_in_text`` special tokens that stand in a
+    text exactly as written get their own id, as the library does by itself;
+    otherwise they are ordinary text. An empty table has an empty manifest and no file.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "tokens")
@@ -182,7 +236,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, length: int = 204
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = (rows.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first())
                .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text"))
-    return spill(ordered.mapInArrow(_writer(f"{folder}/shards", tokenizer, end_id, length), MANIFEST),
+    return spill(ordered.mapInArrow(_writer(f"{folder}/shards", tokenizer, end_id, length, special_in_text), MANIFEST),
                  "manifest", f"{folder}/manifest.parquet")
 
 

@@ -154,3 +154,41 @@ def test_ranges_join_neighbours_only():
     rows = [("a", 0, 10), ("a", 10, 10), ("a", 20 + gap, 5), ("a", 26 + 2 * gap, 5), ("b", 0, most), ("b", most, 1)]
     got = [(f, s, n, len(g)) for f, s, n, g in warc._ranges(rows)]
     assert got == [("a", 0, 25 + gap, 3), ("a", 26 + 2 * gap, 5, 1), ("b", 0, most, 1), ("b", most, 1, 1)]
+
+
+def test_token_files_equal_the_unmodified_library(spark):
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    texts = ["end <|endoftext|> start", "end<|endoftext|>start.", "<|endoftext|>", "<|startoftext|><|endoftext|>\n",
+             "<|ENDOFTEXT|> <|EndOfText|>", "<|endoftext", "A <|startoftext|> B <|ENDOFTEXT|>.", "plain text", None, "",
+             "DİYARBAKIRİ. İ, gelİ.", "é<|endoftext|>́. क़.", "I'<|endoftext|>s 1<|endoftext|>2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    manifest = token_files.write_tokens(docs.coalesce(1), tokenizer_path("word_bpe_49k.json"), 2, length=8,
+                                        special_in_text=True)
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_documents(manifest).collect()}
+    start = 0
+    for i, t in enumerate(texts):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        assert got[i] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
+        start += len(ids)
+
+
+def test_words_with_special_tokens_stay_in_their_texts():
+    path = tokenizer_path("word_bpe_49k.json")
+    words, special = token_files.encoder(path)[0], token_files.special_pattern(path)
+    texts = ["a <|endoftext|>", "b", "", "<|startoftext|>c<|ENDOFTEXT|>"]
+    split = token_files.split_words(texts, special)
+    assert [len([w for w in x if w]) for x in split.to_pylist()] == [2, 1, 0, 2]
+    ids, lengths = words.texts(split)
+    assert lengths.sum() == len(ids) and lengths[0] == 2 and ids[1] == 49407
+
+
+def test_token_query_gives_special_tokens_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from orderscope.llm.queries import op4_token_files
+    text = "end <|endoftext|> start İ."
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids + [2]
+    got = op4_token_files(spark, str(tmp_path)).first()
+    assert (got.n_tokens, got.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
