@@ -38,12 +38,12 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an id are groups of their own unless they are linked
-    to one with an id; rows that share an id stay or go together."""
-    groups = jaccard_join.jaccard_components(docs)
-    copies = groups.filter("NOT doc_id <=> component_id").select(F.col("doc_id").alias("copy_id")).distinct()
+    """A row goes if it is linked to a row with a smaller id, or without an id
+    to one with an id. Rows that share an id or have none go one by one."""
+    rows = jaccard_join.with_node(docs)
+    copies = jaccard_join.row_components(rows).filter("NOT doc_id <=> component_id").select("node").distinct()
     copies = small_side(spill(copies, "pipeline-copies"), F.count(F.lit(1)) * 16)
-    return docs.join(copies, docs.doc_id.eqNullSafe(F.col("copy_id")), "left_anti")
+    return rows.join(copies, "node", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

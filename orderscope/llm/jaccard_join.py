@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, partitions, ragged, small_side, spill
+from .common import partitions, ragged, small_side, spill
 from .components import components
 from .shingles import mix, shingle_sets
 from .words import chunks
@@ -207,7 +207,7 @@ def _write_keys(heavy, boundary: int, buckets: int):
                     keys.append(found)
                     owners.append(np.full(len(found), centre[i], np.int64))
                     end += n
-            if not keys:
+            if not sum(map(len, keys)):     # sets of one element need none
                 continue
             keys, owners = np.concatenate(keys), np.concatenate(owners)
             order = np.lexsort((owners, keys))
@@ -289,15 +289,33 @@ def choose_boundary(sizes: list[tuple[int, int]], list_length: float) -> int:
     return best
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-    """(classes, links): ``doc, n, rep`` per document, where documents with
-    equal sets share ``rep`` (their smallest id), and the confirmed links
-    ``a, x`` between representatives: all that it takes to reach every linked
-    document (links inside a star are those to its centre)."""
+OWN_NODES = 1 << 62        # from here on nodes are hashes, below they are ids
+
+
+def with_node(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with a column ``node``, never null, that only rows equal in id and
+    text share: the id, or a hash of id and text from :data:`OWN_NODES` on where
+    the id is missing, repeated or as large as that."""
+    ids = docs.select(F.col(id_col).cast("long").alias("twice"))
+    twice = ids.filter(F.col("twice") < OWN_NODES).groupBy("twice").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    twice = small_side(spill(twice.select("twice"), "jaccard-repeated-ids"), F.count(F.lit(1)) * 16)
+    i = F.col("d").getField(id_col).cast("long")
+    own = F.xxhash64(i, F.col("d").getField(text_col)).bitwiseAND(F.lit(OWN_NODES - 1)).bitwiseOR(F.lit(OWN_NODES))
+    names = [c for c in docs.columns if c != "node"]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("d"))
+    joined = rows.join(twice, i == F.col("twice"), "left")
+    node = F.when((i < OWN_NODES) & F.col("twice").isNull(), i).otherwise(own)
+    return joined.select(*(F.col("d").getField(c).alias(c) for c in names), node.alias("node"))
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "node", text_col: str = "text"):
+    """(classes, links): ``doc, n, rep`` per row, where ``doc`` is the row's node
+    and rows with equal sets share ``rep`` (their smallest node), and the
+    confirmed links ``a, x`` between representatives: all that it takes to
+    reach every linked row (links inside a star are those to its centre)."""
     spark = docs.sparkSession
     n_parts = partitions(spark)
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"),
-                       F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     profile = spill(docs.mapInArrow(_profile, PROFILE), "jaccard-profile")
     rows = profile.filter("doc IS NOT NULL").select("doc", "n", "sig1", "sig2", "sketch")
     repeats = profile.filter("element IS NOT NULL").groupBy("element").agg(F.sum("times").alias("times"))
@@ -419,18 +437,34 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return classes, links
 
 
+def row_components(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``node, doc_id, n_shingles, component_id`` per row of :func:`with_node`."""
+    classes, links = jaccard_links(rows, "node", text_col)
+    found = components(links.select(F.col("a").alias("u"), F.col("x").alias("v")))
+    # A node below OWN_NODES is its row's id; the others' ids are looked up.
+    own = rows.filter(F.col("node") >= OWN_NODES).select("node", F.col(id_col).cast("long").alias("own_id")).distinct()
+    own = spill(own, "jaccard-own-nodes")
+    labels = spill(classes.join(found, classes.rep == found.node, "left")
+                   .select(F.col("doc").alias("node"), "n", F.coalesce("component", "rep").alias("component")),
+                   "jaccard-labels")
+    labels = labels.join(small_side(own, F.count(F.lit(1)) * 24), "node", "left")
+    # A component's least node is its least id among rows whose node is the id.
+    least = (labels.filter("own_id IS NOT NULL").groupBy("component").agg(F.min("own_id").alias("least_id")))
+    least = small_side(spill(least, "jaccard-least-ids"), F.count(F.lit(1)) * 24)
+    real = lambda c: F.when(F.col(c) < OWN_NODES, F.col(c))
+    return (labels.join(least, "component", "left")
+            .select("node", F.coalesce(real("node"), "own_id").alias("doc_id"), F.col("n").alias("n_shingles"),
+                    F.least(real("component"), "least_id").alias("component_id")))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` per document (see the module).
 
     A null or wordless text has the empty set and links with nothing. Rows
-    with equal sets are linked. Rows that share an id are one document in
-    the links of any of them; rows without an id count as one document of
-    their own kind, and their component has a null id unless a smaller one
-    is reached. Other columns are ignored. An empty table gives no rows.
+    with equal sets are linked. Rows that share an id, or have none, are
+    documents of their own, linked by their texts only (rows equal in id and
+    text are alike). A component's id is the smallest id of its rows, null
+    if none has one. Other columns are ignored. An empty table gives no rows.
     """
-    classes, links = jaccard_links(docs, id_col, text_col)
-    found = components(links.select(F.col("a").alias("u"), F.col("x").alias("v")))
-    real = lambda c: F.when(c != NO_ID, c)
-    return (classes.join(found, classes.rep == found.node, "left")
-            .select(real(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"),
-                    real(F.coalesce("component", "rep")).alias("component_id")))
+    rows = with_node(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    return row_components(rows).drop("node")

@@ -133,6 +133,27 @@ def test_jaccard_join_odd_rows(spark):
     assert jaccard_join.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_or_with_a_repeated_one_are_their_own(spark):
+    import corpus_pipeline as pipeline
+
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(60))
+    data = [(5, text(1)), (None, text(1)), (None, text(1) + " more"), (None, text(2)), (None, text(3)), (None, None),
+            (9, text(3) + " x"), (9, text(4)), (9, text(1) + " y"), (11, text(4) + " z"), (3, text(5)), (3, text(6)),
+            (10, text(6) + " v"), (2, text(7)), (2, text(7)), (1 << 62, text(8)), ((1 << 62) + 1, text(8) + " u"),
+            (-4, text(8) + " v")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    rows = jaccard_join.with_node(docs)
+    nodes = {r.node: r.text for r in rows.collect()}
+    assert len(nodes) == len(data) - 1
+    got = sorted(((r.doc_id, nodes[r.node], r.component_id) for r in jaccard_join.row_components(rows).collect()), key=str)
+    component = [5, 5, 5, None, 9, None, 9, 9, 5, 9, 3, 3, 3, 2, 2, -4, -4, -4]
+    assert got == sorted(((i, t, c) for (i, t), c in zip(data, component, strict=True)), key=str)
+    kept = pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    want = [r for r, c in zip(data, component, strict=True) if r[0] == c]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_boundary_follows_cost():
     sizes = [(n, 10) for n in range(1, 500)]
     assert 0 < jaccard_join.choose_boundary(sizes, 0.1) < jaccard_join.choose_boundary(sizes, 5.0)
