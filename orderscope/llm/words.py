@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 from .common import ragged
 
@@ -73,3 +74,15 @@ def chunks(texts: list[str | None], chars: int = 8 << 20):
         size += n
     if at < len(texts):
         yield at, len(texts)
+
+
+def text_slices(column: pa.Array, chars: int = 2 << 20):
+    """``a, b, texts`` (null: empty) of slices of a string column of about ``chars``
+    bytes each; only one slice at a time is Python strings."""
+    sizes = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    total = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + chars, side="right")) - 1)
+        yield a, b, [t or "" for t in column.slice(a, b - a).to_pylist()]
+        a = b
