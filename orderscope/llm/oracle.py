@@ -154,11 +154,11 @@ WITH RECURSIVE crc AS (
          CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
   FROM words w LEFT JOIN best USING (word)
 ), path AS (
-  SELECT word, word AS at, 0 AS step FROM forms
-  UNION ALL SELECT p.word, f.form, step + 1 FROM path p JOIN forms f ON f.word = p.at WHERE f.form IS NOT NULL
+  SELECT word, word AS place, 0 AS step FROM forms
+  UNION ALL SELECT p.word, f.form, step + 1 FROM path p JOIN forms f ON f.word = p.place WHERE f.form IS NOT NULL
 )
 SELECT word, form, root, n, n_near, form_n
-FROM forms JOIN (SELECT word, arg_max(at, step) AS root FROM path GROUP BY word) USING (word)
+FROM forms JOIN (SELECT word, arg_max(place, step) AS root FROM path GROUP BY word) USING (word)
 """
 
 ORACLE_SQL = {
