@@ -9,6 +9,7 @@ from orderscope.functions.money import (
     merge_split,
     net_amount,
     split_mean,
+    split_parts,
     split_sum,
     split_total,
     split_value,
@@ -30,6 +31,7 @@ __all__ = [
     "net_amount",
     "parse_number",
     "split_mean",
+    "split_parts",
     "split_sum",
     "split_total",
     "split_value",

@@ -29,10 +29,9 @@ aggregate right after it combines map-side: Q05, whose groups are single
 customers, and Q10, whose (customer, month) pre-aggregate could not share
 its partitioning with the customer join (see their docstrings; both were
 measured). Distinct counts over a joined attribute (Q09's orders per
-supplier name) cannot be merged from per-key partials; they use the direct
-join and Spark's distinct-aggregate plan, which aggregates on
-``(group id, l_orderkey)`` map-side before shuffling. AQE's skew-join split
-(on by default, and set by ``local_session``) covers a hot join key there.
+supplier name) cannot be merged from per-key partials unless a name has one
+key; Q09 does that for those and joins first for the others. AQE's skew-join
+split (on by default, and set by ``local_session``) covers a hot join key there.
 
 *Names, not keys.* Groups are on names as in the source queries, so two
 entities with the same name merge (Q05, Q08, Q09, Q12).
@@ -54,6 +53,7 @@ from orderscope.functions.money import (
     merge_split,
     net_amount,
     split_mean,
+    split_parts,
     split_sum,
     split_total,
     split_value,
@@ -96,20 +96,20 @@ def kpi_metrics(t: Tables) -> DataFrame:
     price = t.amount("orders", "o_totalprice")
     agg = t.orders.agg(
         F.count(F.lit(1)).alias("orders"),
-        *split_sum(price.units, "value"),
+        *split_sum(price, "value"),
         F.count_distinct("o_custkey").alias("customers"),
         F.count(price.present).alias("priced"),
     )
-    return kpi_view(agg.withColumn("value", split_total("value")), price.scale)
+    return kpi_view(agg.withColumn("value", split_total("value", price)), price.scale)
 
 
 def order_totals(t: Tables, **keys) -> DataFrame:
     """Per group of the orders: orders, value (exact, in units), priced."""
     price = t.amount("orders", "o_totalprice")
     agg = t.orders.groupBy(*(c.alias(name) for name, c in keys.items())).agg(
-        F.count(F.lit(1)).alias("orders"), *split_sum(price.units, "value"),
+        F.count(F.lit(1)).alias("orders"), *split_sum(price, "value"),
         F.count(price.present).alias("priced"))
-    return agg.withColumn("value", split_total("value")).drop("value_hi", "value_lo")
+    return agg.withColumn("value", split_total("value", price)).drop(*split_parts("value"))
 
 
 def summary_view(months: DataFrame, scale: int) -> DataFrame:
@@ -129,11 +129,11 @@ def orders_summary(t: Tables) -> DataFrame:
     price = t.amount("orders", "o_totalprice")
     agg = t.orders.groupBy(month_start("o_orderdate").alias("order_month")).agg(
         F.count(F.lit(1)).alias("orders"),
-        *split_sum(price.units, "value"),
+        *split_sum(price, "value"),
         F.count(price.present).alias("priced"),
         F.count_distinct("o_custkey").alias("customers"),
     )
-    return summary_view(agg.withColumn("value", split_total("value")), price.scale)
+    return summary_view(agg.withColumn("value", split_total("value", price)), price.scale)
 
 
 def status_view(totals: DataFrame, scale: int, *extra: Column) -> DataFrame:
@@ -184,16 +184,18 @@ def preview(df: DataFrame, n: int = PREVIEW_ROWS, key: str | None = None) -> Dat
     come back on every run.
 
     With a ``key`` the n smallest keys are found first, from that column
-    alone (eager: one top-k job, one row back); only rows up to the n-th are
-    then read in full, and the parquet scan skips row groups beyond it. The
-    rows are the same without it, but every column of every row is read."""
-    order = df.columns if key is None else [key, *(c for c in df.columns if c != key)]
-    if key is not None:
-        smallest = top_k(df.select(key).filter(F.col(key).isNotNull()), n, [], [key])
-        last = smallest.agg(F.max(key).alias("k"), F.count(key).alias("n")).first()
-        if last["n"] == n:  # else rows without a key belong to the answer too
-            df = df.filter(F.col(key) <= F.lit(last["k"]))
-    return top_k(df, n, [], order)
+    alone, as a subquery of the plan (nothing runs before the result is asked
+    for); only rows up to the n-th are then read in full, and the parquet
+    scan skips row groups beyond it. Rows without a key sort last; they are
+    read apart, from row groups that have any. The rows are the same
+    without a key, but every column of every row is read."""
+    if key is None:
+        return top_k(df, n, [], df.columns)
+    order = [key, *(c for c in df.columns if c != key)]
+    smallest = top_k(df.select(key).filter(F.col(key).isNotNull()), n, [], [key])
+    first = df.filter(F.col(key) <= smallest.agg(F.max(key)).scalar())
+    without = top_k(df.filter(F.col(key).isNull()), n, [], order)
+    return top_k(first.unionByName(without), n, [], order)
 
 
 def browse(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
@@ -222,7 +224,7 @@ def orders_per_customer(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("order_rows"),
         F.count("o_orderkey").alias("order_count"),
         F.count(price.present).alias("priced"),
-        *split_sum(price.units, "revenue"),
+        *split_sum(price, "revenue"),
     )
 
 
@@ -250,13 +252,13 @@ def top_customers(t: Tables, n: int = DEFAULT_TOP_CUSTOMERS) -> DataFrame:
         F.col("n_name").alias("nation"),
     ).agg(
         F.count("o_orderkey").alias("order_count"),
-        *split_sum(price.units, "spent"),
+        *split_sum(price, "spent"),
         F.count(price.present).alias("_priced"),
     )
     out = agg.select(
         "customer_name", "market_segment", "nation", "order_count",
-        split_value("spent", price.scale).alias("total_spent"),
-        split_mean("spent", price.scale, "_priced").alias("avg_order_value"),
+        split_value("spent", price).alias("total_spent"),
+        split_mean("spent", price, "_priced").alias("avg_order_value"),
     )
     return top_k(out, n, ["total_spent"], ["customer_name", "market_segment", "nation"])
 
@@ -277,7 +279,7 @@ def region_nation_totals(t: Tables) -> DataFrame:
               .join(region, nation["n_regionkey"] == region["r_regionkey"]))
     return joined.groupBy(F.col("r_name").alias("region"), F.col("n_name").alias("nation")).agg(
         F.sum("order_count").alias("order_count"), *merge_split("revenue"),
-    ).select("region", "nation", "order_count", split_total("revenue").alias("revenue"))
+    ).select("region", "nation", "order_count", split_total("revenue", t.amount("orders", "o_totalprice")).alias("revenue"))
 
 
 def by_revenue(df: DataFrame, *ties: str) -> DataFrame:
@@ -298,17 +300,23 @@ def revenue_by_region(t: Tables) -> DataFrame:
 
 def segment_totals(t: Tables) -> DataFrame:
     """Exact per-segment totals with customers kept even without orders
-    (LEFT join): segment, customer_count, order_count, revenue (decimal,
-    NULL for a segment with no orders), priced."""
+    (a LEFT join's rows): segment, customer_count, order_count, revenue (decimal,
+    NULL for a segment with no orders), priced.
+
+    Every customer counts, so the distinct count needs the customer table
+    alone; orders are merged per customer before they meet it. The two halves
+    have one row per segment when they are joined."""
+    price = t.amount("orders", "o_totalprice")
     per = orders_per_customer(t)
     cust = _customers(t, "c_mktsegment")
-    joined = cust.join(per, cust["c_custkey"] == per["o_custkey"], "left")
-    return joined.groupBy(F.col("c_mktsegment").alias("segment")).agg(
-        F.count_distinct("c_custkey").alias("customer_count"),
-        F.coalesce(F.sum("order_count"), F.lit(0).cast("long")).alias("order_count"),
-        *merge_split("revenue"),
-        F.sum("priced").alias("priced"),
-    ).withColumn("revenue", split_total("revenue")).drop("revenue_hi", "revenue_lo")
+    customers = cust.groupBy(F.col("c_mktsegment").alias("segment")).agg(
+        F.count_distinct("c_custkey").alias("customer_count"))
+    totals = (per.join(cust, per["o_custkey"] == cust["c_custkey"])
+              .groupBy(F.col("c_mktsegment").alias("_segment")).agg(
+                  F.sum("order_count").alias("order_count"), *merge_split("revenue"), F.sum("priced").alias("priced")))
+    return (customers.join(totals, customers["segment"].eqNullSafe(totals["_segment"]), "left")
+            .select("segment", "customer_count", F.coalesce("order_count", F.lit(0).cast("long")).alias("order_count"),
+                    split_total("revenue", price).alias("revenue"), "priced"))
 
 
 def segment_view(totals: DataFrame, scale: int, *extra: Column) -> DataFrame:
@@ -342,8 +350,8 @@ def monthly_trend_by_segment(t: Tables) -> DataFrame:
     joined = orders.join(cust, orders["o_custkey"] == cust["c_custkey"])
     price = t.amount("orders", "o_totalprice")
     agg = joined.groupBy("order_month", F.col("c_mktsegment").alias("segment")).agg(
-        *split_sum(price.units, "revenue"))
-    return (agg.select("order_month", "segment", split_value("revenue", price.scale).alias("revenue"))
+        *split_sum(price, "revenue"))
+    return (agg.select("order_month", "segment", split_value("revenue", price).alias("revenue"))
             .orderBy(F.col("order_month").asc(), F.col("segment").asc()))
 
 
@@ -366,53 +374,65 @@ def top_parts_by_revenue(t: Tables, n: int = DEFAULT_TOP_PARTS) -> DataFrame:
     net = net_amount(t.amount("lineitem", "l_extendedprice"), t.amount("lineitem", "l_discount"))
     quantity = t.amount("lineitem", "l_quantity")
     per = t.lineitem.groupBy("l_partkey").agg(
-        *split_sum(net.units, "net"), *split_sum(quantity.units, "qty"))
+        *split_sum(net, "net"), *split_sum(quantity, "qty"))
     part = t.part.select("p_partkey", "p_name", "p_type", "p_brand")
     agg = (per.join(part, per["l_partkey"] == part["p_partkey"])
            .groupBy(F.col("p_name").alias("part_name"), F.col("p_type").alias("part_type"),
                     F.col("p_brand").alias("brand"))
            .agg(*merge_split("net"), *merge_split("qty")))
-    out = agg.select("part_name", "part_type", "brand", split_value("net", net.scale).alias("revenue"),
-                     split_value("qty", quantity.scale).alias("quantity_sold"))
+    out = agg.select("part_name", "part_type", "brand", split_value("net", net).alias("revenue"),
+                     split_value("qty", quantity).alias("quantity_sold"))
     return top_k(out, n, ["revenue"], ["part_name", "part_type", "brand"])
 
 
+def _named_suppliers(t: Tables) -> DataFrame:
+    """Suppliers with their nation's name, and whether the group (name, nation)
+    or the key has more than one row (``_shared``)."""
+    nation = t.dimension("nation", "n_nationkey", "n_name")
+    rows = lambda *keys: F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return (t.supplier.select("s_suppkey", "s_name", "s_nationkey")
+            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+            .withColumn("_shared", (rows("s_name", "n_name") > 1) | (rows("s_suppkey") > 1)))
+
+
 def supplier_performance(t: Tables, n: int = DEFAULT_TOP_SUPPLIERS) -> DataFrame:
     """Q09: top ``n`` (supplier_name, nation) by undiscounted supply value,
     with orders_supplied (distinct orders) and avg_line_value.
 
-    Suppliers of one name and nation are one group. The group gets a long id
-    from the supplier table alone, and only that id and the order key go
-    through the distinct count; names return to the finished groups."""
+    A group with one supplier counts its orders by the supplier key: line
+    items go through one large shuffle, on (supplier, order), so a supplier
+    with a third of all lines is spread, and names come to the finished rows.
+    Only where suppliers share a group (or a key) their own line items are
+    joined first and counted by the names. Whether there are any is asked
+    once per bundle (eager: one small job over the supplier table)."""
     price = t.amount("lineitem", "l_extendedprice")
-    nation = t.dimension("nation", "n_nationkey", "n_name")
-    named = (t.supplier.select("s_suppkey", "s_name", "s_nationkey")
-             .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-             .withColumn("_group", F.min("s_suppkey").over(Window.partitionBy("s_name", "n_name"))))
+    named = _named_suppliers(t)
     li = t.lineitem.select("l_suppkey", "l_orderkey", "l_extendedprice")
-    sup = named.select("s_suppkey", "_group")
-    agg = (li.join(sup, li["l_suppkey"] == sup["s_suppkey"])
-           .groupBy("_group")
-           .agg(F.count_distinct("l_orderkey").alias("orders_supplied"),
-                *split_sum(price.units, "value"),
-                F.count(price.present).alias("_lines")))
-    names = named.filter(F.col("s_suppkey") == F.col("_group")).groupBy(F.col("_group").alias("_id")).agg(
-        F.first("s_name").alias("supplier_name"), F.first("n_name").alias("nation"))
-    out = agg.join(names, agg["_group"] == names["_id"]).select(
-        "supplier_name", "nation", "orders_supplied",
-        split_value("value", price.scale).alias("total_supply_value"),
-        split_mean("value", price.scale, "_lines").alias("avg_line_value"))
+    measures = [F.count_distinct("l_orderkey").alias("orders_supplied"), *split_sum(price, "value"),
+                F.count(price.present).alias("_lines")]
+    per = li.groupBy("l_suppkey").agg(*measures)
+    own = named.filter("NOT _shared")
+    agg = per.join(own, per["l_suppkey"] == own["s_suppkey"]).select(
+        "s_name", "n_name", "orders_supplied", *split_parts("value"), "_lines")
+    if t.once("shared suppliers", lambda: named.filter("_shared").limit(1).count() > 0):
+        shared = named.filter("_shared")
+        agg = agg.unionByName(li.join(shared, li["l_suppkey"] == shared["s_suppkey"])
+                              .groupBy("s_name", "n_name").agg(*measures))
+    out = agg.select(
+        F.col("s_name").alias("supplier_name"), F.col("n_name").alias("nation"), "orders_supplied",
+        split_value("value", price).alias("total_supply_value"),
+        split_mean("value", price, "_lines").alias("avg_line_value"))
     return top_k(out, n, ["total_supply_value"], ["supplier_name", "nation"])
 
 
 def part_sales_by_type(t: Tables, n: int = SAMPLE_TOP_PART_TYPES) -> DataFrame:
     """Q14 (sample): p_type, total_sales (undiscounted) for the top ``n`` types."""
     price = t.amount("lineitem", "l_extendedprice")
-    per = t.lineitem.groupBy("l_partkey").agg(*split_sum(price.units, "sales"))
+    per = t.lineitem.groupBy("l_partkey").agg(*split_sum(price, "sales"))
     part = t.part.select("p_partkey", "p_type")
     agg = (per.join(part, per["l_partkey"] == part["p_partkey"])
            .groupBy("p_type").agg(*merge_split("sales")))
-    out = agg.select("p_type", split_value("sales", price.scale).alias("total_sales"))
+    out = agg.select("p_type", split_value("sales", price).alias("total_sales"))
     return top_k(out, n, ["total_sales"], ["p_type"])
 
 

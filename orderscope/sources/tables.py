@@ -33,9 +33,12 @@ REQUIRED_COLUMNS: dict[str, tuple[str, ...]] = {
 
 TABLE_NAMES: tuple[str, ...] = tuple(REQUIRED_COLUMNS)
 
-# Fixed value: the most rows a dimension may have to be broadcast on our
-# own check (nation and region have 25 and 5).
+# The most rows, and bytes of the columns taken, that a dimension
+# may have to be broadcast on our own check (nation and region have 25 and 5
+# rows), and what a cell counts for besides its text.
 SMALL_DIMENSION_ROWS = 10_000
+SMALL_DIMENSION_BYTES = 8 * 1024 * 1024
+CELL_BYTES = 16
 
 
 class MissingColumnsError(ValueError):
@@ -61,7 +64,7 @@ class Tables:
         #: Decimal places of amounts that arrive as doubles.
         self.money_scale = money_scale
         self._frames: dict[str, DataFrame] = {}
-        self._small: dict[str, bool] = {}
+        self._known: dict[object, bool] = {}
 
     @classmethod
     def of(cls, spark: SparkSession, check: bool = True, source: str | None = None,
@@ -87,20 +90,34 @@ class Tables:
     def spark(self) -> SparkSession:
         return self._spark
 
-    def is_small(self, name: str, max_rows: int = SMALL_DIMENSION_ROWS) -> bool:
-        """Whether the table has at most ``max_rows`` rows, proven by a bounded
-        count (``limit(max_rows + 1).count()``). Eager: one small job, once per
-        bundle and table, when a plan that joins the table is first built."""
-        if name not in self._small:
-            self._small[name] = self.table(name).limit(max_rows + 1).count() <= max_rows
-        return self._small[name]
+    def once(self, question: object, ask: Callable[[], bool]) -> bool:
+        """The answer to a question about the tables that takes a job: asked
+        when a plan first needs it, then kept for the bundle."""
+        if question not in self._known:
+            self._known[question] = ask()
+        return self._known[question]
+
+    def is_small(self, name: str, *columns: str, max_rows: int = SMALL_DIMENSION_ROWS,
+                 max_bytes: int = SMALL_DIMENSION_BYTES) -> bool:
+        """Whether ``columns`` (default: all) of the table have at most
+        ``max_rows`` rows and ``max_bytes`` bytes, proven by one bounded pass over
+        ``max_rows`` + 1 rows. Eager: one small job, once per bundle and columns,
+        when a plan that joins the table is first built."""
+        def ask() -> bool:
+            df = self.table(name)
+            df = df.select(*columns) if columns else df
+            size = sum((F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)).cast("long") + CELL_BYTES
+                        for f in df.schema.fields), F.lit(0).cast("long"))
+            seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes")).first()
+            return seen["rows"] <= max_rows and (seen["bytes"] or 0) <= max_bytes
+        return self.once((name, columns, max_rows, max_bytes), ask)
 
     def dimension(self, name: str, *columns: str) -> DataFrame:
         """``columns`` of a lookup table, marked for broadcast when
-        :meth:`is_small` proves its size; otherwise left to Spark's own
+        :meth:`is_small` proves their size; otherwise left to Spark's own
         size-based choice (sort-merge beyond the threshold)."""
         df = self.table(name).select(*columns)
-        return F.broadcast(df) if self.is_small(name) else df
+        return F.broadcast(df) if self.is_small(name, *columns) else df
 
     @property
     def region(self) -> DataFrame:
