@@ -260,6 +260,31 @@ _Q06_COERCED = f"""
 SELECT region, nation, CAST(order_count AS DOUBLE) AS order_count, total_revenue
 FROM ({_Q06}) q"""
 
+_S3 = """
+SELECT o_orderkey,
+       nullif(CASE o_orderkey % 5
+              WHEN 0 THEN 'say "' || o_orderpriority || '", then go'
+              WHEN 1 THEN '  ' || o_orderpriority || '  '
+              WHEN 2 THEN NULL
+              WHEN 3 THEN ''
+              ELSE o_orderstatus || chr(10) || o_orderpriority END, '') AS note,
+       CAST(o_totalprice AS VARCHAR) AS o_totalprice,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'True' ELSE 'False' END AS is_third,
+       strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')
+         || CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '.00000' || (o_orderkey % 4) END AS placed,
+       strftime(o_orderdate, '%Y-%m-%d') AS day
+FROM orders"""
+
+_S4 = f"""
+SELECT region, nation, order_count, total_revenue, 2 AS builds FROM ({_Q06}) q"""
+
+_S6 = f"""
+SELECT 'orders' AS result, COUNT(*) AS rows_written, TRUE AS timed FROM orders
+UNION ALL SELECT 'orders_summary', COUNT(*), TRUE FROM ({_Q02}) q
+UNION ALL SELECT 'order_months', COUNT(*), TRUE FROM (SELECT DISTINCT {_MONTH.format('o_orderdate')} FROM orders) m
+UNION ALL SELECT 'large_orders', COUNT(*), TRUE FROM orders WHERE o_totalprice > 300000
+UNION ALL SELECT 'no_orders', COUNT(*), TRUE FROM orders WHERE o_orderkey < 0"""
+
 ORACLE_SQL: dict[str, str] = {
     "kpi_metrics": _Q01,
     "orders_summary": _Q02,
@@ -287,4 +312,7 @@ ORACLE_SQL: dict[str, str] = {
     "kpi_cards": _D7,
     "regional_summary_display": _D1_DISPLAY,
     "revenue_by_region_coerced": _Q06_COERCED,
+    "csv_round_trip": _S3,
+    "snapshot_round_trip": _S4,
+    "write_reports": _S6,
 }

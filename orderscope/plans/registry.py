@@ -14,6 +14,7 @@ from pyspark.sql.types import NumericType
 
 from orderscope.functions.coerce import coerce_numeric
 from orderscope.plans import derived as D
+from orderscope.plans import outputs as O
 from orderscope.plans import summaries as S
 from orderscope.plans.adhoc import large_orders_by_priority
 from orderscope.sources.tables import Tables, source_check
@@ -59,4 +60,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "kpi_cards": D.kpi_cards,
     "regional_summary_display": D.regional_summary_display,
     "revenue_by_region_coerced": revenue_by_region_coerced,
+    # Effects, so these run jobs when they are called
+    "csv_round_trip": O.csv_round_trip,
+    "snapshot_round_trip": O.snapshot_round_trip,
+    "write_reports": O.write_reports,
 }

@@ -45,7 +45,10 @@ columns that this library adds to every top-N sort ascending, NULLs last.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderscope.functions.dates import month_start
@@ -386,13 +389,20 @@ def top_parts_by_revenue(t: Tables, n: int = DEFAULT_TOP_PARTS) -> DataFrame:
 
 
 def _named_suppliers(t: Tables) -> DataFrame:
-    """Suppliers with their nation's name, and whether the group (name, nation)
-    or the key has more than one row (``_shared``)."""
     nation = t.dimension("nation", "n_nationkey", "n_name")
-    rows = lambda *keys: F.count(F.lit(1)).over(Window.partitionBy(*keys))
     return (t.supplier.select("s_suppkey", "s_name", "s_nationkey")
-            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-            .withColumn("_shared", (rows("s_name", "n_name") > 1) | (rows("s_suppkey") > 1)))
+            .join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name"))
+
+
+def _repeated(df: DataFrame, *columns: str) -> DataFrame:
+    """Values of ``columns`` that more than one row has, as ``_0, _1, ...``."""
+    return (df.groupBy(*(F.col(c).alias(f"_{i}") for i, c in enumerate(columns)))
+            .agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1"))
+
+
+def _in(df: DataFrame, values: DataFrame, how: str, *columns: str) -> DataFrame:
+    same = reduce(and_, (df[c].eqNullSafe(values[f"_{i}"]) for i, c in enumerate(columns)))
+    return df.join(values, same, how)
 
 
 def supplier_performance(t: Tables, n: int = DEFAULT_TOP_SUPPLIERS) -> DataFrame:
@@ -407,16 +417,20 @@ def supplier_performance(t: Tables, n: int = DEFAULT_TOP_SUPPLIERS) -> DataFrame
     once per bundle (eager: one small job over the supplier table)."""
     price = t.amount("lineitem", "l_extendedprice")
     named = _named_suppliers(t)
+    groups, keys = _repeated(named, "s_name", "n_name"), _repeated(named, "s_suppkey")
     li = t.lineitem.select("l_suppkey", "l_orderkey", "l_extendedprice")
     measures = [F.count_distinct("l_orderkey").alias("orders_supplied"), *split_sum(price, "value"),
                 F.count(price.present).alias("_lines")]
+    shared = t.once("shared suppliers", lambda: bool(groups.select("_rows").unionByName(keys.select("_rows")).take(1)))
+    own = _in(_in(named, groups, "left_anti", "s_name", "n_name"), keys, "left_anti", "s_suppkey") if shared else named
     per = li.groupBy("l_suppkey").agg(*measures)
-    own = named.filter("NOT _shared")
     agg = per.join(own, per["l_suppkey"] == own["s_suppkey"]).select(
         "s_name", "n_name", "orders_supplied", *split_parts("value"), "_lines")
-    if t.once("shared suppliers", lambda: named.filter("_shared").limit(1).count() > 0):
-        shared = named.filter("_shared")
-        agg = agg.unionByName(li.join(shared, li["l_suppkey"] == shared["s_suppkey"])
+    if shared:
+        # Groups of several rows, and all groups of a key that has several.
+        theirs = _in(named, groups, "left_semi", "s_name", "n_name").unionByName(
+            _in(_in(named, groups, "left_anti", "s_name", "n_name"), keys, "left_semi", "s_suppkey"))
+        agg = agg.unionByName(li.join(theirs, li["l_suppkey"] == theirs["s_suppkey"])
                               .groupBy("s_name", "n_name").agg(*measures))
     out = agg.select(
         F.col("s_name").alias("supplier_name"), F.col("n_name").alias("nation"), "orders_supplied",

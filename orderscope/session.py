@@ -68,12 +68,16 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     """Return the session's checkpoint folder, setting one only where it is unset.
 
     On a cluster ``spark.checkpoint.dir`` names shared storage and is used as
-    is. Only a local run with nothing configured gets a fresh scratch folder.
+    is; without it this is an error there, as executors do not see each
+    other's disks. Only a local run with nothing configured gets a fresh
+    scratch folder.
     """
     existing = checkpoint_dir(spark)
     if existing:
         spark.sparkContext.setCheckpointDir(existing)
         return existing
+    if fallback is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = fallback or tempfile.mkdtemp(prefix="orderscope-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return path

@@ -1,0 +1,125 @@
+"""Checks carried by sums, one large shuffle, lazy preview, bounded broadcasts."""
+
+from __future__ import annotations
+
+import pytest
+
+from conftest import DAY, SF001, make_tables
+from orderscope import session
+from orderscope.plans import summaries as S
+from orderscope.sources.tables import Tables, load_tables
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+STAR = {"nation": [(0, "N", 0)], "region": [(0, "R")], "supplier": [(1, "s", 0), (2, "u", 0)],
+        "part": [(1, "p", "t", "b"), (2, "q", "t", "b")], "customer": [(1, "c", 0, "m")]}
+
+
+@pytest.mark.parametrize("query, column, line", [
+    (S.top_parts_by_revenue, "l_extendedprice", (1, 1, 1, 1.0, 1.00001, 0.1, DAY)),
+    (S.top_parts_by_revenue, "l_discount", (1, 2, 1, 1.0, 1.0, float("nan"), DAY)),
+    (S.top_parts_by_revenue, "l_extendedprice . .1 - l_discount", (1, 2, 1, 1.0, 8e11, -800.0, DAY)),
+    (S.top_parts_by_revenue, "l_quantity", (1, 2, 1, float("inf"), 1.0, 0.0, DAY)),
+    (S.supplier_performance, "l_extendedprice", (1, 1, 2, 1.0, 1e17, 0.0, DAY)),
+    (S.part_sales_by_type, "l_extendedprice", (1, 2, 1, 1.0, 0.00003, 0.0, DAY)),
+])
+def test_bad_amounts_name_their_column(spark, query, column, line):
+    good = [(k, 1 + k % 2, 1 + k % 2, 1.0, 2.5, 0.05, DAY) for k in range(50)]
+    assert query(make_tables(spark, **STAR, lineitem=good)).collect()
+    with pytest.raises(Exception, match=f"amount .*{column}"):
+        query(make_tables(spark, **STAR, lineitem=[*good, line])).collect()
+
+
+def test_a_bad_amount_without_its_group_is_no_error(spark):
+    """Line items of no known part are no part of the answer."""
+    lines = [(1, 1, 1, 1.0, 2.5, 0.05, DAY), (1, 99, 1, 1.0, 0.00001, 0.0, DAY)]
+    assert len(S.top_parts_by_revenue(make_tables(spark, **STAR, lineitem=lines)).collect()) == 1
+
+
+def test_scans_raise_nothing_row_by_row(sf001):
+    for query in (S.top_parts_by_revenue, S.supplier_performance, S.part_sales_by_type, S.kpi_metrics):
+        plan = query(sf001)._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[plan.index("Aggregate"):]
+        assert "raise_error" in plan and "raise_error" not in below, query.__name__
+
+
+def test_net_of_the_largest_prices(spark):
+    lines = [(1, 1, 1, 1.0, 9e10, 0.5, DAY)] * 3
+    row = S.top_parts_by_revenue(make_tables(spark, **STAR, lineitem=lines)).first()
+    assert row.revenue == 1.35e11
+
+
+def test_supplier_orders_take_one_large_shuffle(spark):
+    t = load_tables(spark, SF001)
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        plan = _plan(S.supplier_performance(t))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    lines = [x for x in plan.splitlines() if "Exchange hashpartitioning(l_" in x]
+    assert len(lines) == 2 and "Window" not in plan
+    assert "l_orderkey" in lines[1] and "l_orderkey" not in lines[0]
+
+
+def _join_first(t, n=10):
+    li, sup, nation = t.lineitem.toPandas(), t.supplier.toPandas(), t.nation.toPandas()
+    joined = li.merge(sup, left_on="l_suppkey", right_on="s_suppkey").merge(
+        nation, left_on="s_nationkey", right_on="n_nationkey")
+    groups = joined.groupby(["s_name", "n_name"], dropna=False)
+    rows = [(name, nat, g.l_orderkey.nunique(), round(g.l_extendedprice.sum(), 2)) for (name, nat), g in groups]
+    return sorted(rows, key=lambda r: (-r[3], str(r[0]), r[1]))[:n]
+
+
+def test_suppliers_that_share_names_or_keys(spark):
+    supplier = [(1, "a", 0), (2, "a", 0), (3, "b", 0), (4, "c", 0), (4, "d", 0), (5, "e", 0), (5, "e", 0), (6, "a", 1)]
+    lines = [(o, 1, k, 1.0, 1.0 + k, 0.0, DAY) for o in range(30) for k in (1, 2, 3, 4, 5, 6, 77) if (o + k) % 3]
+    lines += [(o, 1, 3, 1.0, 0.5, 0.0, DAY) for o in range(400)]
+    t = make_tables(spark, nation=[(0, "N", 0), (1, "M", 0)], supplier=supplier, lineitem=lines)
+    got = [tuple(r)[:4] for r in S.supplier_performance(t).collect()]
+    assert got == _join_first(t)
+
+
+def test_preview_is_lazy_and_prunes_its_scan(spark):
+    t = load_tables(spark, SF001)
+    t.orders  # opening reads a footer
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    df = S.orders_preview(t)
+    assert set(tracker.getJobIdsForGroup(None)) == before
+    assert df.count() == 10
+    df.collect()
+    scans = [x for x in _plan(df).splitlines() if "FileScan" in x and "o_totalprice" in x]
+    assert any("o_orderkey" in x.split("DataFilters")[1] and "ubquery" in x for x in scans)
+
+
+def test_wide_rows_are_not_broadcast(spark):
+    nation = spark.createDataFrame([(i, "x" * 100_000, 0) for i in range(200)],
+                                   "n_nationkey int, n_name string, n_regionkey int")
+    t = Tables.of(spark, nation=nation)
+    assert not t.is_small("nation") and not t.is_small("nation", "n_nationkey", "n_name")
+    assert t.is_small("nation", "n_nationkey", "n_regionkey")
+    assert not t.is_small("nation", "n_nationkey", max_rows=100)
+    hinted = lambda df: "strategy=broadcast" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(t.dimension("nation", "n_nationkey")) and not hinted(t.dimension("nation", "n_name"))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
