@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ragged
-from .words import WordIds, chunks
+from .words import WordIds, text_slices
 
+SLICE_BYTES = 1 << 20      # of texts that a task holds as Python objects (a longer text: that text)
 MARK = "▁"
 NONE = np.iinfo(np.int32).max
 _RUNS = re.compile(" *[^ ]+| +")
@@ -244,9 +245,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            for a, b in chunks(texts):
-                ids, lengths = encode_texts(path, texts[a:b])
+            for a, b, texts in text_slices(batch.column(text_col), SLICE_BYTES):
+                ids, lengths = encode_texts(path, texts)
                 offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
                 part = batch.slice(a, b - a)
                 yield pa.record_batch([*part.columns, pa.ListArray.from_arrays(offsets, ids.astype(np.int32))],
@@ -271,6 +271,27 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "te
     return rows.mapInArrow(run, f"{types}, `{text_col}` string")
 
 
+def encode_and_decode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """``docs`` with ``ids_col`` as by :func:`encode` and ``text_col`` decoded from
+    these ids, in one step: a slice of texts at a time is all that a task
+    holds. A null text comes back empty."""
+    kept = [c for c in docs.columns if c not in (text_col, ids_col)]
+    rows = docs.select(*(F.col(f"`{c}`") for c in [*kept, text_col]))
+    types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, _ = model(path)
+        for batch in batches:
+            for a, b, texts in text_slices(batch.column(text_col), SLICE_BYTES):
+                ids, lengths = encode_texts(path, texts)
+                offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+                yield pa.record_batch([*(batch.column(c).slice(a, b - a) for c in kept),
+                                       pa.ListArray.from_arrays(offsets, ids.astype(np.int32)),
+                                       pa.array(bpe.decode(ids, lengths), pa.string())],
+                                      names=[*kept, ids_col, text_col])
+    return rows.mapInArrow(run, f"{types}`{ids_col}` array<int>, `{text_col}` string")
+
+
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -285,9 +306,8 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
         bpe, _ = model(path)
         names = [str(i) for i in range(bpe.size)]
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in chunks(texts):
-                ids, lengths = encode_texts(path, texts[a:b])
+            for a, b, texts in text_slices(batch.column("text"), SLICE_BYTES):
+                ids, lengths = encode_texts(path, texts)
                 decoded = bpe.decode(ids, lengths)
                 out, at = [], 0
                 for n in lengths.tolist():

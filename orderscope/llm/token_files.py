@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SharedFile, partitions, ragged, scratch, spill, store_of
-from .words import WordIds, chunks
+from .words import WordIds, text_slices
 
 MANIFEST = "shard int, n_docs long, n_tokens long, tokens_file string, docs_file string"
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -207,9 +207,8 @@ def _writer(folder: str, tokenizer: str, end_id: int, length: int, special_in_te
         special = special_pattern(tokenizer) if special_in_text else None
         shard = None
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in chunks(texts):
-                ids, lengths = words.texts(split_words(texts[a:b], special))
+            for a, b, texts in text_slices(batch.column("text")):
+                ids, lengths = words.texts(split_words(texts, special))
                 ids = np.insert(ids, np.cumsum(lengths), end_id).astype(dtype)
                 shard = shard or _Shard(folder, length, dtype)
                 shard.add(batch.column("doc_id").slice(a, b - a), ids, lengths + 1)

@@ -16,9 +16,10 @@ import pyarrow.compute  # noqa: F401
 
 from .common import ragged
 
-# Distinct words a worker remembers; beyond it the table starts anew. It
-# bounds memory only: ids do not depend on it.
-MAX_WORDS = 1_000_000
+# Bytes that a worker's table of distinct words may take; beyond it the table
+# starts anew. It bounds memory only: ids do not depend on it.
+MAX_TABLE = 96 << 20
+WORD_BYTES = 150           # of a word besides its text: string and dict entry, length, start
 
 
 class _Codes(dict):
@@ -30,8 +31,8 @@ class _Codes(dict):
 class WordIds:
     """``encode_words(list of words) -> (flat ids, length of each)``."""
 
-    def __init__(self, encode_words: Callable, dtype, max_words: int = MAX_WORDS):
-        self._encode, self._dtype, self._max = encode_words, dtype, max_words
+    def __init__(self, encode_words: Callable, dtype, max_bytes: int = MAX_TABLE):
+        self._encode, self._dtype, self._max = encode_words, dtype, max_bytes
         self._reset()
 
     def _reset(self) -> None:
@@ -39,10 +40,11 @@ class WordIds:
         self._flat = np.empty(0, self._dtype)
         self._lengths = np.empty(0, np.int32)
         self._starts = np.empty(0, np.int64)
+        self._bytes = 0
 
     def texts(self, texts: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, number of ids of each text) of texts given as lists of words."""
-        if len(self._codes) > self._max:
+        if self._bytes > self._max:
             self._reset()
         words = texts.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
@@ -51,6 +53,7 @@ class WordIds:
         new = [distinct[i] for i in np.flatnonzero(codes >= known)]
         if new:
             flat, lengths = self._encode(new)
+            self._bytes += WORD_BYTES * len(new) + sum(map(len, new)) + flat.size * self._flat.itemsize
             self._flat = np.concatenate([self._flat, flat.astype(self._dtype)])
             self._lengths = np.concatenate([self._lengths, lengths.astype(np.int32)])
             self._starts = np.cumsum(self._lengths, dtype=np.int64) - self._lengths

@@ -53,6 +53,25 @@ def test_pieces_equal_the_library_on_any_text(texts):
     _same(texts)
 
 
+def test_encode_and_decode_in_one_step(spark, monkeypatch):
+    from orderscope.llm import words
+    monkeypatch.setattr(sentencepiece_bpe, "SLICE_BYTES", 50)
+    texts = [*TEXTS, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS ids", "'t' AS lang")
+    got = sentencepiece_bpe.encode_and_decode(docs, MODEL)
+    assert got.columns == ["doc_id", "lang", "ids", "text"]
+    sp = _library()
+    for r in got.collect():
+        ids = [*sp.encode(texts[r["doc_id"]] or ""), sp.eos_id()]
+        assert r["ids"] == ids and r["text"] == sp.decode(ids)
+    assert sentencepiece_bpe.encode_and_decode(docs.limit(0), MODEL).count() == 0
+    # A table that starts anew between slices gives the same ids.
+    bpe = sentencepiece_bpe.model(MODEL)[0]
+    small = words.WordIds(bpe.encode_words, np.int32, max_bytes=200)
+    for text in ["one two three", "two four", "one five two", "three one"] * 3:
+        assert small.texts(sentencepiece_bpe.split_words([text]))[0].tolist() == sp.encode(text)
+
+
 def test_encode_and_decode_tables(spark):
     docs = spark.createDataFrame([(1, "a b", 7), (2, None, 8), (None, "  x ", 9)], "doc_id long, text string, ids int")
     encoded = sentencepiece_bpe.encode(docs, MODEL)
