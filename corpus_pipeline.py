@@ -52,8 +52,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
-    encoded = sentencepiece_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
-    return sentencepiece_bpe.decode(encoded, path).withColumn("n_tokens", F.size("ids").cast("long"))
+    done = sentencepiece_bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), path)
+    return done.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
