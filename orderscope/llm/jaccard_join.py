@@ -13,6 +13,11 @@ gives two kinds of keys:
   passage in common seldom do. Small sets within 3/4 of the boundary write
   these keys too, to meet large ones.
 
+Of two sets that link, the smaller shares 6/7 of its elements with the other:
+for it the same elements are found in the first |s| - ceil(6/7 |s|) + k. So
+a key brings two sets together only if one of them has it there. Sets that
+share a passage of 3/4 to 6/7 of their elements do not meet on it.
+
 The boundary is where enumerating costs more than scanning, by a cost
 summed over the sizes of all sets and the measured length of lists.
 Elements found in many sets ("heavy") come last in the order, so shared
@@ -176,15 +181,30 @@ def _prefix(elements: np.ndarray, is_heavy: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([light, elements[is_heavy][:size - len(light)]])
 
 
+def _index_size(n: int, k: int) -> int:
+    """The elements among which a set shares k with any set it links with that is
+    not smaller: ceil(6/7 n) are shared then."""
+    return n - (6 * n + 6) // 7 + k
+
+
 def _keys_of(elements: np.ndarray, is_heavy: np.ndarray, boundary: int) -> np.ndarray:
-    n, keys = len(elements), []
+    """Keys whose lowest bit says whether the set may be the smaller one of a pair there."""
+    n, keys, flags = len(elements), [], []
     if n <= boundary:
-        p = np.sort(_prefix(elements, is_heavy, 2))
+        p = _prefix(elements, is_heavy, 2)
+        order = np.argsort(p)
+        p, index = p[order], order < _index_size(n, 2)
         a, b = np.triu_indices(len(p), 1)
         keys.append(mix(p[a] * _PAIR_A + p[b] * _PAIR_B))
+        flags.append(index[a] & index[b])
     if n >= needed(boundary + 1) or n > boundary:
-        keys.append(mix(_prefix(elements, is_heavy, max(1, n // TENTH))))
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        k = max(1, n // TENTH)
+        p = _prefix(elements, is_heavy, k)
+        keys.append(mix(p))
+        flags.append(np.arange(len(p)) < _index_size(n, k))
+    if not keys:
+        return np.empty(0, np.uint64)
+    return (np.concatenate(keys) & ~np.uint64(1)) | np.concatenate(flags).astype(np.uint64)
 
 
 KEYS = "bucket int, keys binary, centres binary"
@@ -210,10 +230,7 @@ def _write_keys(heavy, boundary: int, buckets: int):
             if not sum(map(len, keys)):     # sets of one element need none
                 continue
             keys, owners = np.concatenate(keys), np.concatenate(owners)
-            order = np.lexsort((owners, keys))
-            keys, owners = keys[order], owners[order]
-            fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])))
-            keys, owners = keys[fresh], owners[fresh]
+            keys, owners = _once(keys, owners)
             # Keys are hashes in order, so a bucket is one stretch of them.
             bucket = ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -226,35 +243,38 @@ def _write_keys(heavy, boundary: int, buckets: int):
     return run
 
 
+def _once(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key and owner once, in order, as the smaller set's if it is that for one of its sets."""
+    order = np.lexsort((keys, owners, keys >> np.uint64(1)))
+    keys, owners = keys[order], owners[order]
+    last = (keys[1:] >> np.uint64(1) != keys[:-1] >> np.uint64(1)) | (owners[1:] != owners[:-1])
+    last = np.concatenate((last, [True])) if len(keys) else np.empty(0, bool)
+    return keys[last], owners[last]
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of centres that share keys, and on how many keys of this task. A
-    task reads the keys of its buckets; a centre occurs at most once per key
-    and writing task."""
+    """Pairs of centres that share keys, and on how many keys of this task. Of
+    a pair one must be there as the smaller set. A task reads the keys of its
+    buckets; a centre occurs at most once per key and writing task."""
     keys, centres = [], []
     for batch in batches:
         keys += [np.frombuffer(k.as_buffer(), np.uint64) for k in batch.column("keys")]
         centres += [np.frombuffer(c.as_buffer(), np.int64) for c in batch.column("centres")]
     if not keys:
         return
-    keys, centres = np.concatenate(keys), np.concatenate(centres)
-    order = np.argsort(keys, kind="stable")
-    keys, centres = keys[order], centres[order]
-    same = keys[1:] == keys[:-1]
-    shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-    keys, centres = keys[shared], centres[shared]
-    order = np.lexsort((centres, keys))
-    keys, centres = keys[order], centres[order]
-    fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (centres[1:] != centres[:-1]))) if len(keys) else []
-    keys, centres = keys[fresh], centres[fresh]
-    if not len(keys):
-        return
+    keys, centres = _once(np.concatenate(keys), np.concatenate(centres))
+    smaller, keys = (keys & np.uint64(1)).astype(bool), keys >> np.uint64(1)
+    order = np.lexsort((~smaller, keys))
+    smaller, keys, centres = smaller[order], keys[order], centres[order]
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     lengths = np.diff(np.append(starts, len(keys)))
-    of_two = starts[lengths == 2]
+    firsts = np.add.reduceat(smaller.astype(np.int64), starts)
+    of_two = starts[(lengths == 2) & (firsts > 0)]
     out_a, out_x, waiting = [centres[of_two]], [centres[of_two + 1]], len(of_two)
-    for begin, n in zip(starts[lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
+    many = (lengths > 2) & (firsts > 0)
+    for begin, n, first in zip(starts[many].tolist(), lengths[many].tolist(), firsts[many].tolist(), strict=True):
         met = centres[begin:begin + n]
-        for i in range(n - 1):
+        for i in range(min(first, n - 1)):
             out_a.append(np.full(n - 1 - i, met[i]))
             out_x.append(met[i + 1:])
             waiting += n - 1 - i
@@ -267,6 +287,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counted_pairs(out_a: list, out_x: list) -> pa.RecordBatch:
     a, x = np.concatenate(out_a), np.concatenate(out_x)
+    a, x = np.minimum(a, x), np.maximum(a, x)
     order = np.lexsort((x, a))
     a, x = a[order], x[order]
     first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (x[1:] != x[:-1]))))
