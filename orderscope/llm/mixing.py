@@ -10,7 +10,7 @@ aggregation over the sources, which stands for several halvings.
 
 A source's weight becomes a budget of tokens, realised as whole passes over
 its documents and a part of one more. Each pass visits the source's blocks
-(documents dealt by a hash of their id, about ``block_tokens`` tokens each)
+(documents dealt by a hash of what tells them apart, about ``block_tokens`` tokens each)
 in a permutation of its own, and each block's documents in another. Only
 the block that the budget ends in is ordered document by document, so no
 step sorts a source, however large it is.
@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spill
+from .common import small_side, spill
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 GRID_POINTS = 100     # grid values of one bisection pass
@@ -61,6 +61,12 @@ def find_exponent(shares: DataFrame, reached: Column, steps: int, largest: bool)
     return (low if largest else high) / steps
 
 
+def _block_side(blocks: DataFrame) -> DataFrame:
+    """Blocks for a join to documents: a row per ``block_tokens`` words, so they
+    are broadcast while they are few and no text is shuffled."""
+    return small_side(blocks, F.sum(F.length("skey") + 40))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
         min_entropy: float | None = None, max_repeats: float | None = None, budget: int | None = None,
         block_tokens: int = 4_000_000, steps: int = 10_000, seed: int = 17) -> DataFrame:
@@ -72,12 +78,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     sources); ``max_repeats`` limits how often a source is seen for one pass
     over the least repeated. Give exactly one. ``budget`` is in words
     (tokens); without one it is the smallest that shows every document at
-    least once. A source's last document may end beyond its budget.
+    least once. A source ends with the document in which its budget ends.
 
     A null source is a source of its own. Sources without any word have no
     weight and are visited once. Rows are documents of their own even if
-    they repeat an id; equal rows get equal places. A null text has no
-    words. Other columns stay; ``mix_epoch``, ``mix_block`` and ``mix_order``
+    they repeat an id or have none: they are dealt and ordered by id and text,
+    and rows equal in both by a number that each is given once. A null text
+    has no words. Other columns stay; ``mix_epoch``, ``mix_block`` and ``mix_order``
     of the input are replaced. An empty table gives an empty result.
     """
     if (min_entropy is None) == (max_repeats is None):
@@ -85,11 +92,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     kept = [c for c in docs.columns if c not in ("mix_epoch", "mix_block", "mix_order")]
     doc_id, source = F.col(f"d.`{id_col}`"), F.col(f"d.`{source_col}`")
     key = F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source.cast("string")))
+    # Rows whose id is missing or repeated are told apart by their texts.
+    text = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    alike = docs.select(F.col(id_col).cast("string").alias("i"), text.alias("h")).groupBy("i", "h").agg(
+        F.count(F.lit(1)).alias("alike"))
+    alike = spill(alike, "mix-alike")
+    many = alike.groupBy(F.col("i").alias("j")).agg(F.sum("alike").alias("rows")).filter("j IS NULL OR rows > 1")
+    repeated = spill(alike.join(many, F.col("i").eqNullSafe(F.col("j")), "left_semi"), "mix-repeated")
+    repeated = small_side(repeated, F.count(F.lit(1)) * 64)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("d"))
     rows = rows.select("d", key.alias("skey"), word_count(F.col(f"d.`{text_col}`")).alias("tokens"),
-                       _hash(F.lit(seed), F.lit("block"), doc_id).alias("deal"))
-
-    sizes = spill(rows.select("skey", "tokens", "deal", doc_id.alias("id")), "mix-sizes")
+                       doc_id.cast("string").alias("id"), F.md5(F.coalesce(F.col(f"d.`{text_col}`"), F.lit(""))).alias("text"),
+                       F.monotonically_increasing_id().alias("row"))
+    who = F.when(F.col("alike").isNull(), F.col("id")).otherwise(F.concat_ws(
+        "|", F.coalesce("id", F.lit("null")), "text", F.when(F.col("alike") > 1, F.col("row").cast("string"))))
+    rows = (rows.join(repeated, F.col("id").eqNullSafe(F.col("i")) & (F.col("text") == F.col("h")), "left")
+            .select("d", "skey", "tokens", who.alias("who")))
+    # The numbers are given here, once; all else reads them from the table.
+    rows = spill(rows, "mix-rows").withColumn("deal", _hash(F.lit(seed), F.lit("block"), F.col("who")))
+
+    sizes = rows.select("skey", "tokens", "deal", "who")
     totals = spill(sizes.groupBy("skey").agg(F.sum("tokens").alias("total")), "mix-totals")
     everything = F.sum("total").over(Window.partitionBy())
     shares = totals.filter("total > 0").select("skey", "total", (F.col("total") / everything).alias("p"))
@@ -123,10 +145,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         F.sum("b_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     blocks = spill(blocks.select("skey", "block", "epochs", F.greatest(
         F.lit(0), F.col("rest") - F.col("before")).alias("room"), "b_tokens"), "mix-blocks")
-    cut_order = _hash(F.lit(seed), F.lit("doc"), F.col("epochs"), F.col("id"))
+    cut_order = _hash(F.lit(seed), F.lit("doc"), F.col("epochs"), F.col("who"))
     in_block = Window.partitionBy("skey", "block").orderBy("o", "tokens")
-    cuts = (dealt.select("skey", "block", "id", "tokens")
-            .join(blocks.filter("room > 0 AND room < b_tokens"), ["skey", "block"])
+    cuts = (dealt.select("skey", "block", "who", "tokens")
+            .join(_block_side(blocks.filter("room > 0 AND room < b_tokens")), ["skey", "block"])
             .withColumn("o", cut_order)
             .withColumn("before", F.coalesce(F.sum("tokens").over(
                 in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -138,9 +160,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     visits = (rows.join(plan.select("skey", "n_blocks"), "skey")
               .withColumn("block", F.col("deal") % F.col("n_blocks"))
-              .join(blocks, ["skey", "block"])
+              .join(_block_side(spill(blocks, "mix-cuts")), ["skey", "block"])
               .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs"))))
-              .withColumn("o", _hash(F.lit(seed), F.lit("doc"), F.col("epoch"), doc_id))
+              .withColumn("o", _hash(F.lit(seed), F.lit("doc"), F.col("epoch"), F.col("who")))
               .filter((F.col("epoch") < F.col("epochs"))
                       | (F.col("more") & (F.col("cut").isNull() | (F.col("o") <= F.col("cut"))))))
     place = _hash(F.lit(seed), F.lit("pass"), F.col("epoch"), F.col("skey"), F.col("block"))

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from orderscope.llm import chat_format, line_dedup, mixing, sentencepiece_bpe
 from orderscope.llm.common import importable
@@ -21,6 +22,27 @@ from orderscope.llm.queries import tokenizer_path
 def _package_in_workers(spark):
     importable(spark)
 
+# ---- 3: budgets whatever the ids ----
+
+@pytest.mark.parametrize("ids", ["missing", "repeated", "equal rows"])
+def test_mix_meets_its_budget_with_odd_ids(spark, ids):
+    docs = spark.range(3000).selectExpr(
+        {"missing": "if(id % 3 = 0, id, null)", "repeated": "if(id % 3 = 0, 7, id)",
+         "equal rows": "if(id % 3 = 0, id, null)"}[ids] + " AS doc_id",
+        "if(id % 2 = 0, 'a', 'b') AS source", "1 AS who", "2 AS row", "3 AS alike",
+        ("if(id % 3 = 0, concat('t', id), 'same words in all') AS text" if ids == "equal rows"
+         else "concat('t', id, repeat(' x', cast(id % 9 AS int))) AS text"))
+    total = docs.select(mixing.word_count(docs.text).alias("n")).groupBy().sum("n").first()[0]
+    for budget in (total // 3, total, 2 * total + 100):
+        mixed = mixing.mix(docs, max_repeats=1.0, budget=budget, block_tokens=500).withColumn("n", mixing.word_count(F.col("text")))
+        got = mixed.groupBy().sum("n").first()[0]
+        assert budget <= got + 2 and got <= budget + 2 * 10, (budget, got)
+        # No place holds more than the rows that are visited there.
+        assert mixed.groupBy("source", "mix_epoch", "mix_order").count().filter("count > 1").count() == 0
+        blocks = mixed.groupBy("source", "mix_epoch", "mix_block").sum("n").toPandas()["sum(n)"]
+        assert blocks.max() <= 1500
+
+
 # ---- 8: SentencePiece ----
 
 MODEL = tokenizer_path("piece_bpe_32k.model")
@@ -132,7 +154,7 @@ def test_escape_is_reversible(spark):
 def _mix_docs(spark):
     rng = random.Random(3)
     data = [(i, "hot" if i % 3 else None if i % 2 else f"s{i % 5}", " ".join("w" * rng.randint(0, 30))) for i in range(600)]
-    data += [(None, "hot", "no id"), (5, "hot", "same id"), (5, "hot", "same id"), (601, "empty", ""), (602, "empty", None)]
+    data += [(None, "hot", "no id"), (5, "hot", "same id"), (5, "hot", "same id, other text"), (601, "empty", ""), (602, "empty", None)]
     return spark.createDataFrame(data, "doc_id long, source string, text string").selectExpr(
         "*", "1 AS tokens", "2 AS block", "3 AS mix_epoch", "'k' AS skey"), data
 
@@ -145,12 +167,18 @@ def _brute_mix(data, block_tokens, exponent, budget=None):
     words = lambda t: len(re.findall("[^\x20\x09-\x0D]+", t or ""))
     sources = {}
     for i, s, t in data:
-        sources.setdefault(s, []).append((i, words(t)))
-    totals = {s: sum(n for _, n in v) for s, v in sources.items()}
+        sources.setdefault(s, []).append((i, words(t), t))
+    totals = {s: sum(n for _, n, _ in v) for s, v in sources.items()}
     weight = {s: (n / sum(totals.values())) ** exponent for s, n in totals.items() if n}
     q = {s: w / sum(weight.values()) for s, w in weight.items()}
     words_all = budget if budget is not None else max(totals[s] / q[s] for s in q)
-    name = lambda x: "null" if x is None else str(x)
+    ids = [i for i, _, _ in data]
+
+    def name(i, t):
+        """Ids that are missing or repeated go with their text."""
+        if i is not None and ids.count(i) == 1:
+            return str(i)
+        return f"{'null' if i is None else i}|{hashlib.md5((t or '').encode()).hexdigest()}"
     out = []
     for s, rows in sources.items():
         key = "n" if s is None else "s" + s
@@ -158,13 +186,13 @@ def _brute_mix(data, block_tokens, exponent, budget=None):
         epochs, rest = divmod(goal, totals[s]) if totals[s] else (1, 0)
         n_blocks = max(1, math.ceil(totals[s] / block_tokens))
         blocks = {}
-        for i, n in rows:
-            blocks.setdefault(_h("17", "block", name(i)) % n_blocks, []).append((i, n))
+        for i, n, t in rows:
+            blocks.setdefault(_h("17", "block", name(i, t)) % n_blocks, []).append((i, n, t))
         for e in range(epochs):
             for b, docs in blocks.items():
-                out += [(i, s, e, _h("17", "pass", str(e), key, str(b)), _h("17", "doc", str(e), name(i))) for i, _ in docs]
+                out += [(i, s, e, _h("17", "pass", str(e), key, str(b)), _h("17", "doc", str(e), name(i, t))) for i, _, t in docs]
         for place, b in sorted((_h("17", "pass", str(epochs), key, str(b)), b) for b in blocks):
-            docs = sorted((_h("17", "doc", str(epochs), name(i)), n, i) for i, n in blocks[b])
+            docs = sorted((_h("17", "doc", str(epochs), name(i, t)), n, i) for i, n, t in blocks[b])
             before, cut = 0, None
             for o, n, _ in docs:
                 if before < rest:
