@@ -3,6 +3,7 @@
 A text is cut into lines: at line ends and after sentence ends, so that a
 passage set into another paragraph still shares whole lines with its other
 copies. Lines without a word are no part of the sequence that is compared.
+In scripts without spaces a character counts as a word.
 
 A fingerprint is the hash of a stretch of whole lines that has ``min_words``
 words: from each line on the shortest such stretch, and up to each line the
@@ -32,8 +33,12 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, spill
 
-CUT = r"(?<=\n)|(?<=[.!?])(?=[ \t])"
+# Scripts written without spaces; their sentences need none at their ends.
+UNSPACED = (r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u9FFF\uA000-\uA4CF\uAC00-\uD7AF\uF900-\uFAFF"
+            r"\uFF66-\uFF9F\x{20000}-\x{3FFFF}")
+CUT = r"(?<=[\n.!?。！？])(?:(?=[ \t])(?<![\n。！？])|(?<=[\n。！？]))"
 BLANK = " \t\n\r\x0b\x0c"
+NEAR = 4                   # lines that a stretch is looked for in directly
 
 
 def lines_of(text: Column) -> Column:
@@ -45,14 +50,27 @@ def _body(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANK))
 
 
-def _words_in(body: Column) -> Column:
-    return F.when(F.length(body) == 0, 0).otherwise(
-        F.length(body) - F.length(F.replace(body, F.lit(" "), F.lit(""))) + 1)
+def _has_odd_space(text: Column) -> Column:
+    """Whether words may be set apart by anything but one space."""
+    odd = text.contains("  ")
+    for c in "\t\r\x0b\x0c":
+        odd = odd | text.contains(c)
+    return odd
+
+
+def _words_in(body: Column, odd_space: Column) -> Column:
+    """Words ``[^\\x20\\x09-\\x0D]+``; where characters take two bytes or more on
+    average, each of a script without spaces is a word of its own."""
+    return (F.when(F.length(body) == 0, 0)
+            .when(F.octet_length(body) >= 2 * F.length(body),
+                  F.regexp_count(body, F.lit(f"[{UNSPACED}]|[^\\x20\\x09-\\x0D{UNSPACED}]+")))
+            .when(odd_space, F.regexp_count(body, F.lit("[^\\x20\\x09-\\x0D]+")))
+            .otherwise(F.length(body) - F.length(F.replace(body, F.lit(" "), F.lit(""))) + 1))
 
 
 def words_of(line: Column) -> Column:
-    """Words of a line: pieces between single spaces, ends trimmed."""
-    return _words_in(_body(line))
+    """Words of a line."""
+    return _words_in(_body(line), _has_odd_space(line))
 
 
 def _two(a: Column, b: Column) -> Column:
@@ -66,33 +84,53 @@ def _document(doc_id: Column, text: Column) -> list[Column]:
             F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash")]
 
 
+def _once(*columns: Column | str) -> list[Column]:
+    """The columns as a step of their own: behind a generator they are worked out
+    once a row, not again in each place that uses them."""
+    return [F.inline(F.array(F.struct(*columns)))]
+
+
+def _reach(k: Column, step: int, m: int) -> Column:
+    """The nearest line from line ``k`` on (``step`` 1) or back (-1) with which the
+    stretch has ``m`` words by the column ``n``; null if there is none."""
+    words = lambda j: F.coalesce(F.get("n", k + j * step), F.lit(0))
+    total, place = words(0), F.when(words(0) >= m, k)
+    for j in range(1, NEAR):
+        total = total + words(j)
+        place = place.when(total >= m, k + j * step)
+    # Every line has a word, so m lines are enough.
+    rest = F.slice("n", k + 1, m) if step > 0 else F.reverse(
+        F.slice("n", F.greatest(k + 2 - m, F.lit(1)), F.least(k + 1, F.lit(m))))
+    far = F.aggregate(rest, F.struct(F.lit(0).alias("s"), F.lit(0).alias("c")),
+                      lambda a, x: F.when(a["s"] >= m, a).otherwise(
+                          F.struct((a["s"] + x).alias("s"), (a["c"] + 1).alias("c"))),
+                      lambda a: F.when(a["s"] >= m, k + (a["c"] - 1) * step))
+    return place.otherwise(far)
+
+
 def repeated_runs(docs: DataFrame, min_words: int = 20) -> DataFrame:
     """Later copies of stretches: ``doc, text_hash, runs`` where ``runs`` is an
     array of (start, end) line numbers, both included, by start. Runs may
     overlap."""
     m = max(1, min_words)
-    bodies = F.transform(lines_of(F.col("text")), _body)
-    lines = F.filter(F.transform(bodies, lambda s, i: F.struct(
-        i.alias("line"), F.xxhash64(s).alias("h"), _words_in(s).alias("n"))), lambda x: x["n"] > 0)
-    base = docs.select(*_document(F.col("doc_id"), F.col("text")), lines.alias("lines"))
-    # For every word the place of its line among the lines that have words.
-    base = base.select("doc", "text_hash", F.col("lines.line").alias("line"), F.col("lines.h").alias("h"),
-                       F.flatten(F.transform("lines", lambda x, k: F.array_repeat(k, x["n"]))).alias("of"))
-    base = base.filter(F.size("of") >= m)
-    of = lambda t: F.get("of", t)
-    base = base.withColumn("firsts", F.filter(F.sequence(F.lit(0), F.size("of") - 1),
-                                              lambda t: (t == 0) | (of(t) != of(t - 1))))
-    # A word number below 0 or beyond the last gives null: no such stretch.
-    stretches = F.array_distinct(F.concat(
-        F.transform("firsts", lambda t: _two(of(t), of(t + (m - 1)))),
-        F.transform("firsts", lambda t: _two(of(t - m), of(t - 1))),
-        F.array(_two(of(F.size("of") - m), of(F.size("of") - 1)))))
-    low = F.col("stretch").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    high = F.shiftright("stretch", 32).cast("int")
-    places = (base.select("doc", "text_hash", "line", "h", F.explode(stretches).alias("stretch"))
-              .filter("stretch IS NOT NULL")
-              .select("doc", "text_hash", _two(F.get("line", high), F.get("line", low)).alias("run"),
-                      F.xxhash64(F.slice("h", high + 1, low - high + 1)).alias("f")))
+    odd = _has_odd_space(F.coalesce(F.col("text"), F.lit("")))
+    split = docs.select(*_document(F.col("doc_id"), F.col("text")), *_once(
+        F.transform(lines_of(F.col("text")), _body).alias("bodies"), odd.alias("odd")))
+    lines = F.filter(F.transform("bodies", lambda s, i: F.struct(
+        i.alias("line"), F.xxhash64(s).alias("h"), _words_in(s, F.col("odd")).alias("n"))), lambda x: x["n"] > 0)
+    lines = split.select("doc", "text_hash", *_once(lines.alias("lines")))
+    lines = lines.select("doc", "text_hash", *_once(*(F.col(f"lines.{c}").alias(c) for c in ("line", "h", "n"))))
+    # From each line on, and up to it, the shortest stretch of enough words.
+    each = lambda f: F.transform("n", lambda _, k: f(k))
+    stretches = F.array_distinct(F.concat(each(lambda k: _two(k, _reach(k, 1, m))),
+                                          each(lambda k: _two(_reach(k, -1, m), k))))
+    found = lines.select("doc", "text_hash", *_once("line", "h", F.array_compact(stretches).alias("stretches")))
+
+    def fingerprint(x: Column) -> Column:
+        low, high = x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"), F.shiftright(x, 32).cast("int")
+        return F.struct(_two(F.get("line", high), F.get("line", low)).alias("run"),
+                        F.xxhash64(F.slice("h", high + 1, low - high + 1)).alias("f"))
+    places = found.select("doc", "text_hash", F.inline(F.transform("stretches", fingerprint)))
     places = spill(places, "line-fingerprints")
     first = (places.groupBy("f").agg(F.min(F.struct("doc", "text_hash", "run")).alias("e"),
                                      F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))

@@ -373,3 +373,36 @@ def test_line_dedup_cuts_runs_of_a_short_line(spark):
     assert {i: r.n_deleted for i, r in got.items()} == {i: len(x) for i, x in want.items()}
     assert [got[i].text.split("\n").count("menu") for i in (1, 2, 4)] == [1, 0, 15]
     assert got[3].text.split("\n").count("home") == 1 and all(x in got[3].text for x in own(3))
+
+
+def test_passages_with_tabs_or_without_spaces(spark):
+    rng = random.Random(9)
+    chinese = "".join("".join(chr(rng.randint(0x4E00, 0x9F00)) for _ in range(9)) + "。" for _ in range(30))
+    tabs = "\t".join(f"w{rng.randint(0, 10 ** 9)}" for _ in range(200))
+    spaced = "   ".join(f"v{rng.randint(0, 10 ** 9)}" for _ in range(60))
+    thin = "a" + " " * 300 + "b"      # two words, whatever is between them
+    data = []
+    for i, passage in enumerate((chinese, tabs, spaced, thin)):
+        own = lambda: "".join(f"Own line {rng.random()} here. " for _ in range(6))
+        data += [(2 * i, f"{own()}\n{passage}\n{own()}"), (2 * i + 1, f"{own()}\n{passage}\n{own()}")]
+    got = _by_id(spark, data)
+    texts = dict(data)
+    for i, passage in enumerate((chinese, tabs, spaced)):
+        assert got[2 * i].text == texts[2 * i] and got[2 * i].n_deleted == 0
+        assert passage not in got[2 * i + 1].text and got[2 * i + 1].n_deleted == (30 if i == 0 else 1)
+        assert got[2 * i + 1].text.count("Own line") == 12
+    assert got[7].n_deleted == 0
+
+
+def test_lines_join_to_their_text(spark):
+    texts = ["a. b! c?\nd\n\n", "句。子！x. y", "。 \t. ", "", "\n", "a.\tb. c.d ?\n e"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", line_dedup.lines_of(F.col("text")).alias("l")).collect()
+    assert all("".join(r.l) == r.text for r in rows)
+    cut = {r.text: r.l for r in rows}
+    assert cut["a. b! c?\nd\n\n"] == ["a.", " b!", " c?\n", "d\n", "\n", ""]
+    assert cut["句。子！x. y"] == ["句。", "子！", "x.", " y"]
+
+
+def _by_id(spark, data):
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    return {r.doc_id: r for r in line_dedup.line_dedup(df).collect()}
