@@ -28,6 +28,9 @@ frequent line does not land in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,14 +39,18 @@ from .common import NO_ID, spill
 # Scripts written without spaces; their sentences need none at their ends.
 UNSPACED = (r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u9FFF\uA000-\uA4CF\uAC00-\uD7AF\uF900-\uFAFF"
             r"\uFF66-\uFF9F\x{20000}-\x{3FFFF}")
-CUT = r"(?<=[\n.!?。！？])(?:(?=[ \t])(?<![\n。！？])|(?<=[\n。！？]))"
+CUT = r"(?<=[\n.!?])(?:(?<=\n)|(?=[ \t]))"
+FULL_STOPS = "。！？"
+CUT_WITH_FULL_STOPS = CUT + f"|(?<=[{FULL_STOPS}])"
 BLANK = " \t\n\r\x0b\x0c"
 NEAR = 4                   # lines that a stretch is looked for in directly
 
 
 def lines_of(text: Column) -> Column:
     """The lines of a text; joined they give the text again. Null is empty."""
-    return F.split(F.coalesce(text, F.lit("")), CUT, -1)
+    text = F.coalesce(text, F.lit(""))
+    has_stops = reduce(or_, (text.contains(c) for c in FULL_STOPS))
+    return F.when(has_stops, F.split(text, CUT_WITH_FULL_STOPS, -1)).otherwise(F.split(text, CUT, -1))
 
 
 def _body(line: Column) -> Column:
@@ -68,9 +75,9 @@ def _words_in(body: Column, odd_space: Column) -> Column:
             .otherwise(F.length(body) - F.length(F.replace(body, F.lit(" "), F.lit(""))) + 1))
 
 
-def words_of(line: Column) -> Column:
+def words_of(line: Column, odd_space: Column) -> Column:
     """Words of a line."""
-    return _words_in(_body(line), _has_odd_space(line))
+    return _words_in(_body(line), odd_space)
 
 
 def _two(a: Column, b: Column) -> Column:
@@ -167,7 +174,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = rows.select("d", *_document(F.col(f"d.`{id_col}`"), text)).join(runs, ["doc", "text_hash"], "left")
     # Only texts with runs are cut into lines again.
     cut = joined.withColumn("lines", F.when(F.col("runs").isNotNull(), lines_of(text)))
-    cut = cut.withColumn("words", F.transform("lines", words_of))
+    odd = F.when(F.col("runs").isNotNull(), _has_odd_space(F.coalesce(text, F.lit(""))))
+    cut = cut.select("d", "runs", *_once("lines", odd.alias("odd")))
+    cut = cut.withColumn("words", F.transform("lines", lambda s: words_of(s, F.col("odd"))))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, w: s + w)
     # Line spans between the runs, in order: (first line, number of lines).
     spans = F.aggregate(
