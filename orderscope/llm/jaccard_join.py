@@ -30,8 +30,10 @@ confirm it, and each set writes its keys in the name of its centre, once a
 task. A key that meets two centres proposes them as a pair. Jaccard
 distance is a metric, so two stars can only hold a link between members x
 and y of centres a and b if d(a,b) <= 1/4 + d(a,x) + d(b,y); pairs of
-members within that bound are checked, all others need not be. Every link
-is confirmed with whole sets, and components of the links are found by
+members within that bound are checked, all others need not be. Where many
+centres are near each other without being linked, they and their members are
+held against what most of them have in common instead (:mod:`.crowds`). Every
+link is confirmed with whole sets, and components of the links are found by
 alternating star contraction. Equal sets are one set throughout.
 """
 
@@ -46,6 +48,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, ragged, small_side, spill
 from .components import components
+from .crowds import crowd_links
 from .shingles import mix, shingle_sets
 from .words import chunks
 
@@ -412,6 +415,13 @@ def jaccard_links(docs: DataFrame, id_col: str = "node", text_col: str = "text")
     apart = apart.filter(F.col("keys") >= F.least(must(least_n("a")), must(least_n("x")))).select("a", "x")
     apart = spill(apart, "jaccard-apart")
 
+    # Crowds of near copies are settled by differences from what they have in common.
+    settled = crowd_links(docs, apart, known, stars)
+    if settled:
+        links = links.unionByName(settled[0])
+        known = components(links.select(F.col("a").alias("u"), F.col("x").alias("v")))
+        apart = spill(unconnected(settled[1], known), "jaccard-apart")
+
     # Where many centres are near each other, a few pairs of each are checked
     # first; pairs that their links connect need no check.
     between = None
