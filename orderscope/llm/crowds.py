@@ -111,6 +111,31 @@ def crowd_links(docs: DataFrame, pairs: DataFrame, known: DataFrame, stars: Data
     held = homes.select("doc", "home", "own").unionByName(
         stars.join(homes.select(F.col("doc").alias("centre"), "home", "own"), "centre").select("doc", "home", "own"))
     held = spill(held.groupBy("doc").agg(F.min("home").alias("home"), F.max("own").alias("own")), "crowds-held")
+    return settle(docs, held), left
+
+
+def star_homes(apart: DataFrame, known: DataFrame, stars: DataFrame) -> DataFrame:
+    """``doc, home, own`` of the sets in large components of ``known`` and of those
+    that came near one as a centre or a member of a proposed star without a link
+    (``apart``: pairs ``a, x``). A star is held whole against one crowd."""
+    crowds = known.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= LEAST_MEMBERS)
+    inside = known.join(crowds.select("component"), "component").select(F.col("node").alias("doc"), F.col("component").alias("home"))
+    inside = spill(inside, "crowds-inside")
+    near = apart.select("a", "x").unionByName(apart.select(F.col("x").alias("a"), F.col("a").alias("x")))
+    votes = (near.join(inside.withColumnRenamed("doc", "a"), "a").select(F.col("x").alias("doc"), "home")
+             .join(inside.select("doc"), "doc", "left_anti").join(stars.select("doc"), "doc", "left_anti")
+             .groupBy("doc", "home").agg(F.count(F.lit(1)).alias("c")))
+    outside = spill(votes.groupBy("doc").agg(F.max(F.struct("c", "home")).alias("v")).select(
+        "doc", F.col("v.home").alias("home")), "crowds-outside")
+    theirs = stars.select("doc", "centre").join(outside.withColumnRenamed("doc", "centre"), "centre").select("doc", "home")
+    held = inside.withColumn("own", F.lit(True)).unionByName(
+        outside.unionByName(theirs).withColumn("own", F.lit(False)))
+    return spill(held, "crowds-star-homes")
+
+
+def settle(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """Links ``a, x`` that connect all sets of ``held`` (``doc, home, own``) which are
+    linked within a home. ``own`` marks the members, which make the reference."""
     texts = spill(docs.join(small_side(held, F.count(F.lit(1)) * 24), "doc").dropDuplicates(["doc"]), "crowds-texts")
 
     members = held.filter("own").groupBy("home").agg(F.count(F.lit(1)).alias("members"))
@@ -153,4 +178,4 @@ def crowd_links(docs: DataFrame, pairs: DataFrame, known: DataFrame, stars: Data
     of = lambda s: sets.select(F.col("doc").alias(s), F.col("difference").alias(f"{s}_d"), F.col("excess").alias(f"{s}_e"))
     linked = (found.join(of("a"), "a").join(of("x"), "x")
               .filter("14 * size(array_intersect(a_d, x_d)) >= a_e + x_e").select("a", "x"))
-    return spill(links.unionByName(linked), "crowds-links"), left
+    return spill(links.unionByName(linked), "crowds-links")

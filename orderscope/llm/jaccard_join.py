@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, ragged, small_side, spill
 from .components import components
-from .crowds import crowd_links
+from .crowds import crowd_links, settle, star_homes
 from .shingles import mix, shingle_sets
 from .words import chunks
 
@@ -210,7 +210,7 @@ def _keys_of(elements: np.ndarray, is_heavy: np.ndarray, boundary: int) -> np.nd
     return (np.concatenate(keys) & ~np.uint64(1)) | np.concatenate(flags).astype(np.uint64)
 
 
-KEYS = "bucket int, keys binary, centres binary"
+KEYS = "bucket int, keys binary, centres binary, homes binary"
 
 
 def _write_keys(heavy, boundary: int, buckets: int):
@@ -221,19 +221,22 @@ def _write_keys(heavy, boundary: int, buckets: int):
             centre = batch.column("centre")
             centre = np.where(centre.is_null().to_numpy(zero_copy_only=False), docs,
                               centre.fill_null(0).to_numpy())
+            # A set that is in no crowd is a home of its own.
+            home = batch.column("home")
+            home = np.where(home.is_null().to_numpy(zero_copy_only=False), centre, home.fill_null(0).to_numpy())
             at = np.minimum(np.searchsorted(table, elements), max(0, len(table) - 1))
             is_heavy = table[at] == elements if len(table) else np.zeros(len(elements), bool)
-            keys, owners, end = [], [], 0
+            keys, owners, homes, end = [], [], [], 0
             for i, n in enumerate(sizes.tolist()):
                 if n:
                     found = _keys_of(elements[end:end + n], is_heavy[end:end + n], boundary)
                     keys.append(found)
                     owners.append(np.full(len(found), centre[i], np.int64))
+                    homes.append(np.full(len(found), home[i], np.int64))
                     end += n
             if not sum(map(len, keys)):     # sets of one element need none
                 continue
-            keys, owners = np.concatenate(keys), np.concatenate(owners)
-            keys, owners = _once(keys, owners)
+            keys, owners, homes = _once(np.concatenate(keys), np.concatenate(owners), np.concatenate(homes))
             # Keys are hashes in order, so a bucket is one stretch of them.
             bucket = ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -241,46 +244,53 @@ def _write_keys(heavy, boundary: int, buckets: int):
             yield pa.record_batch([
                 pa.array(bucket[cut], pa.int32()),
                 pa.array([keys[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()),
-                pa.array([owners[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())],
-                names=["bucket", "keys", "centres"])
+                pa.array([owners[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()),
+                pa.array([homes[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())],
+                names=["bucket", "keys", "centres", "homes"])
     return run
 
 
-def _once(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _once(keys: np.ndarray, owners: np.ndarray, homes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each key and owner once, in order, as the smaller set's if it is that for one of its sets."""
     order = np.lexsort((keys, owners, keys >> np.uint64(1)))
-    keys, owners = keys[order], owners[order]
+    keys, owners, homes = keys[order], owners[order], homes[order]
     last = (keys[1:] >> np.uint64(1) != keys[:-1] >> np.uint64(1)) | (owners[1:] != owners[:-1])
     last = np.concatenate((last, [True])) if len(keys) else np.empty(0, bool)
-    return keys[last], owners[last]
+    return keys[last], owners[last], homes[last]
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of centres that share keys, and on how many keys of this task. Of
     a pair one must be there as the smaller set. A task reads the keys of its
-    buckets; a centre occurs at most once per key and writing task."""
-    keys, centres = [], []
+    buckets; a centre occurs at most once per key and writing task. Those of one
+    home are settled already."""
+    keys, centres, homes = [], [], []
     for batch in batches:
         keys += [np.frombuffer(k.as_buffer(), np.uint64) for k in batch.column("keys")]
         centres += [np.frombuffer(c.as_buffer(), np.int64) for c in batch.column("centres")]
+        homes += [np.frombuffer(h.as_buffer(), np.int64) for h in batch.column("homes")]
     if not keys:
         return
-    keys, centres = _once(np.concatenate(keys), np.concatenate(centres))
+    keys, centres, homes = _once(np.concatenate(keys), np.concatenate(centres), np.concatenate(homes))
     smaller, keys = (keys & np.uint64(1)).astype(bool), keys >> np.uint64(1)
     order = np.lexsort((~smaller, keys))
-    smaller, keys, centres = smaller[order], keys[order], centres[order]
+    smaller, keys, centres, homes = smaller[order], keys[order], centres[order], homes[order]
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     lengths = np.diff(np.append(starts, len(keys)))
     firsts = np.add.reduceat(smaller.astype(np.int64), starts)
     of_two = starts[(lengths == 2) & (firsts > 0)]
+    of_two = of_two[homes[of_two] != homes[of_two + 1]]
     out_a, out_x, waiting = [centres[of_two]], [centres[of_two + 1]], len(of_two)
     many = (lengths > 2) & (firsts > 0)
     for begin, n, first in zip(starts[many].tolist(), lengths[many].tolist(), firsts[many].tolist(), strict=True):
-        met = centres[begin:begin + n]
+        met, home = centres[begin:begin + n], homes[begin:begin + n]
+        if (home == home[0]).all():
+            continue
         for i in range(min(first, n - 1)):
-            out_a.append(np.full(n - 1 - i, met[i]))
-            out_x.append(met[i + 1:])
-            waiting += n - 1 - i
+            others = met[i + 1:][home[i + 1:] != home[i]]
+            out_a.append(np.full(len(others), met[i]))
+            out_x.append(others)
+            waiting += len(others)
             if waiting >= LIST_PAIRS:
                 yield _counted_pairs(out_a, out_x)
                 out_a, out_x, waiting = [], [], 0
@@ -369,6 +379,15 @@ def jaccard_links(docs: DataFrame, id_col: str = "node", text_col: str = "text")
                   .select(F.col("x").alias("doc"), F.col("s.a").alias("centre"), (1 - F.col("s.j")).alias("d")),
                   "jaccard-stars-of")
 
+    # Crowds of near copies are settled by differences from what they have in common.
+    links = star_links.select("a", "x")
+    together = lambda links: components(links.select(F.col("a").alias("u"), F.col("x").alias("v")))
+    known = together(links)
+    held = star_homes(counted.filter(f"NOT ({LINK})"), known, stars)
+    if not held.isEmpty():
+        links = links.unionByName(settle(docs, held))
+        known = together(links)
+
     # The order of elements, and the boundary between small and large sets.
     heavy = (repeats.filter("times > 2").orderBy(F.desc("times"), "element").limit(HEAVY).select("element").toPandas())
     heavy = spark.sparkContext.broadcast(np.sort(heavy["element"].to_numpy(np.int64).view(np.uint64)))
@@ -384,9 +403,10 @@ def jaccard_links(docs: DataFrame, id_col: str = "node", text_col: str = "text")
     special = (classes.filter("n > 0").join(stars, classes.rep == stars.doc, "left")
                .select(classes.doc, "rep", "centre").filter("doc != rep OR centre IS NOT NULL")
                .groupBy("doc").agg(F.min("rep").alias("rep"), F.min("centre").alias("centre")))
-    special = small_side(spill(special, "jaccard-special"), F.count(F.lit(1)) * 40)
+    special = special.join(held.select("doc", "home"), "doc", "full").withColumn("rep", F.coalesce("rep", "doc"))
+    special = small_side(spill(special, "jaccard-special"), F.count(F.lit(1)) * 48)
     writers = (docs.join(special, "doc", "left").filter("rep IS NULL OR rep = doc")
-               .select("doc", "centre", "text"))
+               .select("doc", "centre", "home", "text"))
     keys = writers.mapInArrow(_write_keys(heavy, boundary, n_parts), KEYS)
     met = keys.repartition(n_parts, "bucket").mapInArrow(_meet, "a long, x long, keys long")
     met = spill(met.groupBy("a", "x").agg(F.sum("keys").alias("keys")), "jaccard-met")
@@ -403,8 +423,6 @@ def jaccard_links(docs: DataFrame, id_col: str = "node", text_col: str = "text")
         return (pairs.join(label("a"), "a", "left").join(label("x"), "x", "left")
                 .filter(F.coalesce("a_c", "a") != F.coalesce("x_c", "x")).drop("a_c", "x_c"))
 
-    links = star_links.select("a", "x")
-    known = components(links.select(F.col("a").alias("u"), F.col("x").alias("v")))
     apart = sized(unconnected(met, known))
     # Two sets alone can only link if their sizes allow it. Linked members of
     # two stars share the keys that the smaller of them must share at least;
@@ -415,11 +433,11 @@ def jaccard_links(docs: DataFrame, id_col: str = "node", text_col: str = "text")
     apart = apart.filter(F.col("keys") >= F.least(must(least_n("a")), must(least_n("x")))).select("a", "x")
     apart = spill(apart, "jaccard-apart")
 
-    # Crowds of near copies are settled by differences from what they have in common.
+    # So are those that only their keys bring together.
     settled = crowd_links(docs, apart, known, stars)
     if settled:
         links = links.unionByName(settled[0])
-        known = components(links.select(F.col("a").alias("u"), F.col("x").alias("v")))
+        known = together(links)
         apart = spill(unconnected(settled[1], known), "jaccard-apart")
 
     # Where many centres are near each other, a few pairs of each are checked
@@ -442,7 +460,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "node", text_col: str = "text")
         counted = verify(first, f"jaccard-turn-{turn}")
         between = counted if between is None else between.unionByName(counted)
         links = links.unionByName(counted.filter(LINK).select("a", "x"))
-        known = components(links.select(F.col("a").alias("u"), F.col("x").alias("v")))
+        known = together(links)
         apart = spill(unconnected(apart.join(first, ["a", "x"], "left_anti"), known), "jaccard-apart")
     counted = verify(apart, "jaccard-centres")
     between = counted if between is None else between.unionByName(counted)
