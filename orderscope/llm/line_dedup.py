@@ -43,7 +43,6 @@ CUT = r"(?<=[\n.!?])(?:(?<=\n)|(?=[ \t]))"
 FULL_STOPS = "。！？"
 CUT_WITH_FULL_STOPS = CUT + f"|(?<=[{FULL_STOPS}])"
 BLANK = " \t\n\r\x0b\x0c"
-NEAR = 4                   # lines that a stretch is looked for in directly
 
 
 def lines_of(text: Column) -> Column:
@@ -97,22 +96,32 @@ def _once(*columns: Column | str) -> list[Column]:
     return [F.inline(F.array(F.struct(*columns)))]
 
 
-def _reach(k: Column, step: int, m: int) -> Column:
-    """The nearest line from line ``k`` on (``step`` 1) or back (-1) with which the
-    stretch has ``m`` words by the column ``n``; null if there is none."""
-    words = lambda j: F.coalesce(F.get("n", k + j * step), F.lit(0))
-    total, place = words(0), F.when(words(0) >= m, k)
-    for j in range(1, NEAR):
-        total = total + words(j)
-        place = place.when(total >= m, k + j * step)
-    # Every line has a word, so m lines are enough.
-    rest = F.slice("n", k + 1, m) if step > 0 else F.reverse(
-        F.slice("n", F.greatest(k + 2 - m, F.lit(1)), F.least(k + 1, F.lit(m))))
-    far = F.aggregate(rest, F.struct(F.lit(0).alias("s"), F.lit(0).alias("c")),
-                      lambda a, x: F.when(a["s"] >= m, a).otherwise(
-                          F.struct((a["s"] + x).alias("s"), (a["c"] + 1).alias("c"))),
-                      lambda a: F.when(a["s"] >= m, k + (a["c"] - 1) * step))
-    return place.otherwise(far)
+def _with_sums(lines: DataFrame, m: int) -> tuple[DataFrame, list[int]]:
+    """Arrays ``n2``, ``n4``, ... of the words in so many lines from each line on,
+    made of ``n1``, for stretches of fewer than ``m`` lines; and these sizes."""
+    sizes = [1]
+    while sum(sizes) < m - 1:
+        k = sizes[-1]
+        longer = F.transform(f"n{k}", lambda x, i: x + F.coalesce(F.get(f"n{k}", i + k), F.lit(0)))  # noqa: B023
+        lines = lines.select(*lines.columns, *_once(longer.alias(f"n{2 * k}")))
+        sizes.append(2 * k)
+    return lines, sizes
+
+
+def _with_reach(lines: DataFrame, name: str, forwards: bool, sizes: list[int], m: int) -> DataFrame:
+    """Columns ``{name}_lines`` and ``{name}_words`` of the shortest stretch from
+    line ``pos`` on, or back from it, that has ``m`` words; where there are fewer,
+    of one that has fewer. Found by halving; every step is generated code."""
+    size, words = f"{name}_lines", f"{name}_words"
+    keep = lines.columns
+    lines = lines.select(*keep, F.lit(0).alias(size), F.lit(0).alias(words))
+    place = lambda k: F.col("pos") + F.col(size) if forwards else F.col("pos") - F.col(size) - (k - 1)
+    for k in reversed(sizes):
+        more = F.col(words) + F.get(f"n{k}", place(k))      # null beyond an end
+        lines = lines.select(*keep, F.when(more < m, F.col(size) + k).otherwise(F.col(size)).alias(size),
+                             F.when(more < m, more).otherwise(F.col(words)).alias(words))
+    return lines.select(*keep, (F.col(size) + 1).alias(size),
+                        (F.col(words) + F.coalesce(F.get("n1", place(1)), F.lit(0))).alias(words))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 20) -> DataFrame:
@@ -126,18 +135,21 @@ def repeated_runs(docs: DataFrame, min_words: int = 20) -> DataFrame:
     lines = F.filter(F.transform("bodies", lambda s, i: F.struct(
         i.alias("line"), F.xxhash64(s).alias("h"), _words_in(s, F.col("odd")).alias("n"))), lambda x: x["n"] > 0)
     lines = split.select("doc", "text_hash", *_once(lines.alias("lines")))
-    lines = lines.select("doc", "text_hash", *_once(*(F.col(f"lines.{c}").alias(c) for c in ("line", "h", "n"))))
-    # From each line on, and up to it, the shortest stretch of enough words.
-    each = lambda f: F.transform("n", lambda _, k: f(k))
-    stretches = F.array_distinct(F.concat(each(lambda k: _two(k, _reach(k, 1, m))),
-                                          each(lambda k: _two(_reach(k, -1, m), k))))
-    found = lines.select("doc", "text_hash", *_once("line", "h", F.array_compact(stretches).alias("stretches")))
-
-    def fingerprint(x: Column) -> Column:
-        low, high = x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"), F.shiftright(x, 32).cast("int")
-        return F.struct(_two(F.get("line", high), F.get("line", low)).alias("run"),
-                        F.xxhash64(F.slice("h", high + 1, low - high + 1)).alias("f"))
-    places = found.select("doc", "text_hash", F.inline(F.transform("stretches", fingerprint)))
+    lines = lines.select("doc", "text_hash", *_once(
+        F.col("lines.line").alias("line"), F.col("lines.h").alias("h"), F.col("lines.n").alias("n1")))
+    # From each line on, and up to it, the shortest stretch of enough words. One
+    # that is both, from its first line and up to its last, is taken once.
+    lines, sizes = _with_sums(lines, m)
+    each = lines.select(*lines.columns, F.posexplode("n1").alias("pos", "own"))
+    each = _with_reach(_with_reach(each, "on", True, sizes, m), "back", False, sizes, m)
+    stretch = lambda first, size, whole: F.struct(first.alias("first"), size.alias("size"), whole.alias("whole"))
+    each = each.select("doc", "text_hash", "line", "h", F.inline(F.array(
+        stretch(F.col("pos"), F.col("on_lines"), F.col("on_words") >= m),
+        stretch(F.col("pos") - F.col("back_lines") + 1, F.col("back_lines"),
+                F.col("back_words") - F.col("own") >= m)))).filter("whole")
+    places = each.select("doc", "text_hash",
+                         _two(F.get("line", F.col("first")), F.get("line", F.col("first") + F.col("size") - 1)).alias("run"),
+                         F.xxhash64(F.slice("h", F.col("first") + 1, F.col("size"))).alias("f"))
     places = spill(places, "line-fingerprints")
     first = (places.groupBy("f").agg(F.min(F.struct("doc", "text_hash", "run")).alias("e"),
                                      F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
