@@ -172,8 +172,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ordered by id (null last) and by a hash of the text among equal ids;
     rows equal in both are one document and are treated alike. A null text
     has no line that repeats and stays null; so does any text without a
-    long enough repeat. Lines without words go with a run that they stand
-    in, not at its ends. ``kept`` is false where something was deleted and
+    long enough repeat. Lines without words go with a shortest stretch that
+    they stand in, not at its ends: one between two lines that have
+    ``min_words`` words each stays. ``kept`` is false where something was deleted and
     less than ``min_left`` of the words remain; such rows still come with
     their remaining text. Columns ``n_deleted`` and ``kept`` of the input are
     replaced. An empty table gives an empty result.

@@ -351,6 +351,16 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == {i: len(x) for i, x in _brute_deleted(data).items()} and 0 < sum(n > 0 for n in got.values()) < 80
 
 
+@pytest.mark.parametrize("min_words", [1, 2, 9, 33])
+def test_stretches_of_other_lengths_equal_brute_force(spark, min_words):
+    rng = random.Random(min_words)
+    stock = [" ".join(f"{c}{j}" for j in range(rng.choice([1, 1, 2, 5, 12, 40]))) + "." for c in "abcdefghijklmnop"]
+    data = [(d, "\n".join(rng.choices(stock, k=rng.randint(0, 50)))) for d in range(50)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_deleted for r in line_dedup.line_dedup(df, min_words=min_words).collect()}
+    assert got == {i: len(x) for i, x in _brute_deleted(data, min_words).items()} and any(got.values())
+
+
 @pytest.mark.parametrize("n_lines", [1, 2, 3])
 def test_line_dedup_finds_passages_of_few_lines(spark, n_lines):
     """Passages of sixty words in one to three lines, each in three texts with other neighbours."""
