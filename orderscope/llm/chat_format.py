@@ -1,12 +1,12 @@
 """Chat formatting by prefix-target expansion (operator 5).
 
 Every assistant turn becomes one example: all turns before it are its
-context, and only the reply's text is trainable. Writing each context out
-would repeat a conversation once per reply, which grows with the square of
-its length; so a conversation's formatted turns are stored once, with their
-place in it, and an example holds its context as the span ``[0,
-context_chars)`` of that conversation. :func:`example_texts` writes out the
-text of chosen examples.
+context, which is written out in the example, and only the reply's text is
+trainable. So the examples of a conversation grow with the square of its
+length. They are made in stretches of :data:`TURNS_PER_STRETCH` turns, each
+from its own copy of the turns up to its end, so that a long conversation's
+examples are spread over tasks; the examples of a stretch lie next to each
+other in the output, where what their contexts have in common is compressed.
 
 The template marks turns with control strings. Inside texts a backslash
 becomes ``\\s`` and a control string gets ``\\c`` after its first character,
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spill
+from .common import small_side, spill
 
 # What stands before and after the text of a turn, by role.
 # Any other role is written between the markers of OTHER.
@@ -30,6 +30,7 @@ TEMPLATE = {
 OTHER = ("<<ROLE>>", "\n<</ROLE>>\n")
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<<ROLE>>", "<</ROLE>>")
 TURNS_PER_BLOCK = 1024   # places are summed within blocks first, then over blocks
+TURNS_PER_STRETCH = 256  # replies among as many turns are expanded from one copy of the turns before them
 
 
 def escape(text: Column) -> Column:
@@ -99,22 +100,35 @@ def format_turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
 
 def expand_replies(turns: DataFrame) -> DataFrame:
     """One example per assistant turn of :func:`format_turns`' rows: ``conv_id,
-    target_seq, context_turns, context_chars, reply, loss_start, loss_end``.
+    target_seq, context_turns, context_chars, context, reply, loss_start, loss_end``.
 
-    The example's text is the conversation's first ``context_chars``
-    characters and then ``reply``; the loss mask is true on ``[loss_start,
-    loss_end)`` of it, which is the reply's text without its marks."""
+    The example's text is ``context``, the segments of all turns before it,
+    and then ``reply``; the loss mask is true on ``[loss_start, loss_end)`` of
+    it, which is the reply's text without its marks.
+
+    A task holds one conversation up to the end of a stretch at a time, as
+    much as that stretch's last example has."""
     open_chars, close_chars = (len(s) for s in TEMPLATE["assistant"])
-    return turns.filter("trainable").select(
-        "conv_id", F.col("seq").alias("target_seq"), (F.col("seq") - 1).alias("context_turns"),
-        F.col("start").alias("context_chars"), F.col("segment").alias("reply"),
-        (F.col("start") + open_chars).alias("loss_start"),
-        (F.col("start") + F.char_length("segment") - close_chars).alias("loss_end"))
+    stretch = lambda seq: F.floor((seq - 1) / TURNS_PER_STRETCH).cast("int")
+    last = (turns.filter("trainable").groupBy(F.col("conv_id").alias("l_conv"))
+            .agg(stretch(F.max("seq")).alias("last")))
+    last = small_side(last, F.count(F.lit(1)) * 16)
+    copies = (turns.join(last, turns.conv_id.eqNullSafe(F.col("l_conv")) & (stretch(turns.seq) <= F.col("last")))
+              .select("conv_id", F.explode(F.sequence(stretch(F.col("seq")), "last")).alias("stretch"),
+                      F.struct("seq", "segment", "start", "trainable").alias("turn")))
+    # Turns are numbered from 1 without gaps, so a turn's number is its place in the list.
+    told = copies.groupBy("conv_id", "stretch").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    replies = F.filter("turns", lambda t: t.trainable & (stretch(t.seq) == F.col("stretch")))
+    before = F.slice("segments", F.lit(1), (F.col("r.seq") - 1).cast("int"))
+    return (told.select("conv_id", F.col("turns.segment").alias("segments"), F.explode(replies).alias("r"))
+            .select("conv_id", F.col("r.seq").alias("target_seq"), (F.col("r.seq") - 1).alias("context_turns"),
+                    F.col("r.start").alias("context_chars"), F.array_join(before, "").alias("context"),
+                    F.col("r.segment").alias("reply"), (F.col("r.start") + open_chars).alias("loss_start"),
+                    (F.col("r.start") + F.char_length("r.segment") - close_chars).alias("loss_end")))
 
 
 def example_texts(turns: DataFrame, examples: DataFrame) -> DataFrame:
-    """``conv_id, target_seq, text`` of chosen examples, contexts written out.
-    The output holds each context in full; choose examples accordingly."""
+    """``conv_id, target_seq, text`` of chosen examples, made from the turns alone."""
     chosen = examples.select(F.col("conv_id").alias("c"), "target_seq")
     return (turns.join(chosen, turns.conv_id.eqNullSafe(F.col("c")) & (turns.seq <= F.col("target_seq")))
             .groupBy("conv_id", "target_seq")
@@ -125,7 +139,7 @@ def example_texts(turns: DataFrame, examples: DataFrame) -> DataFrame:
 def write_examples(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Write both tables to shared storage; return (turns, examples) read back."""
     turns = spill(format_turns(conversations), "chat-turns")
-    return turns, spill(expand_replies(turns), "chat-examples")
+    return turns, spill(expand_replies(turns), "chat-examples", codec="zstd")
 
 
 def conversation_digests(turns: DataFrame, examples: DataFrame) -> DataFrame:
@@ -133,9 +147,9 @@ def conversation_digests(turns: DataFrame, examples: DataFrame) -> DataFrame:
     turns_sha256, loss_chars, loss_sha256, formatted_chars`` (the characters
     of its formatted turns, each once).
 
-    Texts are cut out of the segments and the loss spans and unescaped. A
-    SHA-256 needs its conversation as one string, so this step (not the
-    operator) holds one conversation at a time in a task."""
+    Texts are cut out of the segments, the loss spans out of the examples'
+    whole texts, and unescaped. A SHA-256 needs its conversation as one string,
+    so this step (not the operator) holds one conversation at a time in a task."""
     role = F.col("role")
     opened, closed = F.char_length(opening(role)), F.char_length(closing(role))
     text = unescape(F.substr("segment", opened + 1, F.char_length("segment") - opened - closed))
@@ -145,14 +159,15 @@ def conversation_digests(turns: DataFrame, examples: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_turns"),
         F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("lines"),
         F.sum("chars").alias("formatted_chars"))
-    at = (F.col("loss_start") - F.col("context_chars") + 1).cast("int")
-    loss = examples.select(F.col("conv_id").alias("e_conv"), "target_seq", unescape(
-        F.substr("reply", at, (F.col("loss_end") - F.col("loss_start")).cast("int"))).alias("text"))
+    whole = whole.select("conv_id", "n_turns", F.sha2(F.array_join("lines.line", ""), 256).alias("turns_sha256"),
+                         "formatted_chars")
+    loss = examples.select(F.col("conv_id").alias("e_conv"), "target_seq", unescape(F.substr(
+        F.concat("context", "reply"), (F.col("loss_start") + 1).cast("int"),
+        (F.col("loss_end") - F.col("loss_start")).cast("int"))).alias("text"))
     loss = loss.groupBy("e_conv").agg(
-        F.array_sort(F.collect_list(F.struct("target_seq", "text"))).alias("texts")).select(
-        "e_conv", F.array_join("texts.text", "").alias("loss"))
+        F.array_sort(F.collect_list(F.struct("target_seq", "text"))).alias("texts"))
+    loss = loss.select("e_conv", F.array_join("texts.text", "").alias("loss")).select(
+        "e_conv", F.char_length("loss").cast("long").alias("chars"), F.sha2("loss", 256).alias("sha256"))
     return (whole.join(loss, whole.conv_id.eqNullSafe(F.col("e_conv")), "left")
-            .withColumn("loss", F.coalesce("loss", F.lit("")))
-            .select("conv_id", "n_turns", F.sha2(F.array_join("lines.line", ""), 256).alias("turns_sha256"),
-                    F.char_length("loss").cast("long").alias("loss_chars"),
-                    F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars"))
+            .select("conv_id", "n_turns", "turns_sha256", F.coalesce("chars", F.lit(0)).cast("long").alias("loss_chars"),
+                    F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("loss_sha256"), "formatted_chars"))

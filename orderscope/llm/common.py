@@ -38,12 +38,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return posixpath.join(ensure_checkpoint_dir(spark), "llm", f"{name}-{uuid.uuid4().hex}")
 
 
-def spill(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
+def spill(df: DataFrame, name: str, root: str | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back, so that
     later steps neither compute it again nor depend on any executor."""
     spark = df.sparkSession
     path = root or scratch(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -139,6 +139,27 @@ def test_chat_round_trip(spark):
     assert chat_format.format_turns(df.limit(0)).count() == 0
 
 
+def test_chat_examples_hold_their_whole_context(spark):
+    # Turns of a conversation longer than a stretch, one without replies at its end, one without an id.
+    data = [(1, t, "assistant" if t % 3 else "user", f"<s>é{t}") for t in range(2 * chat_format.TURNS_PER_STRETCH + 40)]
+    data += [(1, t, "user", "more") for t in range(10_000, 10_300)]
+    data += [(None, 0, "user", "q"), (None, 1, "assistant", None), (2, 0, "user", "alone"), *CHAT[:6]]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    turns, examples = chat_format.write_examples(df.repartition(4))
+    segments = {}
+    for r in sorted(turns.collect(), key=lambda r: r.seq):
+        segments.setdefault(r.conv_id, []).append(r)
+    got = examples.collect()
+    assert {(e.conv_id, e.target_seq) for e in got} == {
+        (c, r.seq) for c, rows in segments.items() for r in rows if r.trainable}
+    assert len(got) == sum(r == "assistant" for _, _, r, _ in data)
+    for e in got:
+        before = [r.segment for r in segments[e.conv_id][:e.target_seq - 1]]
+        assert (e.context, e.context_turns, e.context_chars) == ("".join(before), len(before), len("".join(before)))
+        assert e.reply == segments[e.conv_id][e.target_seq - 1].segment
+        assert (e.context + e.reply)[e.loss_start:e.loss_end] == e.reply[1:-5]
+
+
 def test_escape_is_reversible(spark):
     rng = random.Random(2)
     parts = [*chat_format.CONTROLS, "\\", "s", "c", "<", "[", "]", ">", "\\s", "\\c", "x"]
