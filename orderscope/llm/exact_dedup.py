@@ -17,24 +17,20 @@ independent 64-bit hash agree too; this is checked at every level.
 The verdict goes back along (slot, digest) pairs, never along the digest
 alone, so a hot text meets no hot join key.
 
-Memory: Spark's external sort merges the runs and the fold is a stream
-over Arrow batches; no task holds a group or a run.
+Memory: Spark's external sort merges the runs and its sorted aggregation
+folds them as a stream; no task holds a group or a run, and no Python
+worker stands beside the executor's heap.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, byte_rows, partitions, spill
+from .common import NO_ID, partitions, spill
 
 SPACES = "[\\x20\\x09-\\x0D]+"
 KEY = ("digest", "check", "n_bytes")
-_RUN = "slot int, bucket int, digest binary, check long, n_bytes long, id long, n long"
 
 
 def normalised(text):
@@ -42,36 +38,16 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge equal neighbours of a sorted stream; the open entry is carried over."""
-    open_entry: pa.RecordBatch | None = None
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        if open_entry is not None:
-            batch = pa.concat_batches([open_entry, batch.cast(open_entry.schema)])
-        digest = byte_rows(batch.column("digest"), 32)
-        cols = [batch.column(c).to_numpy() for c in ("slot", "check", "n_bytes")]
-        same = (digest[1:] == digest[:-1]).all(axis=1)
-        for c in cols:
-            same &= c[1:] == c[:-1]
-        first = np.flatnonzero(np.concatenate(([True], ~same)))
-        ids = np.minimum.reduceat(batch.column("id").to_numpy(), first)
-        n = np.add.reduceat(batch.column("n").to_numpy(), first)
-        merged = batch.take(pa.array(first))
-        merged = merged.set_column(5, "id", pa.array(ids)).set_column(6, "n", pa.array(n))
-        open_entry = merged.slice(len(first) - 1)
-        if len(first) > 1:
-            yield merged.slice(0, len(first) - 1)
-    if open_entry is not None:
-        yield open_entry
-
-
 def _merge(runs: DataFrame, slots: int) -> DataFrame:
-    """Bring each slot's runs together, merge them in digest order, fold equals."""
+    """Bring each slot's runs together, merge them in digest order, fold equals.
+
+    The least id is taken of a struct, which Spark folds as a stream over
+    sorted rows: the merge is an external sort, and nothing is held but the
+    open entry. Rows of a slot are in one partition already."""
     return (runs.repartition(slots, "slot")
-            .sortWithinPartitions("slot", *KEY, "id")
-            .mapInArrow(_fold, _RUN))
+            .groupBy("slot", *KEY)
+            .agg(F.min("bucket").alias("bucket"), F.min(F.struct("id")).alias("least"), F.sum("n").alias("n"))
+            .select("slot", "bucket", *KEY, F.col("least.id").alias("id"), "n"))
 
 
 def tree_shape(partitions: int, most: int) -> tuple[int, int]:

@@ -60,6 +60,16 @@ def test_exact_dedup_of_nothing_and_of_one_text(spark):
     assert got.filter("kept").count() == 3334
 
 
+def test_exact_dedup_merges_as_a_stream_in_the_executor(spark):
+    plan = exact_dedup.exact_dedup(_docs(spark))._jdf.queryExecution().executedPlan().toString()
+    merges = exact_dedup._merge(spark.range(9).selectExpr(
+        "int(id % 3) AS slot", "int(id) AS bucket", "unhex(hex(id)) AS digest", "id % 2 AS check", "id AS n_bytes",
+        "id", "id AS n"), 4)
+    inner = merges._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan + inner and "Python" not in plan + inner
+    assert "SortAggregate" in inner and " HashAggregate" not in inner and inner.count("Exchange") == 1
+
+
 def test_tree_shape():
     for partitions in (1, 2, 12, 51, 211, 1000):
         radix, rounds = exact_dedup.tree_shape(partitions, 8)
