@@ -63,35 +63,44 @@ def count_words(words: DataFrame, min_letters: int = 7, min_count: int = 2) -> D
 
 # ---- the trie frontier ----
 
-def _nodes(marked: DataFrame, start: int) -> DataFrame:
-    """``node, letters`` (ascending) ``, ends`` (whether a word ends there) per node from depth ``start`` on."""
-    prefixes = marked.select("t", F.explode(F.sequence(F.lit(start), F.length("t"))).alias("depth"))
+def _key(node: Column) -> Column:
+    """What states and nodes are joined by: a number sorts faster than a prefix does."""
+    return F.xxhash64(node)
+
+
+def _nodes(marked: DataFrame) -> DataFrame:
+    """``depth, node, key, letters`` (ascending) ``, ends`` (whether a word ends there) per node.
+    A word's nodes begin where the states of a word with one letter less do."""
+    begin = F.lit(1) + F.expr("(length(t) - 2) div 2").cast("int")
+    prefixes = marked.select("t", F.explode(F.sequence(begin, F.length("t"))).alias("depth"))
     return (prefixes.select("depth", F.substr("t", F.lit(1), F.col("depth")).alias("node"),
                             F.substr("t", F.col("depth") + 1, F.lit(1)).alias("letter"))
             .groupBy("depth", "node").agg(F.collect_set("letter").alias("letters"))
-            .select("depth", "node", F.array_remove("letters", "").alias("letters"),
+            .select("depth", "node", _key(F.col("node")).alias("key"), F.array_remove("letters", "").alias("letters"),
                     F.array_contains("letters", "").alias("ends")))
 
 
-STATES = "array<struct<pos:int,node:string,found:boolean>>"
+STATES = "array<struct<pos:int,key:bigint,node:string>>"
 
 
 def _step(states: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One level: ``t, pos, node, found`` of what follows the states ``t, pos, node, edits``."""
-    rows = states.join(nodes, "node")
+    """One level: ``t, pos, key, node`` of what follows the states ``t, pos, key, edits``;
+    ``node`` is the word found, null while there is none."""
+    rows = states.join(nodes, "key")
     t, pos, node, letters, ends = (F.col(c) for c in ("t", "pos", "node", "letters", "ends"))
     here, after = F.substr("t", pos + 1, F.lit(1)), F.substr("t", pos + 2, F.lit(1))
-    state = lambda p, n, found: F.struct(p.cast("int").alias("pos"), n.alias("node"), F.lit(found).alias("found"))
+    state = lambda p, n: F.struct(p.cast("int").alias("pos"), _key(n).alias("key"), F.lit(None).cast("string").alias("node"))
+    found = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).cast("long").alias("key"), node.alias("node")))
     none = F.array().cast(STATES)
     one = lambda s: F.array(s)
     last = pos + 1 == F.length("t")
-    replaced = F.transform(F.filter(letters, lambda x: x > here), lambda x: state(pos + 1, F.concat(node, x), False))
-    left_out = (F.when(last & ends, one(state(pos + 1, node, True)))
+    replaced = F.transform(F.filter(letters, lambda x: x > here), lambda x: state(pos + 1, F.concat(node, x)))
+    left_out = (F.when(last & ends, found)
                 .when(~last & (here != after) & F.array_contains(letters, after),
-                      one(state(pos + 2, F.concat(node, after), False))).otherwise(none))
-    edited = (F.when((pos == F.length("t")) & ends, one(state(pos, node, True)))
+                      one(state(pos + 2, F.concat(node, after)))).otherwise(none))
+    edited = (F.when((pos == F.length("t")) & ends, found)
               .when((pos < F.length("t")) & F.array_contains(letters, here),
-                    one(state(pos + 1, F.concat(node, here), False))).otherwise(none))
+                    one(state(pos + 1, F.concat(node, here)))).otherwise(none))
     branching = F.size(letters) + ends.cast("int") > 1
     follow = (F.when(F.col("edits") == 1, edited).when(branching, F.concat(replaced, left_out)).otherwise(none))
     return rows.select("t", F.inline(follow))
@@ -104,25 +113,25 @@ def _trie_pairs(words: DataFrame) -> DataFrame:
         F.concat(F.lit(FORWARD), "word"), F.concat(F.lit(BACKWARD), F.reverse("word")))).alias("t")), "variant-words")
     if ends["least"] is None:
         return words.select("word", F.col("word").alias("near")).limit(0)
-    half = lambda n: 1 + n // 2
-    start = half(ends["least"])
-    nodes = _nodes(marked, start).repartitionByRange(F.col("depth"), F.col("node"))
+    nodes = _nodes(marked).repartitionByRange(F.col("depth"), F.col("key"))
     nodes = _by_depth(nodes, "variant-nodes")
     states, found = None, []
-    for depth in range(start, ends["most"] + 2):
+    for depth in range(1 + ends["least"] // 2, ends["most"] + 2):
         # The marked word has length + 1 letters, the mark being spent; a word without an edit that is spent is done.
         fresh = marked.filter((F.length("t") > depth) & (F.lit(1) + F.expr("(length(t) - 1) div 2") <= depth)).select(
-            "t", F.lit(depth).alias("pos"), F.substr("t", F.lit(1), F.lit(depth)).alias("node"), F.lit(0).alias("edits"))
+            "t", F.lit(depth).alias("pos"), _key(F.substr("t", F.lit(1), F.lit(depth))).alias("key"), F.lit(0).alias("edits"))
         states = fresh if states is None else fresh.unionByName(states)
         stepped = spill(_step(states, nodes.filter(F.col("depth") == depth).drop("depth")), "variant-states")
-        found.append(stepped.filter("found").select("t", "node"))
-        states = stepped.filter("NOT found").select("t", "pos", "node", F.lit(1).alias("edits"))
+        found.append(stepped.filter("node IS NOT NULL").select("t", "node"))
+        states = stepped.filter("node IS NULL").select("t", "pos", "key", F.lit(1).alias("edits"))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
     plain = lambda c: F.when(F.substr(c, F.lit(1), F.lit(1)) == FORWARD, F.expr(f"substr({c}, 2)")).otherwise(
         F.reverse(F.expr(f"substr({c}, 2)")))
-    return pairs.select(plain("t").alias("word"), plain("node").alias("near"))
+    # Nodes that share a key lead states to words that are not near, never past one that is.
+    return pairs.select(plain("t").alias("word"), plain("node").alias("near")).filter(
+        F.levenshtein("word", "near", 1) == 1)
 
 
 def _by_depth(nodes: DataFrame, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -194,6 +195,23 @@ def test_variants_of_one_hot_prefix(spark):
     assert _groups(spark, counts) == _brute_groups(counts)
 
 
+def test_variants_whose_nodes_share_keys(spark, monkeypatch):
+    monkeypatch.setattr(spelling_variants, "_key", lambda node: F.xxhash64(node) % 5)
+    rng = random.Random(4)
+    counts = {"".join(rng.choices("aabé", k=rng.randint(5, 8))): rng.randint(2, 90) for _ in range(60)}
+    assert _groups(spark, counts) == _brute_groups(counts)
+
+
+def test_nodes_begin_where_states_do(spark):
+    marked = spark.createDataFrame([(">abcdefg",), (">abcdefghijklm",)], "t string")
+    got = {(r.depth, r.node): (sorted(r.letters), r.ends) for r in spelling_variants._nodes(marked).collect()}
+    assert got[4, ">abc"] == (["d"], False) and got[7, ">abcdef"] == (["g"], False)
+    assert got[8, ">abcdefg"] == (["h"], True) and got[14, ">abcdefghijklm"] == ([], True)
+    assert min(d for d, _ in got) == 4 and len(got) == 11
+    alone = spelling_variants._nodes(marked.filter("length(t) > 10")).collect()
+    assert min(r.depth for r in alone) == 7
+
+
 def test_no_variants(spark):
     assert _groups(spark, {}) == []
     assert _groups(spark, {"alone": 3}) == [("alone", None, "alone", 3, 0, None)]
