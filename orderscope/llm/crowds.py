@@ -13,7 +13,8 @@ e(x) = 7 |D(x)| - |x| this reads e(x) + e(y) <= 14 |D(x) & D(y)|. So
   with its partner. Elements that no other set's difference holds are left out
   first; what remains is often too little. Otherwise one of the rarest
   elements is shared (all but that many less one), and pairs come from
-  an equality join on those.
+  an equality join on those. The partner with less excess e must share
+  ceil(e / 7) itself, so only its rarest (all but that many less one) are met.
 
 So pairs that have no more in common than the crowd itself are never formed.
 """
@@ -167,15 +168,28 @@ def settle(docs: DataFrame, held: DataFrame) -> DataFrame:
     need = F.greatest(F.lit(0), F.ceil((F.col("excess") + F.col("least")) / 14))
     rare = spill(ranked.join(rare, "doc").select("home", "doc", "excess", F.size("rare").alias("s"), need.alias("need"),
                                                  F.col("rare.element").alias("rare")).filter("s >= need"), "crowds-rare")
-    index = rare.select("home", "doc", "excess", "s", F.explode("rare").alias("element"))
-    probe = rare.filter("need > 0").select(
-        "home", F.col("doc").alias("p"), F.col("excess").alias("p_excess"), F.col("s").alias("p_s"),
-        F.explode(F.slice("rare", F.lit(1), (F.col("s") - F.col("need") + 1).cast("int"))).alias("element"))
-    found = (probe.join(index, ["home", "element"])
-             .filter("p != doc AND 14 * least(s, p_s) >= excess + p_excess")
+    found = (rare_meetings(rare).filter("14 * least(s, p_s) >= excess + p_excess")
              .select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("x")).distinct())
     found = spill(found, "crowds-found")
     of = lambda s: sets.select(F.col("doc").alias(s), F.col("difference").alias(f"{s}_d"), F.col("excess").alias(f"{s}_e"))
     linked = (found.join(of("a"), "a").join(of("x"), "x")
               .filter("14 * size(array_intersect(a_d, x_d)) >= a_e + x_e").select("a", "x"))
     return spill(links.unionByName(linked), "crowds-links")
+
+
+def rare_meetings(rare: DataFrame) -> DataFrame:
+    """``p, p_excess, p_s, doc, excess, s`` for each rare element on which two sets of
+    a home meet, from rows ``home, doc, excess, s, need, rare`` (``s`` elements,
+    rarest first).
+
+    Of a pair, the set with more excess looks for the other: it shares at least
+    ``need``, which the nearest member leaves, and the other at least what its
+    own excess asks of both. So both have a shared element among their rarest."""
+    rarest = lambda least: F.slice("rare", F.lit(1), (F.col("s") - least + 1).cast("int"))
+    own = F.greatest(F.lit(1), F.ceil(F.col("excess") / 7))
+    index = rare.filter(F.col("s") >= own).select("home", "doc", "excess", "s", F.explode(rarest(own)).alias("element"))
+    probe = rare.filter("need > 0").select(
+        "home", F.col("doc").alias("p"), F.col("excess").alias("p_excess"), F.col("s").alias("p_s"),
+        F.explode(rarest(F.col("need"))).alias("element"))
+    return (probe.join(index, ["home", "element"])
+            .filter("p_excess > excess OR p_excess = excess AND p > doc").drop("home", "element"))

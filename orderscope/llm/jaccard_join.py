@@ -20,9 +20,11 @@ share a passage of 3/4 to 6/7 of their elements do not meet on it.
 
 The boundary is where enumerating costs more than scanning, by a cost
 summed over the sizes of all sets and the measured length of lists.
-Elements found in many sets ("heavy") come last in the order, so shared
-passages seldom are keys. Any order gives the same result; so the table of
-heavy elements is bounded (``HEAVY`` entries) and broadcast.
+Elements found in many sets ("heavy") come last in the order, the most frequent
+ones at the end, so shared passages seldom are keys. Any order gives the same
+result; so the table of heavy elements is bounded (``HEAVY`` entries) and
+broadcast, and its frequencies are those seen in slices of the table and in
+one of ``ORDER_SHARE`` documents.
 
 Groups of near copies are kept out of the lists: minima of eight ranges of
 hash values propose a centre for each set (a star, no pairs), exact counts
@@ -53,6 +55,7 @@ from .shingles import mix, shingle_sets
 from .words import chunks
 
 HEAVY = 1 << 18            # heavy elements in the broadcast table (2 MB of hashes)
+ORDER_SHARE = 32           # one of as many documents tells how frequent elements are
 VERIFY_COST = 8.0          # cost of a listed set, in keys written
 LIST_PAIRS = 1_000_000     # pairs that a task gathers before it counts them
 SLICE_CHARS = 4 << 20
@@ -80,13 +83,14 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 # ---- first pass: sizes, signatures, sketches, repeated elements ----
 
-PROFILE = "doc long, n long, sig1 long, sig2 long, sketch array<long>, element long, times long"
+PROFILE = "doc long, n long, sig1 long, sig2 long, sketch array<long>, element long, times long, told long"
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document, and a row per element that repeats within a slice."""
+    """A row per document, and a row per element that repeats within a slice or is
+    in a document that tells how frequent elements are (``told``: in how many)."""
     schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()),
-                        ("sketch", pa.list_(pa.int64())), ("element", pa.int64()), ("times", pa.int64())])
+                        ("sketch", pa.list_(pa.int64())), ("element", pa.int64()), ("times", pa.int64()), ("told", pa.int64())])
     for batch, elements, sizes in _text_slices(batches):
         full = np.flatnonzero(sizes)
         starts = (np.cumsum(sizes) - sizes)[full]
@@ -103,15 +107,21 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = pa.ListArray.from_arrays(offsets, _signed(elements[least]))
         none = pa.nulls(len(sizes), pa.int64())
         yield pa.record_batch([batch.column("doc"), pa.array(sizes), _signed(sig[0]), _signed(sig[1]), sketch,
-                               none, none], schema=schema)
+                               none, none, none], schema=schema)
+        if not len(elements):
+            continue
+        tells = mix(batch.column("doc").to_numpy().view(np.uint64)) % np.uint64(ORDER_SHARE) == 0
         ordered = np.sort(elements)
-        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else []
-        times = np.diff(np.append(first, len(ordered))) if len(ordered) else np.empty(0, np.int64)
-        again = np.flatnonzero(times > 1)
-        if len(again):
-            none = pa.nulls(len(again), pa.int64())
-            yield pa.record_batch([none, none, none, none, pa.nulls(len(again), pa.list_(pa.int64())),
-                                   _signed(ordered[first][again]), pa.array(times[again])], schema=schema)
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        times = np.diff(np.append(first, len(ordered)))
+        told = np.bincount(np.searchsorted(ordered[first], elements[tells[owner]]), minlength=len(first))
+        rows = np.flatnonzero((times > 1) | (told > 0))
+        if len(rows):
+            none = pa.nulls(len(rows), pa.int64())
+            times = np.where(times > 1, times, 0)
+            yield pa.record_batch([none, none, none, none, pa.nulls(len(rows), pa.list_(pa.int64())),
+                                   _signed(ordered[first][rows]), pa.array(times[rows]), pa.array(told[rows])],
+                                  schema=schema)
 
 
 # ---- exact counts for proposed pairs ----
@@ -174,14 +184,16 @@ LINK = "100 * shared >= 75 * joined"
 
 # ---- keys ----
 
-def _prefix(elements: np.ndarray, is_heavy: np.ndarray, k: int) -> np.ndarray:
-    """The first |s| - ceil(3/4 |s|) + k elements: light ones by hash, then heavy ones."""
+def _prefix(elements: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
+    """The first |s| - ceil(3/4 |s|) + k elements: light ones (rank 0) by hash, then heavy ones by rank."""
     n = len(elements)
     size = min(n, n - int(needed(n)) + k)
-    light = elements[~is_heavy]
+    light = elements[rank == 0]
     if len(light) >= size:
         return light[:size]
-    return np.concatenate([light, elements[is_heavy][:size - len(light)]])
+    heavy = np.flatnonzero(rank)
+    heavy = heavy[np.argsort(rank[heavy], kind="stable")]
+    return np.concatenate([light, elements[heavy[:size - len(light)]]])
 
 
 def _index_size(n: int, k: int) -> int:
@@ -190,11 +202,11 @@ def _index_size(n: int, k: int) -> int:
     return n - (6 * n + 6) // 7 + k
 
 
-def _keys_of(elements: np.ndarray, is_heavy: np.ndarray, boundary: int) -> np.ndarray:
+def _keys_of(elements: np.ndarray, rank: np.ndarray, boundary: int) -> np.ndarray:
     """Keys whose lowest bit says whether the set may be the smaller one of a pair there."""
     n, keys, flags = len(elements), [], []
     if n <= boundary:
-        p = _prefix(elements, is_heavy, 2)
+        p = _prefix(elements, rank, 2)
         order = np.argsort(p)
         p, index = p[order], order < _index_size(n, 2)
         a, b = np.triu_indices(len(p), 1)
@@ -202,7 +214,7 @@ def _keys_of(elements: np.ndarray, is_heavy: np.ndarray, boundary: int) -> np.nd
         flags.append(index[a] & index[b])
     if n >= needed(boundary + 1) or n > boundary:
         k = max(1, n // TENTH)
-        p = _prefix(elements, is_heavy, k)
+        p = _prefix(elements, rank, k)
         keys.append(mix(p))
         flags.append(np.arange(len(p)) < _index_size(n, k))
     if not keys:
@@ -215,7 +227,7 @@ KEYS = "bucket int, keys binary, centres binary, homes binary"
 
 def _write_keys(heavy, boundary: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = heavy.value
+        table, ranks = heavy.value
         for batch, elements, sizes in _text_slices(batches):
             docs = batch.column("doc").to_numpy()
             centre = batch.column("centre")
@@ -225,11 +237,11 @@ def _write_keys(heavy, boundary: int, buckets: int):
             home = batch.column("home")
             home = np.where(home.is_null().to_numpy(zero_copy_only=False), centre, home.fill_null(0).to_numpy())
             at = np.minimum(np.searchsorted(table, elements), max(0, len(table) - 1))
-            is_heavy = table[at] == elements if len(table) else np.zeros(len(elements), bool)
+            rank = np.where(table[at] == elements, ranks[at], 0) if len(table) else np.zeros(len(elements), np.int64)
             keys, owners, homes, end = [], [], [], 0
             for i, n in enumerate(sizes.tolist()):
                 if n:
-                    found = _keys_of(elements[end:end + n], is_heavy[end:end + n], boundary)
+                    found = _keys_of(elements[end:end + n], rank[end:end + n], boundary)
                     keys.append(found)
                     owners.append(np.full(len(found), centre[i], np.int64))
                     homes.append(np.full(len(found), home[i], np.int64))
@@ -352,7 +364,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "node", text_col: str = "text")
     docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     profile = spill(docs.mapInArrow(_profile, PROFILE), "jaccard-profile")
     rows = profile.filter("doc IS NOT NULL").select("doc", "n", "sig1", "sig2", "sketch")
-    repeats = profile.filter("element IS NOT NULL").groupBy("element").agg(F.sum("times").alias("times"))
+    repeats = (profile.filter("element IS NOT NULL").groupBy("element")
+               .agg(F.sum("times").alias("times"), F.sum("told").alias("told")).filter("times > 1 OR told > 1"))
     repeats = spill(repeats, "jaccard-repeats")
 
     signature = ["sig1", "sig2", "n"]
@@ -389,8 +402,12 @@ def jaccard_links(docs: DataFrame, id_col: str = "node", text_col: str = "text")
         known = together(links)
 
     # The order of elements, and the boundary between small and large sets.
-    heavy = (repeats.filter("times > 2").orderBy(F.desc("times"), "element").limit(HEAVY).select("element").toPandas())
-    heavy = spark.sparkContext.broadcast(np.sort(heavy["element"].to_numpy(np.int64).view(np.uint64)))
+    often = F.greatest("times", F.when(F.col("told") > 1, F.col("told") * ORDER_SHARE).otherwise(0))
+    heavy = (repeats.select("element", often.alias("times")).filter("times > 2")
+             .orderBy(F.desc("times"), "element").limit(HEAVY).toPandas().sort_values(["times", "element"]))
+    heavy = heavy["element"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(heavy)
+    heavy = spark.sparkContext.broadcast((heavy[order], order + 1))
     total = rows.agg(F.sum("n").alias("t")).first()["t"] or 0
     extra = repeats.filter("times > 1").agg(F.sum(F.col("times") * F.log2("times")).alias("t")).first()["t"] or 0
     # At most one row per set size; sizes beyond 4096 are never enumerated.

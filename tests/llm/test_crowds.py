@@ -100,3 +100,27 @@ def test_sets_of_a_crowd_by_hand(spark, monkeypatch):
     assert any(50 in p for p in found) and (50, 51) in found
     assert not any(52 in p for p in found)
     assert [tuple(r) for r in left.collect()] == [(900, 901)]
+
+
+def test_sets_meet_on_rarest_elements_of_both(spark):
+    """Every pair that shares enough meets, from the side with more excess alone."""
+    rng = random.Random(5)
+    sets = {d: (rng.randint(-20, 90), set(rng.sample(range(40), rng.randint(4, 25)))) for d in range(120)}
+    sets |= {200 + d: (60, set(range(100, 130))) for d in range(30)}
+    times = {}
+    for _, elements in sets.values():
+        for e in elements:
+            times[e] = times.get(e, 0) + 1
+    least = min(e for e, _ in sets.values())
+    rows = [(7, d, e, len(x), max(0, -(-(e + least) // 14)), sorted((times[v], v) for v in x)) for d, (e, x) in sets.items()]
+    rare = spark.createDataFrame(rows, "home long, doc long, excess long, s int, need long, "
+                                       "rare array<struct<times:long,element:long>>").filter("s >= need")
+    met = crowds.rare_meetings(rare).collect()
+    pairs = {tuple(sorted((r.p, r.doc))) for r in met}
+    for a, (e, x) in sets.items():
+        for b, (f, y) in sets.items():
+            if a < b and e + f > e + least > 0 and f + least > 0 and 14 * len(x & y) >= e + f:
+                assert (a, b) in pairs
+    assert all((r.p_excess, r.p) > (r.excess, r.doc) for r in met)
+    # Thirty equal sets of 30 elements that must share 9 meet on 30 - 9 + 1 at most, once a pair.
+    assert sum(r.p >= 200 and r.doc >= 200 for r in met) == 30 * 29 // 2 * 22

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,25 @@ def test_linked_sets_share_a_key_across_the_boundary(boundary):
             assert len(shared) and (keys[1][at_b] & np.uint64(1)).any(), (boundary, small, large)
 
 
+def test_frequent_elements_come_last_however_the_table_is_dealt():
+    """A passage in all documents, one document a slice: elements of those that tell are counted over all slices."""
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = [f"{passage} " + " ".join(f"d{i}w{k}" for k in range(30)) for i in range(640)]
+    batches = (pa.record_batch([pa.array([i]), pa.array([t])], names=["doc", "text"]) for i, t in enumerate(texts))
+    told = {}
+    for batch in jaccard_join._profile(batches):
+        for row in batch.to_pylist():
+            if row["element"] is not None:
+                told[row["element"]] = told.get(row["element"], 0) + row["told"]
+    common = shingles.shingle_sets([passage])[0].view(np.int64).tolist()
+    assert {e for e, n in told.items() if n > 1} == set(common) and len({told[e] for e in common}) == 1
+
+    elements = np.arange(1, 101, dtype=np.uint64)
+    rank = np.zeros(100, np.int64)
+    rank[:90] = np.arange(90, 0, -1)
+    assert jaccard_join._prefix(elements, rank, 2).tolist() == [*range(91, 101), *range(90, 73, -1)]
+
+
 # ---- 6: toxicity ----
 
 @pytest.fixture(scope="module")
