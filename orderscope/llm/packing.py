@@ -37,6 +37,7 @@ from .words import text_slices
 
 SHORTEST = 256             # the shortest tier that documents are routed to
 BUFFER_TOKENS = 2_000_000  # ids that a task packs at once
+SLICE_CHARS = 4 << 20      # of texts whose distinct words are looked up at once
 PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
           "sequence_tokens long, step_group long")
 
@@ -194,7 +195,7 @@ def _packer(tokenizer: str, end_id: int, window: int, step_tokens: int, special_
         special = special_pattern(tokenizer) if special_in_text else None
         buffer = _Buffer(window, step_tokens)
         for batch in batches:
-            for a, b, texts in text_slices(batch.column("text")):
+            for a, b, texts in text_slices(batch.column("text"), SLICE_CHARS):
                 ids, lengths = words.texts(split_words(texts, special))
                 buffer.add(batch.column("doc_id").slice(a, b - a), np.insert(ids, np.cumsum(lengths), end_id),
                            lengths + 1)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SharedFile, partitions, ragged, scratch, spill, store_of
-from .words import WordIds, text_slices
+from .words import MAX_TABLE, WordIds, text_slices
 
 MANIFEST = "shard int, n_docs long, n_tokens long, tokens_file string, docs_file string"
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -83,21 +83,35 @@ def _word_encoder(path: str):
             flat[ragged(starts[part], n)] = ids
         return flat, lengths
 
-    known = WordIds(stems, np.int32)
-
     def encode(words: list[str]):
         """A final ``.`` or ``,`` after letters is a pre-token of its own, so
         such a word has the ids of its stem and of the mark."""
-        cut = [[w[:-1], w[-1]] if w[-1:] in (".", ",") and _letters(w[:-1]) else [w] for w in words]
-        return known.texts(pa.array(cut, pa.list_(pa.string())))
+        cut = [i for i, w in enumerate(words) if w[-1:] in (".", ",") and _letters(w[:-1])]
+        if not cut:
+            return stems(words)
+        whole = list(words)
+        for i in cut:
+            whole[i] = words[i][:-1]
+        flat, lengths = stems(whole)
+        marks, n_marks = zip(*(one_by_one([mark]) for mark in (".", ",")), strict=True)
+        which = np.fromiter((words[i][-1] == "," for i in cut), np.int64, len(cut))
+        n = np.concatenate(n_marks)
+        ids = np.concatenate(marks)[ragged((np.cumsum(n) - n)[which], n[which])]
+        flat = np.insert(flat, np.repeat(np.cumsum(lengths)[cut], n[which]), ids)
+        lengths[cut] += n[which]
+        return flat, lengths
 
     def with_special(words: list[str]):
-        flat, lengths = encode(["" if w.startswith(MARK) else w for w in words])
         marked = [i for i, w in enumerate(words) if w.startswith(MARK)]
-        if marked:
-            before = (np.cumsum(lengths) - lengths)[marked]
-            flat = np.insert(flat, before, [special[words[i].removeprefix(MARK)] for i in marked])
-            lengths[marked] = 1
+        if not marked:
+            return encode(words)
+        plain = list(words)
+        for i in marked:
+            plain[i] = ""
+        flat, lengths = encode(plain)
+        before = (np.cumsum(lengths) - lengths)[marked]
+        flat = np.insert(flat, before, [special[words[i].removeprefix(MARK)] for i in marked])
+        lengths[marked] = 1
         return flat, lengths
     return with_special, len(ends)
 
@@ -148,7 +162,7 @@ def encoder(path: str) -> tuple[WordIds, np.dtype]:
     if path not in _tokenizers:
         encode, size = _word_encoder(path)
         dtype = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
-        _tokenizers[path] = WordIds(encode, dtype), dtype
+        _tokenizers[path] = WordIds(encode, dtype, 2 * MAX_TABLE), dtype
     return _tokenizers[path]
 
 

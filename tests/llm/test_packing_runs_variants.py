@@ -104,6 +104,23 @@ def test_pack_documents(spark):
         assert at == total <= 2048 and _power(at) and len({p[3] for p in pieces}) == 1
 
 
+def test_words_have_one_table_that_holds_twice_as_many():
+    """Distinct words are looked up once, in a table with the room of the two before."""
+    from tokenizers import Tokenizer
+
+    from orderscope.llm import token_files, words
+
+    path = tokenizer_path("word_bpe_49k.json")
+    table, dtype = token_files.encoder(path)
+    assert table._max == 2 * words.MAX_TABLE
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["stem stem. stem, Stem, . , .. a., \u00e9t\u00e9. \ufb01n, 3. x,", "", "<|endoftext|>. ok, <|endoftext|>"]
+    ids, lengths = token_files.WordIds(token_files._word_encoder(path)[0], dtype).texts(
+        token_files.split_words(texts, token_files.special_pattern(path)))
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
 def test_pack_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=1).count() == 0
