@@ -15,9 +15,12 @@ gives two kinds of keys:
 
 Of two sets that link, the smaller shares 6/7 of its elements with the other:
 for it the same elements are found in the first |s| - ceil(6/7 |s|) + k. So
-a key brings two sets together only if one of them has it there. Sets that
+a key brings two sets together only if the smaller has it there. Sets that
 share a passage of 3/4 to 6/7 of their elements do not meet on it.
 
+Sizes travel with the keys, so sets meet only if neither size is below 3/4 of the
+other. Most sets that have one element in common fail this.
+
 The boundary is where enumerating costs more than scanning, by a cost
 summed over the sizes of all sets and the measured length of lists.
 Elements found in many sets ("heavy") come last in the order, the most frequent
@@ -52,13 +55,15 @@ from .common import partitions, ragged, small_side, spill
 from .components import components
 from .crowds import crowd_links, settle, star_homes
 from .shingles import mix, shingle_sets
-from .words import chunks
+from .words import text_slices
 
 HEAVY = 1 << 18            # heavy elements in the broadcast table (2 MB of hashes)
 ORDER_SHARE = 32           # one of as many documents tells how frequent elements are
 VERIFY_COST = 8.0          # cost of a listed set, in keys written
 LIST_PAIRS = 1_000_000     # pairs that a task gathers before it counts them
+TESTED_PAIRS = 1 << 18     # pairs of a list's sets whose sizes a task compares at once
 SLICE_CHARS = 4 << 20
+KEY_CHARS = 2 << 20        # of texts whose keys a task holds at once
 PICKS = 4                  # pairs of each centre that are checked first in a crowd
 MOST_TURNS = 4             # such turns; what is left is checked in full
 TENTH = 10                 # a large set's prefix goes on for 1/10 of it
@@ -70,11 +75,10 @@ def needed(n):
     return (3 * n + 3) // 4
 
 
-def _text_slices(batches: Iterator[pa.RecordBatch]):
+def _text_slices(batches: Iterator[pa.RecordBatch], chars: int = SLICE_CHARS):
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for a, b in chunks(texts, SLICE_CHARS):
-            yield batch.slice(a, b - a), *shingle_sets(texts[a:b])
+        for a, b, texts in text_slices(batch.column("text"), chars):
+            yield batch.slice(a, b - a), *shingle_sets(texts)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -222,33 +226,50 @@ def _keys_of(elements: np.ndarray, rank: np.ndarray, boundary: int) -> np.ndarra
     return (np.concatenate(keys) & ~np.uint64(1)) | np.concatenate(flags).astype(np.uint64)
 
 
-KEYS = "bucket int, keys binary, centres binary, homes binary"
+_BITS, _ONE = np.uint64(45), np.uint64(1023 << 7)
+
+
+def _coarse(x: np.ndarray) -> np.ndarray:
+    """Positive integers in 16 bits: their eight leading binary digits and how many follow."""
+    return ((x.astype(np.float64).view(np.uint64) >> _BITS) - _ONE).astype(np.uint16)
+
+
+def _least_of(coarse: np.ndarray) -> np.ndarray:
+    return ((coarse.astype(np.uint64) + _ONE) << _BITS).view(np.float64)
+
+
+def _most_of(coarse: np.ndarray) -> np.ndarray:
+    return np.ceil(((coarse.astype(np.uint64) + _ONE + np.uint64(1)) << _BITS).view(np.float64)) - 1
+
+
+# ``spans``: least and most size of a centre's sets that write a key, both coarse.
+KEYS = "bucket int, keys binary, centres binary, homes binary, spans binary"
 
 
 def _write_keys(heavy, boundary: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, ranks = heavy.value
-        for batch, elements, sizes in _text_slices(batches):
+        for batch, elements, sizes in _text_slices(batches, KEY_CHARS):
             docs = batch.column("doc").to_numpy()
             centre = batch.column("centre")
             centre = np.where(centre.is_null().to_numpy(zero_copy_only=False), docs,
                               centre.fill_null(0).to_numpy())
-            # A set that is in no crowd is a home of its own.
+            # A set that is in no crowd and has no link yet is a home of its own.
             home = batch.column("home")
             home = np.where(home.is_null().to_numpy(zero_copy_only=False), centre, home.fill_null(0).to_numpy())
             at = np.minimum(np.searchsorted(table, elements), max(0, len(table) - 1))
             rank = np.where(table[at] == elements, ranks[at], 0) if len(table) else np.zeros(len(elements), np.int64)
-            keys, owners, homes, end = [], [], [], 0
+            keys, written, end = [], np.zeros(len(sizes), np.int64), 0
             for i, n in enumerate(sizes.tolist()):
                 if n:
-                    found = _keys_of(elements[end:end + n], rank[end:end + n], boundary)
-                    keys.append(found)
-                    owners.append(np.full(len(found), centre[i], np.int64))
-                    homes.append(np.full(len(found), home[i], np.int64))
+                    keys.append(_keys_of(elements[end:end + n], rank[end:end + n], boundary))
+                    written[i] = len(keys[-1])
                     end += n
-            if not sum(map(len, keys)):     # sets of one element need none
+            if not written.any():     # sets of one element need none
                 continue
-            keys, owners, homes = _once(np.concatenate(keys), np.concatenate(owners), np.concatenate(homes))
+            span = np.repeat(_coarse(np.maximum(sizes, 1)), written)
+            keys, owners, homes, spans = _once(np.concatenate(keys), np.repeat(centre, written),
+                                               np.repeat(home, written), np.array([span, span]))
             # Keys are hashes in order, so a bucket is one stretch of them.
             bucket = ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -257,55 +278,73 @@ def _write_keys(heavy, boundary: int, buckets: int):
                 pa.array(bucket[cut], pa.int32()),
                 pa.array([keys[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()),
                 pa.array([owners[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()),
-                pa.array([homes[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())],
-                names=["bucket", "keys", "centres", "homes"])
+                pa.array([homes[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()),
+                pa.array([spans[:, a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())],
+                names=["bucket", "keys", "centres", "homes", "spans"])
     return run
 
 
-def _once(keys: np.ndarray, owners: np.ndarray, homes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each key and owner once, in order, as the smaller set's if it is that for one of its sets."""
+def _once(keys: np.ndarray, owners: np.ndarray, homes: np.ndarray, spans: np.ndarray):
+    """Each key and owner once, in order, as the smaller set's if it is that for one of
+    its sets, with the spans of all of them."""
     order = np.lexsort((keys, owners, keys >> np.uint64(1)))
-    keys, owners, homes = keys[order], owners[order], homes[order]
+    keys, owners, homes, spans = keys[order], owners[order], homes[order], spans[:, order]
     last = (keys[1:] >> np.uint64(1) != keys[:-1] >> np.uint64(1)) | (owners[1:] != owners[:-1])
     last = np.concatenate((last, [True])) if len(keys) else np.empty(0, bool)
-    return keys[last], owners[last], homes[last]
+    if not last.all():
+        starts = np.flatnonzero(np.concatenate(([True], last[:-1])))
+        spans = np.array([f.reduceat(span, starts)
+                          for f, span in zip((np.minimum, np.maximum), spans, strict=True)])
+    return keys[last], owners[last], homes[last], spans
+
+
+def _may_link(spans: np.ndarray, smaller: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether sizes of both sides, from least to most, allow a link, and the smaller
+    set of a pair may be one that is there as that."""
+    n, m, most_n, most_m = (f(span[at]) for f, span in zip((_least_of, _most_of), spans, strict=True) for at in (one, other))
+    return ((4 * most_m >= 3 * n) & (4 * most_n >= 3 * m)
+            & (smaller[one] & (n <= most_m) | smaller[other] & (m <= most_n)))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of centres that share keys, and on how many keys of this task. Of
-    a pair one must be there as the smaller set. A task reads the keys of its
-    buckets; a centre occurs at most once per key and writing task. Those of one
-    home are settled already."""
-    keys, centres, homes = [], [], []
+    a pair the smaller set must be there as that, and sizes must allow a link.
+    A task reads the keys of its buckets; a centre occurs at most once per key
+    and writing task. Those of one home are settled or linked already."""
+    keys, centres, homes, spans = [], [], [], []
     for batch in batches:
         keys += [np.frombuffer(k.as_buffer(), np.uint64) for k in batch.column("keys")]
         centres += [np.frombuffer(c.as_buffer(), np.int64) for c in batch.column("centres")]
         homes += [np.frombuffer(h.as_buffer(), np.int64) for h in batch.column("homes")]
+        spans += [np.frombuffer(s.as_buffer(), np.uint16).reshape(2, -1) for s in batch.column("spans")]
     if not keys:
         return
-    keys, centres, homes = _once(np.concatenate(keys), np.concatenate(centres), np.concatenate(homes))
+    keys, centres, homes, spans = _once(np.concatenate(keys), np.concatenate(centres), np.concatenate(homes),
+                                        np.concatenate(spans, axis=1))
     smaller, keys = (keys & np.uint64(1)).astype(bool), keys >> np.uint64(1)
     order = np.lexsort((~smaller, keys))
-    smaller, keys, centres, homes = smaller[order], keys[order], centres[order], homes[order]
+    smaller, keys, centres, homes, spans = smaller[order], keys[order], centres[order], homes[order], spans[:, order]
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     lengths = np.diff(np.append(starts, len(keys)))
-    firsts = np.add.reduceat(smaller.astype(np.int64), starts)
-    of_two = starts[(lengths == 2) & (firsts > 0)]
-    of_two = of_two[homes[of_two] != homes[of_two + 1]]
-    out_a, out_x, waiting = [centres[of_two]], [centres[of_two + 1]], len(of_two)
-    many = (lengths > 2) & (firsts > 0)
-    for begin, n, first in zip(starts[many].tolist(), lengths[many].tolist(), firsts[many].tolist(), strict=True):
-        met, home = centres[begin:begin + n], homes[begin:begin + n]
-        if (home == home[0]).all():
-            continue
-        for i in range(min(first, n - 1)):
-            others = met[i + 1:][home[i + 1:] != home[i]]
-            out_a.append(np.full(len(others), met[i]))
-            out_x.append(others)
-            waiting += len(others)
-            if waiting >= LIST_PAIRS:
-                yield _counted_pairs(out_a, out_x)
-                out_a, out_x, waiting = [], [], 0
+    # Each set that may be the smaller one with all behind it in its list.
+    behind = np.repeat(starts + lengths, lengths) - np.arange(len(keys)) - 1
+    first = np.flatnonzero(smaller & (behind > 0))
+    behind = behind[first]
+    out_a, out_x, waiting, begin, total = [], [], 0, 0, np.cumsum(behind)
+    while begin < len(first):
+        end = max(begin + 1, int(np.searchsorted(total, total[begin] - behind[begin] + TESTED_PAIRS, side="right")))
+        one = np.repeat(first[begin:end], behind[begin:end])
+        other = ragged(first[begin:end] + 1, behind[begin:end])
+        begin = end
+        met = homes[one] != homes[other]
+        one, other = one[met], other[met]
+        met = _may_link(spans, smaller, one, other)
+        out_a.append(centres[one[met]])
+        out_x.append(centres[other[met]])
+        waiting += len(out_a[-1])
+        if waiting >= LIST_PAIRS:
+            yield _counted_pairs(out_a, out_x)
+            out_a, out_x, waiting = [], [], 0
     if waiting:
         yield _counted_pairs(out_a, out_x)
 
@@ -397,6 +436,11 @@ def jaccard_links(docs: DataFrame, id_col: str = "node", text_col: str = "text")
     together = lambda links: components(links.select(F.col("a").alias("u"), F.col("x").alias("v")))
     known = together(links)
     held = star_homes(counted.filter(f"NOT ({LINK})"), known, stars)
+    # Sets that star links connect need not meet either. A component that is no
+    # crowd is a home; those of its sets that are held against a crowd are left out.
+    homes = held.select("doc", "home").unionByName(
+        known.select(F.col("node").alias("doc"), F.col("component").alias("home")).join(held.select("doc"), "doc", "left_anti"))
+    homes = spill(homes, "jaccard-homes")
     if not held.isEmpty():
         links = links.unionByName(settle(docs, held))
         known = together(links)
@@ -420,7 +464,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "node", text_col: str = "text")
     special = (classes.filter("n > 0").join(stars, classes.rep == stars.doc, "left")
                .select(classes.doc, "rep", "centre").filter("doc != rep OR centre IS NOT NULL")
                .groupBy("doc").agg(F.min("rep").alias("rep"), F.min("centre").alias("centre")))
-    special = special.join(held.select("doc", "home"), "doc", "full").withColumn("rep", F.coalesce("rep", "doc"))
+    special = special.join(homes, "doc", "full").withColumn("rep", F.coalesce("rep", "doc"))
     special = small_side(spill(special, "jaccard-special"), F.count(F.lit(1)) * 48)
     writers = (docs.join(special, "doc", "left").filter("rep IS NULL OR rep = doc")
                .select("doc", "centre", "home", "text"))

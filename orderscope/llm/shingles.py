@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 WORDS = 5
-SEGMENT = 2 << 20          # bytes that are hashed at once (a longer word: that word)
+SEGMENT = 1 << 18          # bytes that are hashed at once (a longer word: that word)
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)

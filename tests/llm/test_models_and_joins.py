@@ -197,6 +197,51 @@ def test_frequent_elements_come_last_however_the_table_is_dealt():
     assert jaccard_join._prefix(elements, rank, 2).tolist() == [*range(91, 101), *range(90, 73, -1)]
 
 
+class _NoHeavy:
+    value = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+
+def _met(texts, homes=None, boundary=0):
+    n = len(texts)
+    batch = pa.record_batch([pa.array(range(n), pa.int64()), pa.array(texts), pa.nulls(n, pa.int64()),
+                             pa.array(homes or [None] * n, pa.int64())], names=["doc", "text", "centre", "home"])
+    met = {}
+    for out in jaccard_join._meet(jaccard_join._write_keys(_NoHeavy, boundary, 3)(iter([batch]))):
+        for row in out.to_pylist():
+            met[row["a"], row["x"]] = met.get((row["a"], row["x"]), 0) + row["keys"]
+    return met
+
+
+def test_sets_of_far_sizes_do_not_meet_on_a_passage():
+    """A passage in short and long texts makes no pair of a short and a long one."""
+    passage = " ".join(f"p{k}" for k in range(40))
+    sizes = [60, 60, 300, 300, 1200]
+    texts = [f"{passage} " + " ".join(f"d{i}w{k}" for k in range(n)) for i, n in enumerate(sizes)]
+    assert _met(texts) and all(sizes[a] == sizes[x] for a, x in _met(texts))
+    assert not _met(texts, homes=[7] * 5)
+
+
+@pytest.mark.parametrize("boundary", [0, 30, 400])
+def test_linked_sets_meet_whatever_their_sizes(boundary):
+    """A text and its beginning, down to just 3/4 of its shingles, meet on all keys they must."""
+    rng = random.Random(boundary)
+    for n in (8, 20, 39, 40, 41, 127, 128, 129, 255, 256, 260, 515, 1030):
+        words = [f"w{rng.random()}" for _ in range(n + 4)]
+        small = int(jaccard_join.needed(n))
+        for m in {small, small + 1, n - 1}:
+            met = _met([" ".join(words), " ".join(words[:m + 4])], boundary=boundary)
+            must = 1 if m <= boundary else max(1, m // jaccard_join.TENTH)
+            assert met.get((0, 1), 0) >= must, (n, m)
+
+
+def test_coarse_sizes_bound_the_exact_ones():
+    n = np.unique(np.concatenate([np.arange(1, 70_000), 1 << np.arange(40), (1 << np.arange(1, 40)) - 1]))
+    coarse = jaccard_join._coarse(n)
+    least, most = jaccard_join._least_of(coarse), jaccard_join._most_of(coarse)
+    assert ((least <= n) & (n <= most)).all() and (most[n < 256] == n[n < 256]).all()
+    assert (most <= least * 1.008 + 1).all()
+
+
 # ---- 6: toxicity ----
 
 @pytest.fixture(scope="module")
