@@ -242,6 +242,25 @@ def test_coarse_sizes_bound_the_exact_ones():
     assert (most <= least * 1.008 + 1).all()
 
 
+def test_texts_with_a_common_passage_propose_no_stars(spark, monkeypatch):
+    """Only sets that share two sketch values are held against a centre whole."""
+    proposed = []
+
+    def seen(df, name, *more, spill=jaccard_join.spill):
+        out = spill(df, name, *more)
+        if name == "jaccard-proposed":
+            proposed.append(out.count())
+        return out
+    monkeypatch.setattr(jaccard_join, "spill", seen)
+    passage = " ".join(f"p{k}" for k in range(12))
+    rows = [(i, f"{passage} " + " ".join(f"d{i}w{k}" for k in range(140))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
+    assert found == {i: i % 100 for i, _ in rows}
+    assert proposed[0] <= 60     # one sketch value is enough for 84
+
+
 # ---- 6: toxicity ----
 
 @pytest.fixture(scope="module")
