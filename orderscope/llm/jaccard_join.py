@@ -19,7 +19,12 @@ a key brings two sets together only if the smaller has it there. Sets that
 share a passage of 3/4 to 6/7 of their elements do not meet on it.
 
 Sizes travel with the keys, so sets meet only if neither size is below 3/4 of the
-other. Most sets that have one element in common fail this.
+other. Most sets that have one element in common fail this. So does a mark of each
+set: 128 bits, each the parity of the elements whose hash names it. Marks differ
+in no more bits than sets in elements, and sets that link differ in a seventh of
+their sizes' sum at most. Sets of a large group that have half of their elements
+in common share many keys, but their marks keep nearly all from meeting. Sets of
+more than ``MARKED`` elements have no mark: two of them may differ in half of its bits.
 
 The boundary is where enumerating costs more than scanning, by a cost
 summed over the sizes of all sets and the measured length of lists.
@@ -66,6 +71,7 @@ SLICE_CHARS = 4 << 20
 KEY_CHARS = 2 << 20        # of texts whose keys a task holds at once
 PICKS = 4                  # pairs of each centre that are checked first in a crowd
 MOST_TURNS = 4             # such turns; what is left is checked in full
+MARKED = 224               # larger sets have no mark
 TENTH = 10                 # a large set's prefix goes on for 1/10 of it
 _PAIR_A, _PAIR_B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407)
 
@@ -242,8 +248,27 @@ def _most_of(coarse: np.ndarray) -> np.ndarray:
     return np.ceil(((coarse.astype(np.uint64) + _ONE + np.uint64(1)) << _BITS).view(np.float64)) - 1
 
 
+# Of sets that may link with any other by their marks: large ones, and those of a
+# centre that write a key and differ in theirs.
+ANY_MARK = np.uint64((1 << 64) - 1)
+
+
+def _marks(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Two words a set: bit b is the parity of its elements whose hash ends in b.
+    A set of more than ``MARKED`` elements has ``ANY_MARK``."""
+    marks = np.zeros((2, len(sizes)), np.uint64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        starts = (np.cumsum(sizes) - sizes)[full]
+        bits = np.uint64(1) << (elements & np.uint64(63))
+        upper = (elements & np.uint64(64)).astype(bool)
+        for word, here in enumerate((~upper, upper)):
+            marks[word, full] = np.bitwise_xor.reduceat(np.where(here, bits, np.uint64(0)), starts)
+    return np.where(sizes > MARKED, ANY_MARK, marks)
+
+
 # ``spans``: least and most size of a centre's sets that write a key, both coarse.
-KEYS = "bucket int, keys binary, centres binary, homes binary, spans binary"
+KEYS = "bucket int, keys binary, centres binary, homes binary, spans binary, marks binary"
 
 
 def _write_keys(heavy, boundary: int, buckets: int):
@@ -268,8 +293,9 @@ def _write_keys(heavy, boundary: int, buckets: int):
             if not written.any():     # sets of one element need none
                 continue
             span = np.repeat(_coarse(np.maximum(sizes, 1)), written)
-            keys, owners, homes, spans = _once(np.concatenate(keys), np.repeat(centre, written),
-                                               np.repeat(home, written), np.array([span, span]))
+            marks = np.repeat(_marks(elements, sizes), written, axis=1)
+            keys, owners, homes, spans, marks = _once(np.concatenate(keys), np.repeat(centre, written),
+                                                      np.repeat(home, written), np.array([span, span]), marks)
             # Keys are hashes in order, so a bucket is one stretch of them.
             bucket = ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -279,51 +305,59 @@ def _write_keys(heavy, boundary: int, buckets: int):
                 pa.array([keys[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()),
                 pa.array([owners[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()),
                 pa.array([homes[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()),
-                pa.array([spans[:, a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())],
-                names=["bucket", "keys", "centres", "homes", "spans"])
+                pa.array([spans[:, a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()),
+                pa.array([marks[:, a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())],
+                names=["bucket", "keys", "centres", "homes", "spans", "marks"])
     return run
 
 
-def _once(keys: np.ndarray, owners: np.ndarray, homes: np.ndarray, spans: np.ndarray):
+def _once(keys: np.ndarray, owners: np.ndarray, homes: np.ndarray, spans: np.ndarray, marks: np.ndarray):
     """Each key and owner once, in order, as the smaller set's if it is that for one of
-    its sets, with the spans of all of them."""
+    its sets, with the spans of all of them and the mark that all have, if any."""
     order = np.lexsort((keys, owners, keys >> np.uint64(1)))
-    keys, owners, homes, spans = keys[order], owners[order], homes[order], spans[:, order]
+    keys, owners, homes, spans, marks = keys[order], owners[order], homes[order], spans[:, order], marks[:, order]
     last = (keys[1:] >> np.uint64(1) != keys[:-1] >> np.uint64(1)) | (owners[1:] != owners[:-1])
     last = np.concatenate((last, [True])) if len(keys) else np.empty(0, bool)
     if not last.all():
         starts = np.flatnonzero(np.concatenate(([True], last[:-1])))
         spans = np.array([f.reduceat(span, starts)
                           for f, span in zip((np.minimum, np.maximum), spans, strict=True)])
-    return keys[last], owners[last], homes[last], spans
+        alike = (np.minimum.reduceat(marks, starts, axis=1) == np.maximum.reduceat(marks, starts, axis=1)).all(axis=0)
+        marks = np.where(alike, marks[:, starts], ANY_MARK)
+    return keys[last], owners[last], homes[last], spans, marks
 
 
-def _may_link(spans: np.ndarray, smaller: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Whether sizes of both sides, from least to most, allow a link, and the smaller
-    set of a pair may be one that is there as that."""
+def _may_link(spans: np.ndarray, marks: np.ndarray, smaller: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether sizes of both sides, from least to most, and marks allow a link, and the
+    smaller set of a pair may be one that is there as that."""
     n, m, most_n, most_m = (f(span[at]) for f, span in zip((_least_of, _most_of), spans, strict=True) for at in (one, other))
+    differ = np.bitwise_count(marks[:, one] ^ marks[:, other]).sum(axis=0, dtype=np.int64)
+    unmarked = (marks == ANY_MARK).all(axis=0)
     return ((4 * most_m >= 3 * n) & (4 * most_n >= 3 * m)
+            & ((7 * differ <= most_n + most_m) | unmarked[one] | unmarked[other])
             & (smaller[one] & (n <= most_m) | smaller[other] & (m <= most_n)))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of centres that share keys, and on how many keys of this task. Of
-    a pair the smaller set must be there as that, and sizes must allow a link.
+    a pair the smaller set must be there as that; sizes and marks must allow a link.
     A task reads the keys of its buckets; a centre occurs at most once per key
     and writing task. Those of one home are settled or linked already."""
-    keys, centres, homes, spans = [], [], [], []
+    keys, centres, homes, spans, marks = [], [], [], [], []
     for batch in batches:
         keys += [np.frombuffer(k.as_buffer(), np.uint64) for k in batch.column("keys")]
         centres += [np.frombuffer(c.as_buffer(), np.int64) for c in batch.column("centres")]
         homes += [np.frombuffer(h.as_buffer(), np.int64) for h in batch.column("homes")]
         spans += [np.frombuffer(s.as_buffer(), np.uint16).reshape(2, -1) for s in batch.column("spans")]
+        marks += [np.frombuffer(m.as_buffer(), np.uint64).reshape(2, -1) for m in batch.column("marks")]
     if not keys:
         return
-    keys, centres, homes, spans = _once(np.concatenate(keys), np.concatenate(centres), np.concatenate(homes),
-                                        np.concatenate(spans, axis=1))
+    keys, centres, homes, spans, marks = _once(np.concatenate(keys), np.concatenate(centres), np.concatenate(homes),
+                                               np.concatenate(spans, axis=1), np.concatenate(marks, axis=1))
     smaller, keys = (keys & np.uint64(1)).astype(bool), keys >> np.uint64(1)
     order = np.lexsort((~smaller, keys))
-    smaller, keys, centres, homes, spans = smaller[order], keys[order], centres[order], homes[order], spans[:, order]
+    smaller, keys, centres, homes = smaller[order], keys[order], centres[order], homes[order]
+    spans, marks = spans[:, order], marks[:, order]
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     lengths = np.diff(np.append(starts, len(keys)))
     # Each set that may be the smaller one with all behind it in its list.
@@ -338,7 +372,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = end
         met = homes[one] != homes[other]
         one, other = one[met], other[met]
-        met = _may_link(spans, smaller, one, other)
+        met = _may_link(spans, marks, smaller, one, other)
         out_a.append(centres[one[met]])
         out_x.append(centres[other[met]])
         waiting += len(out_a[-1])
@@ -470,8 +504,9 @@ def jaccard_links(docs: DataFrame, id_col: str = "node", text_col: str = "text")
     special = small_side(spill(special, "jaccard-special"), F.count(F.lit(1)) * 48)
     writers = (docs.join(special, "doc", "left").filter("rep IS NULL OR rep = doc")
                .select("doc", "centre", "home", "text"))
-    keys = writers.mapInArrow(_write_keys(heavy, boundary, n_parts), KEYS)
-    met = keys.repartition(n_parts, "bucket").mapInArrow(_meet, "a long, x long, keys long")
+    buckets = 2 * n_parts         # a task holds all keys of its buckets
+    keys = writers.mapInArrow(_write_keys(heavy, boundary, buckets), KEYS)
+    met = keys.repartition(buckets, "bucket").mapInArrow(_meet, "a long, x long, keys long")
     met = spill(met.groupBy("a", "x").agg(F.sum("keys").alias("keys")), "jaccard-met")
 
     # Pairs of centres that are not connected yet.

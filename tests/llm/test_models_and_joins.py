@@ -234,6 +234,48 @@ def test_linked_sets_meet_whatever_their_sizes(boundary):
             assert met.get((0, 1), 0) >= must, (n, m)
 
 
+def test_sets_of_a_group_meet_only_if_their_marks_allow_a_link():
+    """Texts that have about half of their passages in common share many keys, but of
+    the pairs only those that link, and few others, meet."""
+    rng = random.Random(7)
+    common = [" ".join(f"p{b}w{k}" for k in range(10)) for b in range(10)]
+    texts = []
+    for i in range(120):
+        texts.append(" ".join(p if rng.random() < 0.7 else " ".join(f"d{i}b{b}w{k}" for k in range(10))
+                              for b, p in enumerate(common)))
+    texts += [t.replace("w5", f"x{i}", 1) for i, t in enumerate(texts[:20])]
+    sets = [set(shingles.shingle_sets([t])[0].tolist()) for t in texts]
+    links = {(a, x) for x in range(len(sets)) for a in range(x)
+             if 100 * len(sets[a] & sets[x]) >= 75 * len(sets[a] | sets[x])}
+    met = _met(texts)
+    assert len(links) >= 20 and links <= set(met)
+    assert len(met) <= len(links) + 0.05 * len(sets) * (len(sets) - 1) / 2
+
+
+def test_marks_never_keep_linked_sets_apart():
+    rng = np.random.default_rng(3)
+    for n in (1, 4, 7, 30, 100, 223, 224, 225, 400):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for keep in {n, n - n // 7, int(jaccard_join.needed(n))}:
+            b = np.sort(rng.choice(a, keep, replace=False))
+            sizes = np.array([len(a), len(b)])
+            marks = jaccard_join._marks(np.concatenate([a, b]), sizes)
+            span = jaccard_join._coarse(sizes)
+            assert jaccard_join._may_link(np.array([span, span]), marks, np.array([True, True]),
+                                          np.array([0]), np.array([1])).all(), (n, keep)
+
+
+def test_sets_of_one_centre_with_other_marks_meet_what_any_of_them_links_with():
+    base = [f"w{k}" for k in range(60)]
+    other = [*base[:40], *(f"v{k}" for k in range(14))]
+    texts = [" ".join(base), " ".join(other), " ".join([*other[:-1], "u"])]
+    batch = pa.record_batch([pa.array([0, 1, 2]), pa.array(texts), pa.array([0, 0, None], pa.int64()),
+                             pa.nulls(3, pa.int64())], names=["doc", "text", "centre", "home"])
+    met = [(r["a"], r["x"]) for out in jaccard_join._meet(jaccard_join._write_keys(_NoHeavy, 0, 3)(iter([batch])))
+           for r in out.to_pylist()]
+    assert set(met) == {(0, 2)}
+
+
 def test_coarse_sizes_bound_the_exact_ones():
     n = np.unique(np.concatenate([np.arange(1, 70_000), 1 << np.arange(40), (1 << np.arange(1, 40)) - 1]))
     coarse = jaccard_join._coarse(n)
