@@ -11,7 +11,13 @@ gives two kinds of keys:
   element of the prefix with k = |s| / 10, and two sets are candidates only
   if they meet on as many keys as the smaller k. Sets that have just a
   passage in common seldom do. Small sets within 3/4 of the boundary write
-  these keys too, to meet large ones.
+  these keys too, to meet large ones;
+* sets of more than ``MARKED`` elements are cut into groups by ranges of hash
+  values, as many for all sets of a class of sizes. If two sets link, two of
+  their groups of one range do, since sums of differences and of sizes are
+  sums over the groups. So a group is a small set of its own here: one key for
+  every element of its prefix with k = 1, and one such key makes a candidate.
+  Sets within 3/4 of a class write its keys too.
 
 Of two sets that link, the smaller shares 6/7 of its elements with the other:
 for it the same elements are found in the first |s| - ceil(6/7 |s|) + k. So
@@ -23,8 +29,9 @@ other. Most sets that have one element in common fail this. So does a mark of ea
 set: 128 bits, each the parity of the elements whose hash names it. Marks differ
 in no more bits than sets in elements, and sets that link differ in a seventh of
 their sizes' sum at most. Sets of a large group that have half of their elements
-in common share many keys, but their marks keep nearly all from meeting. Sets of
-more than ``MARKED`` elements have no mark: two of them may differ in half of its bits.
+in common share many keys, but their marks keep nearly all from meeting. A key of a
+group has the group's size and mark. Enumerated sets of more than ``MARKED``
+elements have no mark: two of them may differ in half of its bits.
 
 The boundary is where enumerating costs more than scanning, by a cost
 summed over the sizes of all sets and the measured length of lists.
@@ -68,10 +75,10 @@ VERIFY_COST = 8.0          # cost of a listed set, in keys written
 LIST_PAIRS = 1_000_000     # pairs that a task gathers before it counts them
 TESTED_PAIRS = 1 << 18     # pairs of a list's sets whose sizes a task compares at once
 SLICE_CHARS = 4 << 20
-KEY_CHARS = 2 << 20        # of texts whose keys a task holds at once
+KEY_CHARS = 1 << 20        # of texts whose keys a task holds at once
 PICKS = 4                  # pairs of each centre that are checked first in a crowd
 MOST_TURNS = 4             # such turns; what is left is checked in full
-MARKED = 224               # larger sets have no mark
+MARKED = 224               # larger sets have no mark; larger ones that are listed are cut into groups
 TENTH = 10                 # a large set's prefix goes on for 1/10 of it
 _PAIR_A, _PAIR_B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407)
 
@@ -206,14 +213,40 @@ def _prefix(elements: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([light, elements[heavy[:size - len(light)]]])
 
 
-def _index_size(n: int, k: int) -> int:
+def _index_size(n, k: int):
     """The elements among which a set shares k with any set it links with that is
     not smaller: ceil(6/7 n) are shared then."""
     return n - (6 * n + 6) // 7 + k
 
 
-def _keys_of(elements: np.ndarray, rank: np.ndarray, boundary: int) -> np.ndarray:
-    """Keys whose lowest bit says whether the set may be the smaller one of a pair there."""
+def _classes(n: int, boundary: int) -> list[int]:
+    """Classes of sizes whose sets a set of n may link with: class c > 0 has sizes
+    from MARKED * 2 ** (c - 1) to twice that, beyond the boundary."""
+    own = ((n - 1) // MARKED).bit_length()
+    return [c for c in (own, own + 1)
+            if c and n >= needed(max(MARKED << c - 1, boundary) + 1) and MARKED << c > boundary]
+
+
+def _group_keys(elements: np.ndarray, rank: np.ndarray, c: int):
+    """(keys, sizes, marks) of a set's groups in class c, of MARKED / 4 to MARKED / 2 elements
+    for a set of that class."""
+    group = (elements >> np.uint64(63 - c)).astype(np.int64)
+    sizes = np.bincount(group)
+    order = np.lexsort((rank, group))
+    at = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    prefix = at < np.repeat(sizes - needed(sizes) + 1, sizes)
+    order, at = order[prefix], at[prefix]
+    group = group[order]
+    index = at < _index_size(sizes, 1)[group]
+    keys = mix(elements[order]) & ~_CLASS_AND_FLAG | np.uint64(2 * c) | index.astype(np.uint64)
+    return keys, sizes[group], _marks(elements, sizes)[:, group]
+
+
+def _keyed(elements: np.ndarray, rank: np.ndarray, boundary: int, grouped: bool):
+    """(keys, sizes, marks): a set's keys, and of each the size and the mark of the set or
+    group that meets others there. A key's lowest bit says whether that may be the
+    smaller one of a pair, the five bits before its class (0: the whole set).
+    Unless ``grouped``, listed sets stay whole, whatever their size."""
     n, keys, flags = len(elements), [], []
     if n <= boundary:
         p = _prefix(elements, rank, 2)
@@ -222,16 +255,25 @@ def _keys_of(elements: np.ndarray, rank: np.ndarray, boundary: int) -> np.ndarra
         a, b = np.triu_indices(len(p), 1)
         keys.append(mix(p[a] * _PAIR_A + p[b] * _PAIR_B))
         flags.append(index[a] & index[b])
-    if n >= needed(boundary + 1) or n > boundary:
+    if (n <= MARKED or not grouped) and (n >= needed(boundary + 1) or n > boundary):
         k = max(1, n // TENTH)
         p = _prefix(elements, rank, k)
         keys.append(mix(p))
         flags.append(np.arange(len(p)) < _index_size(n, k))
-    if not keys:
-        return np.empty(0, np.uint64)
-    return (np.concatenate(keys) & ~np.uint64(1)) | np.concatenate(flags).astype(np.uint64)
+    whole = np.concatenate([np.empty(0, np.uint64), *keys]) & ~_CLASS_AND_FLAG
+    whole |= np.concatenate([np.empty(0, bool), *flags]).astype(np.uint64)
+    parts = [(whole, np.full(len(whole), n), np.repeat(_marks(elements, np.array([n])), len(whole), axis=1))]
+    parts += [_group_keys(elements, rank, c) for c in (_classes(n, boundary) if grouped else [])]
+    keys, sizes, marks = zip(*parts, strict=True)
+    return np.concatenate(keys), np.concatenate(sizes), np.concatenate(marks, axis=1)
+
+
+def _keys_of(elements: np.ndarray, rank: np.ndarray, boundary: int) -> np.ndarray:
+    """The keys of a whole set alone."""
+    return _keyed(elements, rank, boundary, False)[0]
 
 
+_CLASS_AND_FLAG = np.uint64(63)
 _BITS, _ONE = np.uint64(45), np.uint64(1023 << 7)
 
 
@@ -267,11 +309,11 @@ def _marks(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.where(sizes > MARKED, ANY_MARK, marks)
 
 
-# ``spans``: least and most size of a centre's sets that write a key, both coarse.
+# ``spans``: least and most size of a centre's sets (or their groups) that write a key, both coarse.
 KEYS = "bucket int, keys binary, centres binary, homes binary, spans binary, marks binary"
 
 
-def _write_keys(heavy, boundary: int, buckets: int):
+def _write_keys(heavy, boundary: int, buckets: int, grouped: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, ranks = heavy.value
         for batch, elements, sizes in _text_slices(batches, KEY_CHARS):
@@ -284,18 +326,21 @@ def _write_keys(heavy, boundary: int, buckets: int):
             home = np.where(home.is_null().to_numpy(zero_copy_only=False), centre, home.fill_null(0).to_numpy())
             at = np.minimum(np.searchsorted(table, elements), max(0, len(table) - 1))
             rank = np.where(table[at] == elements, ranks[at], 0) if len(table) else np.zeros(len(elements), np.int64)
-            keys, written, end = [], np.zeros(len(sizes), np.int64), 0
+            keys, spans, marks, written, end = [], [], [], np.zeros(len(sizes), np.int64), 0
             for i, n in enumerate(sizes.tolist()):
                 if n:
-                    keys.append(_keys_of(elements[end:end + n], rank[end:end + n], boundary))
+                    of_set = _keyed(elements[end:end + n], rank[end:end + n], boundary, grouped)
+                    keys.append(of_set[0])
+                    spans.append(_coarse(of_set[1]))
+                    marks.append(of_set[2])
                     written[i] = len(keys[-1])
                     end += n
             if not written.any():     # sets of one element need none
                 continue
-            span = np.repeat(_coarse(np.maximum(sizes, 1)), written)
-            marks = np.repeat(_marks(elements, sizes), written, axis=1)
-            keys, owners, homes, spans, marks = _once(np.concatenate(keys), np.repeat(centre, written),
-                                                      np.repeat(home, written), np.array([span, span]), marks)
+            span = np.concatenate(spans)
+            keys, owners, homes, spans, marks = _once(
+                np.concatenate(keys), np.repeat(centre, written), np.repeat(home, written),
+                np.array([span, span]), np.concatenate(marks, axis=1))
             # Keys are hashes in order, so a bucket is one stretch of them.
             bucket = ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -341,6 +386,7 @@ def _may_link(spans: np.ndarray, marks: np.ndarray, smaller: np.ndarray, one: np
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of centres that share keys, and on how many keys of this task. Of
     a pair the smaller set must be there as that; sizes and marks must allow a link.
+    A key of a group counts as many as any set of its class must share.
     A task reads the keys of its buckets; a centre occurs at most once per key
     and writing task. Those of one home are settled or linked already."""
     keys, centres, homes, spans, marks = [], [], [], [], []
@@ -358,13 +404,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((~smaller, keys))
     smaller, keys, centres, homes = smaller[order], keys[order], centres[order], homes[order]
     spans, marks = spans[:, order], marks[:, order]
+    classes = (keys & np.uint64(31)).astype(np.int64)
+    counts = np.where(classes > 0, (MARKED << classes) // TENTH, 1)
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     lengths = np.diff(np.append(starts, len(keys)))
     # Each set that may be the smaller one with all behind it in its list.
     behind = np.repeat(starts + lengths, lengths) - np.arange(len(keys)) - 1
     first = np.flatnonzero(smaller & (behind > 0))
     behind = behind[first]
-    out_a, out_x, waiting, begin, total = [], [], 0, 0, np.cumsum(behind)
+    out_a, out_x, out_n, waiting, begin, total = [], [], [], 0, 0, np.cumsum(behind)
     while begin < len(first):
         end = max(begin + 1, int(np.searchsorted(total, total[begin] - behind[begin] + TESTED_PAIRS, side="right")))
         one = np.repeat(first[begin:end], behind[begin:end])
@@ -375,21 +423,22 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = _may_link(spans, marks, smaller, one, other)
         out_a.append(centres[one[met]])
         out_x.append(centres[other[met]])
+        out_n.append(counts[one[met]])
         waiting += len(out_a[-1])
         if waiting >= LIST_PAIRS:
-            yield _counted_pairs(out_a, out_x)
-            out_a, out_x, waiting = [], [], 0
+            yield _counted_pairs(out_a, out_x, out_n)
+            out_a, out_x, out_n, waiting = [], [], [], 0
     if waiting:
-        yield _counted_pairs(out_a, out_x)
+        yield _counted_pairs(out_a, out_x, out_n)
 
 
-def _counted_pairs(out_a: list, out_x: list) -> pa.RecordBatch:
-    a, x = np.concatenate(out_a), np.concatenate(out_x)
+def _counted_pairs(out_a: list, out_x: list, out_n: list) -> pa.RecordBatch:
+    a, x, n = np.concatenate(out_a), np.concatenate(out_x), np.concatenate(out_n)
     a, x = np.minimum(a, x), np.maximum(a, x)
     order = np.lexsort((x, a))
-    a, x = a[order], x[order]
+    a, x, n = a[order], x[order], n[order]
     first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (x[1:] != x[:-1]))))
-    return pa.record_batch([pa.array(a[first]), pa.array(x[first]), pa.array(np.diff(np.append(first, len(a))))],
+    return pa.record_batch([pa.array(a[first]), pa.array(x[first]), pa.array(np.add.reduceat(n, first))],
                            names=["a", "x", "keys"])
 
 
@@ -505,7 +554,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "node", text_col: str = "text")
     writers = (docs.join(special, "doc", "left").filter("rep IS NULL OR rep = doc")
                .select("doc", "centre", "home", "text"))
     buckets = 2 * n_parts         # a task holds all keys of its buckets
-    keys = writers.mapInArrow(_write_keys(heavy, boundary, buckets), KEYS)
+    keys = writers.mapInArrow(_write_keys(heavy, boundary, buckets, grouped=True), KEYS)
     met = keys.repartition(buckets, "bucket").mapInArrow(_meet, "a long, x long, keys long")
     met = spill(met.groupBy("a", "x").agg(F.sum("keys").alias("keys")), "jaccard-met")
 

@@ -252,6 +252,64 @@ def test_sets_of_a_group_meet_only_if_their_marks_allow_a_link():
     assert len(met) <= len(links) + 0.05 * len(sets) * (len(sets) - 1) / 2
 
 
+def _met_in_groups(texts, boundary):
+    n = len(texts)
+    batch = pa.record_batch([pa.array(range(n), pa.int64()), pa.array(texts), pa.nulls(n, pa.int64()),
+                             pa.nulls(n, pa.int64())], names=["doc", "text", "centre", "home"])
+    met = {}
+    for out in jaccard_join._meet(jaccard_join._write_keys(_NoHeavy, boundary, 3, grouped=True)(iter([batch]))):
+        for row in out.to_pylist():
+            met[row["a"], row["x"]] = met.get((row["a"], row["x"]), 0) + row["keys"]
+    return met
+
+
+def _grown(n_texts, rng):
+    """Texts of about 600 words: each ten of them in 0.7 of the texts, else a text's own."""
+    common = [" ".join(f"p{b}w{k}" for k in range(10)) for b in range(60)]
+    return [" ".join(p if rng.random() < 0.7 else " ".join(f"d{i}b{b}w{k}" for k in range(10))
+                     for b, p in enumerate(common)) for i in range(n_texts)]
+
+
+@pytest.mark.parametrize("boundary", [0, 300])
+def test_long_texts_of_a_group_meet_only_if_their_groups_allow_a_link(boundary):
+    """Sets beyond MARKED elements, of which half is common: hardly any pair meets but those that link."""
+    rng = random.Random(8)
+    texts = _grown(60, rng)
+    texts += [t.replace("w5", f"x{i}", 3) for i, t in enumerate(texts[:15])]
+    texts += [" ".join(t.split()[:int(len(t.split()) * cut)]) for t, cut in zip(texts[15:25], [0.76, 0.9] * 5, strict=True)]
+    sets = [set(shingles.shingle_sets([t])[0].tolist()) for t in texts]
+    links = {(a, x) for x in range(len(sets)) for a in range(x)
+             if 100 * len(sets[a] & sets[x]) >= 75 * len(sets[a] | sets[x])}
+    met = _met_in_groups(texts, boundary)
+    assert min(map(len, sets)) > jaccard_join.MARKED and len(links) >= 20 and links <= set(met)
+    assert len(met) <= len(links) + 0.02 * len(sets) * (len(sets) - 1) / 2
+
+
+@pytest.mark.parametrize("boundary", [0, 200, 300, 500])
+def test_linked_sets_share_a_group_at_the_edges_of_classes(boundary):
+    """Differences dealt unevenly, all in some ranges of hash values, on both sides of a class's edge."""
+    rng = np.random.default_rng(boundary)
+    for larger in (224, 225, 297, 300, 301, 448, 449, 500, 501, 596, 897, 1200):
+        for smaller in {int(jaccard_join.needed(larger)), larger - larger // 7, larger - 1}:
+            for uneven in (False, True):
+                a = np.unique(rng.integers(0, 1 << 64, larger, np.uint64))
+                gone = larger - smaller
+                drop = rng.integers(0, larger - gone + 1) + np.arange(gone) if uneven else rng.choice(larger, gone, replace=False)
+                b = np.delete(a, drop)
+                rank = np.where(rng.random(larger) < 0.4, rng.permutation(larger) + 1, 0)
+                records = [jaccard_join._keyed(x, r, boundary, True) for x, r in ((a, rank), (b, np.delete(rank, drop)))]
+                shared, at_a, at_b = np.intersect1d(*(k >> np.uint64(1) for k, _, _ in records), return_indices=True)
+                met, must = 0, 1 if smaller <= boundary else smaller // jaccard_join.TENTH
+                for i, j in zip(at_a, at_b, strict=True):
+                    (k, n, m), (l, o, w) = records
+                    span, marks = jaccard_join._coarse(np.array([n[i], o[j]])), np.stack([m[:, i], w[:, j]], axis=1)
+                    flags = np.array([k[i] & np.uint64(1), l[j] & np.uint64(1)]).astype(bool)
+                    if jaccard_join._may_link(np.array([span, span]), marks, flags, np.array([0]), np.array([1])).all():
+                        c = int(k[i]) >> 1 & 31
+                        met += (jaccard_join.MARKED << c) // jaccard_join.TENTH if c else 1
+                assert met >= must, (smaller, larger, uneven)
+
+
 def test_marks_never_keep_linked_sets_apart():
     rng = np.random.default_rng(3)
     for n in (1, 4, 7, 30, 100, 223, 224, 225, 400):
