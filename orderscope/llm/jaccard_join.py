@@ -242,7 +242,7 @@ def _group_keys(elements: np.ndarray, rank: np.ndarray, c: int):
     return keys, sizes[group], _marks(elements, sizes)[:, group]
 
 
-def _keyed(elements: np.ndarray, rank: np.ndarray, boundary: int, grouped: bool):
+def _keyed(elements: np.ndarray, rank: np.ndarray, mark: np.ndarray, boundary: int, grouped: bool):
     """(keys, sizes, marks): a set's keys, and of each the size and the mark of the set or
     group that meets others there. A key's lowest bit says whether that may be the
     smaller one of a pair, the five bits before its class (0: the whole set).
@@ -262,7 +262,7 @@ def _keyed(elements: np.ndarray, rank: np.ndarray, boundary: int, grouped: bool)
         flags.append(np.arange(len(p)) < _index_size(n, k))
     whole = np.concatenate([np.empty(0, np.uint64), *keys]) & ~_CLASS_AND_FLAG
     whole |= np.concatenate([np.empty(0, bool), *flags]).astype(np.uint64)
-    parts = [(whole, np.full(len(whole), n), np.repeat(_marks(elements, np.array([n])), len(whole), axis=1))]
+    parts = [(whole, np.full(len(whole), n), np.repeat(mark, len(whole), axis=1))]
     parts += [_group_keys(elements, rank, c) for c in (_classes(n, boundary) if grouped else [])]
     keys, sizes, marks = zip(*parts, strict=True)
     return np.concatenate(keys), np.concatenate(sizes), np.concatenate(marks, axis=1)
@@ -270,7 +270,7 @@ def _keyed(elements: np.ndarray, rank: np.ndarray, boundary: int, grouped: bool)
 
 def _keys_of(elements: np.ndarray, rank: np.ndarray, boundary: int) -> np.ndarray:
     """The keys of a whole set alone."""
-    return _keyed(elements, rank, boundary, False)[0]
+    return _keyed(elements, rank, np.zeros((2, 1), np.uint64), boundary, False)[0]
 
 
 _CLASS_AND_FLAG = np.uint64(63)
@@ -326,18 +326,19 @@ def _write_keys(heavy, boundary: int, buckets: int, grouped: bool = False):
             home = np.where(home.is_null().to_numpy(zero_copy_only=False), centre, home.fill_null(0).to_numpy())
             at = np.minimum(np.searchsorted(table, elements), max(0, len(table) - 1))
             rank = np.where(table[at] == elements, ranks[at], 0) if len(table) else np.zeros(len(elements), np.int64)
+            whole = _marks(elements, sizes)
             keys, spans, marks, written, end = [], [], [], np.zeros(len(sizes), np.int64), 0
             for i, n in enumerate(sizes.tolist()):
                 if n:
-                    of_set = _keyed(elements[end:end + n], rank[end:end + n], boundary, grouped)
+                    of_set = _keyed(elements[end:end + n], rank[end:end + n], whole[:, i:i + 1], boundary, grouped)
                     keys.append(of_set[0])
-                    spans.append(_coarse(of_set[1]))
+                    spans.append(of_set[1])
                     marks.append(of_set[2])
                     written[i] = len(keys[-1])
                     end += n
             if not written.any():     # sets of one element need none
                 continue
-            span = np.concatenate(spans)
+            span = _coarse(np.concatenate(spans))
             keys, owners, homes, spans, marks = _once(
                 np.concatenate(keys), np.repeat(centre, written), np.repeat(home, written),
                 np.array([span, span]), np.concatenate(marks, axis=1))

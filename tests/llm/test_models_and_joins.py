@@ -297,7 +297,7 @@ def test_linked_sets_share_a_group_at_the_edges_of_classes(boundary):
                 drop = rng.integers(0, larger - gone + 1) + np.arange(gone) if uneven else rng.choice(larger, gone, replace=False)
                 b = np.delete(a, drop)
                 rank = np.where(rng.random(larger) < 0.4, rng.permutation(larger) + 1, 0)
-                records = [jaccard_join._keyed(x, r, boundary, True) for x, r in ((a, rank), (b, np.delete(rank, drop)))]
+                records = [jaccard_join._keyed(x, r, jaccard_join._marks(x, np.array([len(x)])), boundary, True) for x, r in ((a, rank), (b, np.delete(rank, drop)))]
                 shared, at_a, at_b = np.intersect1d(*(k >> np.uint64(1) for k, _, _ in records), return_indices=True)
                 met, must = 0, 1 if smaller <= boundary else smaller // jaccard_join.TENTH
                 for i, j in zip(at_a, at_b, strict=True):
