@@ -75,7 +75,7 @@ VERIFY_COST = 8.0          # cost of a listed set, in keys written
 LIST_PAIRS = 1_000_000     # pairs that a task gathers before it counts them
 TESTED_PAIRS = 1 << 18     # pairs of a list's sets whose sizes a task compares at once
 SLICE_CHARS = 4 << 20
-KEY_CHARS = 1 << 20        # of texts whose keys a task holds at once
+KEY_CHARS = 1 << 20        # of texts whose keys or sets a task holds at once
 PICKS = 4                  # pairs of each centre that are checked first in a crowd
 MOST_TURNS = 4             # such turns; what is left is checked in full
 MARKED = 224               # larger sets have no mark; larger ones that are listed are cut into groups
@@ -144,7 +144,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- exact counts for proposed pairs ----
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, elements, sizes in _text_slices(batches):
+    for batch, elements, sizes in _text_slices(batches, KEY_CHARS):
         offsets = np.concatenate(([0], np.cumsum(sizes)))
         rows = [elements[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         yield pa.record_batch([batch.column("doc"), pa.array(sizes), pa.array(rows, pa.large_binary())],
